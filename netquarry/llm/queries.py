@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import topn
+from netquarry.llm import canonical, identity, topn
 from netquarry.scratch import load
 
 
@@ -17,7 +17,36 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("group_key", "rank_no", F.col("identifier").alias("node_id"))
 
 
-QUERIES = {"p3_found": p3_found}
+# names inside the [get_...] brackets of a constraint
+_TARGETS = r"\[get_\w+\s+(\{[^{}]*\}|(?:[^\[\]\s{}]|\[[^\[\]]*\])*)\s*\]"
+
+
+def _typed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(constraint_id, target_pos, value) of every typed target, repeats removed."""
+    rows = load(spark, sf_dir, "sdc_constraints")
+    groups = F.regexp_extract_all("raw_line", F.lit(_TARGETS), 1)
+    inside = F.filter(F.flatten(F.transform(groups, lambda g: F.split(F.translate(g, "{}", ""), r"\s+"))), lambda w: w != "")
+    every = rows.select("constraint_id", F.posexplode(F.coalesce("targets", inside)).alias("target_pos", "value"))
+    return every.where("constraint_id is not null and value is not null").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference entry of every target that is not written as one."""
+    refs = load(spark, sf_dir, "target_names")
+    typed = _typed_targets(spark, sf_dir).join(refs.select(F.col("canonical_name").alias("value")), "value", "left_anti")
+    found = canonical.match_names(typed, refs).select("value", "ref_id")
+    out = typed.join(found, "value", "left")
+    return out.select("constraint_id", "target_pos", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of author identities of one person or team."""
+    rows = load(spark, sf_dir, "author_identities")
+    records = rows.select(F.col("identity_id").alias("identity"), F.col("author").alias("name"), F.col("author_email").alias("mail"))
+    return identity.linked_pairs(identity.resolve(records))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found}
 
 SQL = {
     "p3_found": """
