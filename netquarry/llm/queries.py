@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import canonical, identity, topn
+from netquarry.llm import canonical, identity, pairs, topn
 from netquarry.scratch import load
 
 
@@ -39,6 +39,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("constraint_id", "target_pos", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective question-answer pairs with their defect."""
+    rows = load(spark, sf_dir, "qa_results").select(F.col("qa_id").alias("pair_id"), "question", "answer")
+    return pairs.first_defects(rows).select(F.col("pair_id").alias("qa_id"), "defect")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of author identities of one person or team."""
     rows = load(spark, sf_dir, "author_identities")
@@ -46,7 +52,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.linked_pairs(identity.resolve(records))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 
 SQL = {
     "p3_found": """
