@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import canonical, identity, pairs, topn
+from netquarry.llm import canonical, identity, pairs, sentences, topn
 from netquarry.scratch import load
 
 
@@ -52,7 +52,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.linked_pairs(identity.resolve(records))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.split_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
 
 SQL = {
     "p3_found": """
