@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import canonical, identity, pairs, sentences, topn
+from netquarry.llm import canonical, contamination, identity, packing, pairs, sentences, topn
 from netquarry.scratch import load
 
 
@@ -52,12 +52,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.linked_pairs(identity.resolve(records))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, filled to the sources' shares of all tokens."""
+    return packing.pack_texts(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation items that leaked into each document."""
+    items = load(spark, sf_dir, "eval_items")
+    texts = items.select("item_id", F.explode(F.array("question_text", "gold_answer")).alias("text"))
+    return contamination.find_leaks(load(spark, sf_dir, "documents").select("doc_id", "text"), texts)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every document."""
     return sentences.split_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found,
+    "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found,
+}
 
 SQL = {
     "p3_found": """
