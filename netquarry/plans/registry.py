@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.plans import core_problems
+from netquarry.plans import core_problems, graph_queries
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, graph_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    return core_problems.p1_found(spark, sf_dir)
+    return graph_queries.g_bfs(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
