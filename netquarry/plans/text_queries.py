@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import scalars as S
+from netquarry.operators import changes as changes_of
 from netquarry.operators import history as H
 from netquarry.operators import metrics as M
 from netquarry.operators import questions as Q
@@ -13,6 +14,7 @@ from netquarry.operators import traverse as T
 from netquarry.plans.design_graph import GRAPH_SQL, design_graph, runs
 from netquarry.scratch import load
 from netquarry.sources import constraints as C
+from netquarry.streaming import ingest
 
 QUERIES, SQL = {}, {}
 
@@ -218,3 +220,26 @@ def q_what_if(spark, sf_dir):
 def q_parsed(spark, sf_dir):
     """The category, operation and entity that rules read from every question."""
     return Q.parse_questions(load(spark, sf_dir, "qa_results").select("question").distinct())
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def s_activity(spark, sf_dir):
+    """Events per day and type by the streaming transformation."""
+    return ingest.activity(load(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def s_sessions(spark, sf_dir):
+    """Each user's sessions by the streaming transformation."""
+    return ingest.sessions(load(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
+
+
+@query(r"""WITH p AS (SELECT DISTINCT constraint_id, constraint_type, raw_line FROM sdc_constraints WHERE raw_line IS NOT NULL AND constraint_type = 'set_false_path')
+SELECT constraint_id, 'remove' AS variant, '# ' || raw_line AS new_text FROM p""")
+def c_constraint_changes(spark, sf_dir):
+    """The change that removes each false path."""
+    rows = load(spark, sf_dir, "sdc_constraints").where("raw_line is not null").select("constraint_id", "constraint_type", "raw_line", F.lit("").alias("file_path")).distinct()
+    changes = changes_of.constraint_changes(rows, "any", 1 << 30)
+    return changes.where("variant = 'remove'").select(F.col("module").alias("constraint_id"), "variant", "new_text")
