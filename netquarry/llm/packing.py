@@ -3,10 +3,9 @@
 Texts are counted in tokens of a public tokenizer, dealt to partitions by a hash
 of their id, and packed there by deficit round-robin over one queue per source.
 Every container (window) gives each source a quantum of its target share; the
-source with the largest deficit counter is served with its largest text that fits
-the room and the counter, and when no counter allows a text, the source that lags
-most is served with the largest that fits the room, so that small texts close the
-gaps.  Counters go on from window
+source with the largest deficit counter is served with its largest text that
+fits, which leaves the small texts to close the gaps; what a large text takes
+beyond its source's counter is paid back in the windows that follow.  Counters go on from window
 to window, and from partition to partition: since a partition packs all of its
 texts, the counters it starts with are prefix sums over the partitions before it.
 
@@ -101,9 +100,8 @@ def pack(items: list[tuple[int, int, int, str]], shares: dict[str, float], count
             deficit[s] += shares.get(s, 0.0) * capacity
         room = capacity
         while True:
-            # within its counter, the queue that lags most; else, to close the gap, whichever has something that fits
-            best = max(((deficit[s], size, s) for s, q in queues.items() if (size := q.fitting(min(room, int(deficit[s]))))), default=None)
-            best = best or max(((deficit[s], size, s) for s, q in queues.items() if (size := q.fitting(room))), default=None)
+            # the queue that lags most among those with something that fits
+            best = max(((deficit[s], size, s) for s, q in queues.items() if (size := q.fitting(room))), default=None)
             if best is None:
                 break
             _, size, s = best
