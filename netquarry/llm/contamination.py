@@ -165,35 +165,28 @@ class Index:
 
 
 def longest_run(item: list[str], doc: list[str]) -> int:
-    """The most words of ``item`` in a row, first and last of them matched, that ``doc`` holds with at most one edit per ``EDITS_PER``.
+    """The most words of ``item`` in a row, first and last of them matched, that ``doc`` holds with at most one edit per ``EDITS_PER``; 0 if fewer than ``RUN``.
 
-    A local alignment in which a match scores 1 and an edit costs ``EDITS_PER`` - 1
-    is kept above zero; each cell knows its alignment's first word and edits.
+    Edit distances of the item's runs of equal length, from every start at once:
+    a row of the table is one word longer than the one before it.
     """
-    n = len(doc)
-    best = 0
-    # per cell: score, item index of the first word, edits
-    old: list[tuple[int, int, int]] = [(0, 0, 0)] * (n + 1)
-    for i, w in enumerate(item, 1):
-        new = [(0, i, 0)] * (n + 1)
-        for j, d in enumerate(doc, 1):
-            s, first, e = old[j - 1]
-            if w == d:
-                cell = (s + 1, first if s > 0 else i - 1, e if s > 0 else 0)
-                length = i - cell[1]
-                if length > best and cell[2] * EDITS_PER <= length:
-                    best = length
-            else:
-                cell = (s - 4, first, e + 1)
-                a, b = old[j], new[j - 1]
-                if a[0] - 4 > cell[0]:
-                    cell = (a[0] - 4, a[1], a[2] + 1)
-                if b[0] - 4 > cell[0]:
-                    cell = (b[0] - 4, b[1], b[2] + 1)
-                if cell[0] <= -4:
-                    cell = (0, i, 0)
-            new[j] = cell
-        old = new
+    ids: dict[str, int] = {}
+    a = np.array([ids.setdefault(w, len(ids)) for w in item])
+    b = np.array([ids.setdefault(w, len(ids)) for w in doc])
+    m, far, best = len(a), 1 << 20, 0
+    if m < RUN or not len(b):
+        return 0
+    equal = a[:, None] == b[None, :]
+    at = np.arange(len(b) + 1)
+    edits = np.full((m, len(b) + 1), far, np.int32)
+    edits[:, 1:][equal] = 0
+    for length in range(2, m + 1):
+        old, same = edits[: m - length + 1], equal[length - 1 :]
+        if length >= RUN and (np.where(same, old[:, :-1], far) * EDITS_PER <= length).any():
+            best = length
+        edits = old + 1
+        np.minimum(edits[:, 1:], old[:, :-1] + ~same, out=edits[:, 1:])
+        edits = np.minimum.accumulate(edits - at, axis=1) + at  # words added in the text
     return best
 
 
