@@ -103,7 +103,7 @@ def has_flag(line: Column, name: str) -> Column:
 
 def first_number(line: Column) -> Column:
     """The first numeric word of a command, values of flags included."""
-    return F.element_at(F.filter(F.split(F.trim(line), r"\s+"), lambda w: w.rlike(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$")), 1).try_cast("double")
+    return F.get(F.filter(F.split(F.trim(line), r"\s+"), lambda w: w.rlike(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$")), F.lit(0)).try_cast("double")
 
 
 def join_continuations(text: Column) -> Column:

@@ -38,8 +38,8 @@ def parse_commands(rows: DataFrame, short_targets: bool = False) -> DataFrame:
     targets = S.get_targets_short(line) if short_targets else S.get_targets(line)
     number = S.first_number(F.regexp_replace(line, r"\[[^\]]*\]", " "))
     period = S.flag(line, "period").try_cast("double")
-    name = F.coalesce(S.flag(line, "name"), F.element_at(targets, 1))
-    bracket = lambda c: F.coalesce(F.element_at(S.get_targets(c), 1), c)
+    name = F.coalesce(S.flag(line, "name"), F.try_element_at(targets, F.lit(1)))
+    bracket = lambda c: F.coalesce(F.try_element_at(S.get_targets(c), F.lit(1)), c)
     return rows.select(
         *rows.columns,
         kind.alias("constraint_type"),
@@ -47,7 +47,7 @@ def parse_commands(rows: DataFrame, short_targets: bool = False) -> DataFrame:
         _pick(kind, ("create_clock",), period).alias("period"),
         _pick(kind, ("create_clock",), F.when(period != 0, 1000 / period)).alias("frequency_mhz"),
         _pick(kind, ("create_clock", "create_generated_clock"), name).alias("clock_name"),
-        _pick(kind, ("create_clock", "create_generated_clock"), F.element_at(targets, -1)).alias("clock_port"),
+        _pick(kind, ("create_clock", "create_generated_clock"), F.try_element_at(targets, F.lit(-1))).alias("clock_port"),
         _pick(kind, ("create_generated_clock",), bracket(S.flag(line, "source"))).alias("source_clock"),
         _pick(kind, ("create_generated_clock",), S.flag(line, "divide_by").try_cast("int")).alias("divide_by"),
         _pick(kind, ("create_generated_clock",), S.flag(line, "multiply_by").try_cast("int")).alias("multiply_by"),
