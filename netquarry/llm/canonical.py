@@ -49,7 +49,7 @@ ABBREVIATIONS = {
     "clk": "clock", "ck": "clock", "we": "write", "wr": "write", "irq": "interrupt", "intr": "interrupt",
     "en": "enable", "ena": "enable", "cfg": "configuration", "config": "configuration",
 }
-_INDEX = re.compile(r"(?:[\[<(][^\])>]*[\])>]?)+$")
+_INDEX = re.compile(r"(?:[\[<(][^\])>\[<(]*+[\])>]?)++$")
 _PATH = re.compile(r"^(?:u_core|u_top|chip_top|top|u0)[./](?:u0[./])?", re.I)
 _WORD = re.compile(r"[A-Z]+(?![a-z])[0-9]*|[A-Z]?[a-z0-9]+|[A-Z]+|[^\W_]+")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"

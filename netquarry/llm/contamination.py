@@ -44,6 +44,7 @@ EDITS_PER = 5
 HALF = 16  # a window is two neighbouring half windows of so many shingles
 RECALL = 0.999
 BLOCK = 2_000
+SEGMENT = 1024 * HALF  # shingles taken at once, which bounds memory for texts of any length
 SLOTS = 64
 
 # Letters that look like Latin ones
@@ -146,22 +147,20 @@ class Index:
         n = len(shingles)
         if not len(self.values) or n < RUN - 1 - 2 * (RUN // EDITS_PER):
             return
-        size = min(n, 2 * HALF)
-        slots = slots_for(RUN, size)
-        p = permuted(shingles, slots)
-        cuts = np.arange(0, n, HALF)
-        halves = np.minimum.reduceat(p, cuts, axis=1)
-        whole = np.minimum(halves[:, :-1], halves[:, 1:]) if halves.shape[1] > 1 else halves
-        tagged = _tagged(whole)
-        at = np.searchsorted(self.values, tagged)
-        at[at == len(self.values)] = 0
-        hit = self.values[at] == tagged
-        seen = set()
-        for slot, w in zip(*np.nonzero(hit)):
-            for k in self.owners[at[slot, w]]:
-                if (w, k) not in seen:
-                    seen.add((w, k))
-                    yield int(w) * HALF, k
+        slots = slots_for(RUN, min(n, 2 * HALF))
+        for base in range(0, n, SEGMENT):  # a segment's last window ends with the next one's first half
+            p = permuted(shingles[base : base + SEGMENT + HALF], slots)
+            halves = np.minimum.reduceat(p, np.arange(0, p.shape[1], HALF), axis=1)
+            whole = np.minimum(halves[:, :-1], halves[:, 1:]) if halves.shape[1] > 1 else halves
+            tagged = _tagged(whole)
+            at = np.searchsorted(self.values, tagged)
+            at[at == len(self.values)] = 0
+            seen = set()
+            for slot, w in zip(*np.nonzero(self.values[at] == tagged)):
+                for k in self.owners[at[slot, w]]:
+                    if (w, k) not in seen:
+                        seen.add((w, k))
+                        yield base + int(w) * HALF, k
 
 
 def longest_run(item: list[str], doc: list[str]) -> int:

@@ -139,10 +139,23 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
+LONG = 40
+
+
 def deletions(word: Column) -> Column:
-    """A word and every string with one of its letters left out."""
-    one = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.array_append(one, word))
+    """Keys of which two words one error apart have one in common.
+
+    A word and every string with one of its letters left out; for words above
+    ``LONG`` letters, whose deletions would grow with their square, the leading and
+    trailing halves, of which one error spares one.
+    """
+    n = F.length(word)
+    one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
+    halves = []
+    for less in (0, 1):
+        h = F.floor(n / 2).cast("int") - less
+        halves += [F.concat(F.lit("<"), F.substring(word, F.lit(1), h)), F.concat(F.lit(">"), F.substring(word, n - h + 1, h))]
+    return F.when(n <= LONG, F.array_distinct(F.array_append(one, word))).otherwise(F.array(*halves))
 
 
 def one_error_apart(a: Column, b: Column) -> Column:

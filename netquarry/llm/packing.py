@@ -65,11 +65,11 @@ def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 class Queue:
-    """Items of one source by size; the largest that fits is taken first, equal sizes in order of arrival."""
+    """Items of one source by size; equal sizes are taken in the order given."""
 
     def __init__(self, items: list[tuple[int, int, int]]):
         self.by_size: dict[int, list[tuple[int, int, int]]] = {}
-        for item in sorted(items, key=lambda x: (-x[0], -x[1])):
+        for item in reversed(items):
             self.by_size.setdefault(max(1, item[2]), []).append(item)
         self.ordered = sorted(self.by_size)
 
@@ -140,7 +140,8 @@ def pack_texts(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CA
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         shares_here, counters, items, out = {}, {}, [], []
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "share", "counter"))))
+        rows = zip(*(group.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "share", "counter")))
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
         whole = 0
         for doc, source, size, share_here, counter in rows:
             shares_here[source], counters[source] = share_here, counter

@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,12 +63,14 @@ _WORD = regex.compile(r"[\p{L}\p{N}_]+")
 _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", "‹": "›"}
 _CLOSE = frozenset(_OPEN.values()) | {"“"}
 _PAIRED = regex.compile(r'["()\[\]{}«»“”„「」『』（）【】《》〈〉［］‹›]')
+_GOES_ON = regex.compile(r"\s*[,;:，、；：)）]")
+_LETTER = regex.compile(r"\p{L}")
 _STRIP = "﻿"
 
 
 def _enclosed(text: str) -> list[tuple[int, int]]:
     """Outermost spans (start, end) of matched quotations and brackets, in order."""
-    spans, stack, straight = [], [], None
+    spans, stack, straight, wanted = [], [], None, Counter()
     for m in _PAIRED.finditer(text):
         c, at = m.group(), m.start()
         if c == '"':
@@ -76,14 +79,16 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
             else:
                 spans.append((straight, at + 1))
                 straight = None
-        elif c in _CLOSE and any(want == c for want, _ in stack):
+        elif c in _CLOSE and wanted[c]:
             while stack:
                 want, start = stack.pop()
+                wanted[want] -= 1
                 if want == c:
                     spans.append((start, at + 1))
                     break
         elif c in _OPEN:
             stack.append((_OPEN[c], at))
+            wanted[_OPEN[c]] += 1
     spans.sort()
     outer: list[tuple[int, int]] = []
     for s, e in spans:
@@ -163,7 +168,7 @@ def _breaks(text: str) -> list[int]:
                 continue
             out.append(close)
             continue
-        if nxt == "mark" and text[close:].lstrip()[:1] in ",;:，、；：)）":
+        if nxt == "mark" and _GOES_ON.match(text, close):
             continue
         dots = not strong and (len(run.strip()) > 1 or "…" in run)
         if dots:
@@ -190,11 +195,16 @@ def _breaks(text: str) -> list[int]:
         if nxt == "lower":
             continue
         if nxt == "digit":
-            follow = regex.compile(r"[\p{L}]").search(text, close)
-            if follow and follow.group().islower() and not kind is None:
+            follow = _LETTER.search(text, close)
+            if follow and follow.group().islower() and kind is not None:
                 continue
         out.append(close)
-    out.extend(m.start() for m in _THAI.finditer(text) if not any(s <= m.start() < e for s, e in enclosed))
+    k = 0
+    for m in _THAI.finditer(text):
+        while k < len(enclosed) and enclosed[k][1] <= m.start():
+            k += 1
+        if k == len(enclosed) or m.start() < enclosed[k][0]:
+            out.append(m.start())
     return sorted(set(out))
 
 
@@ -252,10 +262,10 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
         if item:
             number = item.group(2)
             if number is None:
-                starts = not lines or item_no is not None or text[lines[-1][1] - 1 - 0 : lines[-1][1]] == "" or text[: lines[-1][1]].rstrip()[-1:] in ".:!?。：！？;"
+                starts = not lines or item_no is not None or text[lines[-1][0] : lines[-1][1]].rstrip()[-1:] in ".:!?。：！？;"
             elif number.isdigit():
                 starts = not lines if item_no is None else int(number) == item_no + 1
-                starts = starts or (bool(lines) and item_no is None and int(number) == 1 and text[lines[0][0] : lines[-1][1]].rstrip()[-1:] in ".:!?。：！？")
+                starts = starts or (bool(lines) and item_no is None and int(number) == 1 and text[lines[-1][0] : lines[-1][1]].rstrip()[-1:] in ".:!?。：！？")
             else:
                 starts = (not lines and number in "aA") if item_no is None else ord(number) == item_no + 1
             if starts:
