@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netquarry import scratch
 from netquarry.operators.graph import Graph, build
 from netquarry.sources import assertions, commits, constraints, netlist
 
@@ -25,18 +26,22 @@ class Design:
 def build_design(spark: SparkSession, design: Design) -> Graph:
     """The merged graph; batches are written in the order netlist, constraints, assertions, commits."""
     nodes, edges = netlist.to_graph(netlist.tables(design.netlist, design.name), design.name)
-    base = build(nodes, edges).nodes
+    alone = build(nodes, edges)
+    if design.constraint_files is None and design.assertion_files is None and design.log is None:
+        return alone
+    base = alone.nodes
     if design.constraint_files is not None:
-        parsed = constraints.parse_commands(constraints.scan(design.constraint_files, design.name), short_targets=design.compat)
+        parsed = scratch.table(constraints.parse_commands(constraints.scan(design.constraint_files, design.name), short_targets=design.compat), "parsed")
         n, e = constraints.to_graph(parsed, base, design.name)
         nodes, edges = nodes + n, edges + e
     if design.assertion_files is not None:
         with_clocks = build(nodes, edges).nodes if design.constraint_files is not None else base
-        asserted = assertions.assertions(design.assertion_files, design.name)
+        asserted = scratch.table(assertions.assertions(design.assertion_files, design.name), "asserted")
         names = base.where("type = 'Module'").select("name")
-        n, e = assertions.to_graph(asserted, assertions.testbenches(design.assertion_files, design.name, names), with_clocks, design.name)
+        tests = scratch.table(assertions.testbenches(design.assertion_files, design.name, names), "tests")
+        n, e = assertions.to_graph(asserted, tests, with_clocks, design.name)
         nodes, edges = nodes + n, edges + e
     if design.log is not None:
-        n, e = commits.to_graph(commits.describe(design.log, design.name), base, design.name)
+        n, e = commits.to_graph(scratch.table(commits.describe(design.log, design.name), "commits"), base, design.name)
         nodes, edges = nodes + n, edges + e
     return build(nodes, edges)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import scalars as S
+from netquarry.functions.numbering import numbered
 from netquarry.sources.quoted_rows import COMMANDS
 
 
@@ -18,8 +19,9 @@ def scan(texts: DataFrame, design: str) -> DataFrame:
     lines = texts.select("file_path", F.posexplode(F.split(S.join_continuations(F.col("text")), r"\r?\n")).alias("pos", "line"))
     lines = lines.select("file_path", (F.col("pos") + 1).alias("line_number"), S.strip_comment(F.col("line")).alias("raw_line"))
     rows = lines.where(S.command(F.col("raw_line")).isin(*COMMANDS))
-    order = Window.orderBy("file_path", "line_number")  # constraint files are read by hand; a design has thousands of lines
-    number = F.lpad(F.row_number().over(order).cast("string"), 4, "0")
+    rows = numbered(rows, "file_path", ["line_number"])
+    digits = F.col("n").cast("string")
+    number = F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0"))
     return rows.select(F.concat(F.lit(f"{design}::sdc::"), number).alias("constraint_id"), "raw_line", "line_number", "file_path", F.lit(design).alias("design"))
 
 

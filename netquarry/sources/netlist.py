@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netquarry import scratch
 from netquarry.functions import scalars as S
 
 SCHEMA = """modules map<string, struct<
@@ -40,7 +41,8 @@ def tables(texts: DataFrame, design: str) -> dict[str, DataFrame]:
     # a bit's name: the net that comes last; constants are no bits
     bits = named.select("module_id", "pos", "name", F.explode("bits").alias("bit")).where(F.col("bit").try_cast("int").isNotNull())
     bits = bits.groupBy("module_id", "bit").agg(F.max_by("name", "pos").alias("net"))
-    cells = base.select("module_id", F.explode("m.cells").alias("cell", "c")).select("module_id", "cell", "c.*")
+    bits = scratch.table(bits, "bits")
+    cells = scratch.table(base.select("module_id", F.explode("m.cells").alias("cell", "c")).select("module_id", "cell", "c.*"), "cells")
     flops = cells.where(S.is_flip_flop(F.col("type")))
 
     def first_name(pin) -> DataFrame:
@@ -53,7 +55,7 @@ def tables(texts: DataFrame, design: str) -> dict[str, DataFrame]:
     reset = S.reset_kind(F.col("parameters"))
     registers = registers.select(F.concat("module_id", F.lit("::reg::"), "q_net").alias("id"), "module_id", F.col("q_net").alias("name"), "clk_net", S.clock_edge(F.col("parameters")).alias("clock_edge"), reset.kind.alias("reset_kind"), reset.active_low.alias("reset_active_low"), F.size(F.col("connections")["Q"]).alias("width"))
     one = Window.partitionBy("id").orderBy("clk_net", "width")
-    registers = registers.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
+    registers = scratch.table(registers.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k"), "registers")
     known = base.select(F.col("key").alias("type"), F.col("module_id").alias("child_module"), F.col("module_name").alias("child_module_name"))
     placed = cells.join(known, "type")
     place = S.source_place(F.col("attributes")["src"])
@@ -62,7 +64,9 @@ def tables(texts: DataFrame, design: str) -> dict[str, DataFrame]:
     pins = pins.select("module_id", "cell", "child_module", "port", F.col("port_directions")[F.col("port")].alias("direction"), F.explode("wired").alias("bit"))
     wires = pins.join(bits, ["module_id", "bit"]).select(F.col("module_id").alias("parent_module"), "cell", "child_module", "port", "direction", "net").distinct()
     clocks = registers.where("clk_net is not null").groupBy(F.concat(F.lit(f"{design}::clk::"), "clk_net").alias("id")).agg(F.min("clk_net").alias("name"), F.array_sort(F.collect_set("id")).alias("driven_registers"), F.array_sort(F.collect_set("module_id")).alias("driven_modules"))
-    return {"modules": modules, "parameters": parameters, "ports": ports, "nets": nets, "registers": registers, "instances": instances, "wires": wires, "clocks": clocks}
+    made = {"modules": modules, "parameters": parameters, "ports": ports, "nets": nets, "instances": instances, "wires": wires, "clocks": clocks}
+    # the texts are parsed once per table, not once per use
+    return {"registers": registers} | {name: scratch.table(df, name) for name, df in made.items()}
 
 
 def to_graph(t: dict[str, DataFrame], design: str) -> tuple[list[DataFrame], list[DataFrame]]:
