@@ -181,9 +181,12 @@ def parse_constraint_rows(df: DataFrame, raw: str = "raw_row") -> DataFrame:
                     cut = [-1, *at.tolist(), len(record)]
                     fields = [unquote(record[a + 1 : b]) for a, b in zip(cut, cut[1:])]
                 reason = judge(fields, broken)
-                number = int(fields[3]) if reason is None else None
-                if number is not None and number >= 1 << 63:
-                    reason, number = "bad_line_number", None
+                number = None
+                if reason is None:
+                    digits = fields[3].lstrip("0")
+                    number = int(digits) if len(digits) < 20 else 1 << 63
+                    if number >= 1 << 63:
+                        reason, number = "bad_line_number", None
                 if reason is None:
                     out.append((None, None, fields[0], fields[1], fields[2], number, fields[4]))
                 else:

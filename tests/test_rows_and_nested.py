@@ -91,11 +91,12 @@ def test_reasons(spark):
         (9, "i,set_load,load 1,3,f"),
         (10, None),
         (11, ""),
-        (12, f"i,set_load,set_load 1,{'9' * 30},f"),
+        (12, f"i,set_load,set_load 1,{'9' * 6000},f"),
+        (13, f"i,set_load,set_load 1,{'0' * 6000}7,f"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "row_id bigint, raw_row string, reason string")
     got = {r.row_id: r.reason for r in R.parse_constraint_rows(df).collect()}
-    assert got == {1: None, 2: None, 3: "quoting", 4: "column_count", 5: "bad_command", 6: "bad_line_number", 7: "bad_line_number", 8: "bad_raw_line", 9: "bad_raw_line", 10: "column_count", 11: "column_count", 12: "bad_line_number"}
+    assert got == {1: None, 2: None, 3: "quoting", 4: "column_count", 5: "bad_command", 6: "bad_line_number", 7: "bad_line_number", 8: "bad_raw_line", 9: "bad_raw_line", 10: "column_count", 11: "column_count", 12: "bad_line_number", 13: None}
     valid = R.parse_constraint_rows(df).where("row_id = 2").first()
     assert (valid.raw_line, valid.line_number, valid.file_path) == ('set_load 1 [get_ports "a"]', 3, "f")
     assert R.parse_constraint_rows(df.limit(0)).count() == 0
