@@ -49,12 +49,23 @@ ABBREVIATIONS = {
     "clk": "clock", "ck": "clock", "we": "write", "wr": "write", "irq": "interrupt", "intr": "interrupt",
     "en": "enable", "ena": "enable", "cfg": "configuration", "config": "configuration",
 }
-_INDEX = re.compile(r"(?:[\[<(][^\])>\[<(]*+[\])>]?)++$")
 _PATH = re.compile(r"^(?:u_core|u_top|chip_top|top|u0)[./](?:u0[./])?", re.I)
 _WORD = re.compile(r"[A-Z]+(?![a-z])[0-9]*|[A-Z]?[a-z0-9]+|[A-Z]+|[^\W_]+")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
+def without_index(text: str) -> str:
+    """A name without the bracketed indices at its end, the last of which may lack its closing bracket."""
+    end = len(text)
+    while end:
+        inner = end - 1 if text[end - 1] in "])>" else end
+        begin = max(text.rfind(c, 0, inner) for c in "[<(")
+        if begin < 0 or any(text.find(c, begin + 1, inner) >= 0 for c in "])>"):
+            break
+        end = begin
+    return text[:end]
+
+
 def one_error(word: str) -> set[str]:
     """Every string one typing error away: a letter left out, doubled, added, exchanged or two swapped."""
     cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
@@ -168,7 +179,7 @@ class Normaliser:
 
     def forms(self, value: str) -> list[tuple[tuple[str, float, str], ...]]:
         """The possible word lists of a value, at most eight; each word with its confidence and the typed token."""
-        text = _PATH.sub("", _INDEX.sub("", value.strip().strip("'`\"\\/")))
+        text = _PATH.sub("", without_index(value.strip().strip("'`\"\\/")))
         raw = [w.lower() for w in _WORD.findall(text)]
         joined: list[str] = []
         for w in raw:  # a lone digit or letter run cut off a word by its case, as in I2C
