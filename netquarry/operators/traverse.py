@@ -247,9 +247,19 @@ def lexical(graph: Graph, seeds: DataFrame, fields: tuple[str, ...] = ("name", "
     return out.select("run", "node", F.least(F.lit(1.0), F.col("n") / F.col("n_words")).alias("risk"), F.lit(-1).alias("hop"))
 
 
-def compare(graph: Graph, seeds: DataFrame, methods: tuple[str, ...] = ("weighted_bfs", "bfs", "structural"), **options) -> DataFrame:
+def _ranked(graph: Graph, seeds: DataFrame, alpha: float = 0.85, iterations: int = 200, tolerance: float | None = 1e-6, min_score: float = 1e-4) -> DataFrame:
+    """``pagerank`` in the columns of the other methods."""
+    return ranked_with_paths(graph, seeds, scratch.table(pagerank(graph, seeds, alpha, iterations, tolerance, min_score), "ranked"))
+
+
+def _worded(graph: Graph, seeds: DataFrame) -> DataFrame:
+    """``lexical`` in the columns of the other methods."""
+    return lexical(graph, seeds).join(graph.nodes.select(F.col("id").alias("node"), F.col("type").alias("artifact_type")), "node")
+
+
+def compare(graph: Graph, seeds: DataFrame, methods: tuple[str, ...] = ("weighted_bfs", "bfs", "pagerank", "structural", "lexical"), **options) -> DataFrame:
     """(method, run, node, artifact_type, risk, hop) of several methods; unknown names are skipped."""
-    known = {"weighted_bfs": weighted_bfs, "bfs": bfs, "structural": structural}
+    known = {"weighted_bfs": weighted_bfs, "bfs": bfs, "pagerank": _ranked, "structural": structural, "lexical": _worded}
     parts = [known[m](graph, seeds, **{k: v for k, v in options.items() if k in known[m].__code__.co_varnames}).select(F.lit(m).alias("method"), "run", "node", "artifact_type", "risk", "hop") for m in methods if m in known]
     if not parts:
         raise ValueError("no known method")

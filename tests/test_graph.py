@@ -123,6 +123,21 @@ def test_pagerank_equals_dense_iteration(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[n], want[n], rel_tol=1e-6) for n in want)
 
 
+def test_compare_runs_all_five_methods(spark):
+    g, types, edges = make(spark, 9, m=200)
+    first = min(a for (a, b), r in edges.items() if types[a] == types[b] == "Module" and r in ("instantiates", "depended_by"))
+    s = seeds(spark, ("a", first), ("b", "n01"))
+    got = {(r.method, r.run, r.node): (r.risk, r.hop) for r in T.compare(g, s, max_depth=3).collect()}
+    assert {k[0] for k in got} == {"weighted_bfs", "bfs", "pagerank", "structural", "lexical"}
+    ranks = {("pagerank", r.run, r.node): r.score for r in T.pagerank(g, s).collect()}
+    assert {k for k in got if k[0] == "pagerank"} == ranks.keys() and all(math.isclose(got[k][0], v, rel_tol=1e-6) for k, v in ranks.items())
+    for run, start in (("a", first), ("b", "n01")):
+        far = hops(edges, {start}, 24)
+        assert all(hop == far[node] for (m, r, node), (_, hop) in got.items() if m == "pagerank" and r == run)
+    assert {k: v for k, v in got.items() if k[0] == "lexical"} == {("lexical", r.run, r.node): (r.risk, -1) for r in T.lexical(g, s).collect()}
+    assert {r.method for r in T.compare(g, s, ("pagerank", "no_such_method")).collect()} == {"pagerank"}
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(None, 1), (5, 5)]
