@@ -279,11 +279,16 @@ def shortest_paths(graph: Graph, pairs: DataFrame, most: int = 5) -> DataFrame:
     pairs = pairs.select("run", "source", "target").distinct()
 
     def on_paths(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+        # searched once per end, however many pairs share it; the far end's level bounds what a pair looks at
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")
-        ahead = levels(graph, wanted.select("run", F.col("source").alias("node")), most, edges).select("run", "node", F.col("hop").alias("distance"))
-        behind = levels(graph, wanted.select("run", F.col("target").alias("node")), most, back).select("run", "node", F.col("hop").alias("rest"))
-        total = ahead.join(wanted.select("run", F.col("target").alias("node")), ["run", "node"]).select("run", F.col("distance").alias("total"))
-        return ahead.join(behind, ["run", "node"]).join(total, "run").where("distance + rest = total").select("run", "node", "distance", "total")
+        ends = lambda c: wanted.select(F.col(c).alias("run"), F.col(c).alias("node")).distinct()
+        ahead = scratch.table(levels(graph, ends("source"), most, edges).select(F.col("run").alias("source"), "node", F.col("hop").alias("distance")), "ahead")
+        total = wanted.join(ahead.select("source", F.col("node").alias("target"), F.col("distance").alias("total")), ["source", "target"])
+        total = scratch.table(total, "totals")
+        furthest = total.agg(F.max("total")).first()[0] or 0
+        behind = levels(graph, ends("target"), min(most, furthest), back).select(F.col("run").alias("target"), "node", F.col("hop").alias("rest"))
+        near = ahead.where(F.col("distance") <= furthest)
+        return total.join(behind, "target").where("rest <= total").withColumn("distance", F.col("total") - F.col("rest")).join(near, ["source", "node", "distance"]).select("run", "node", "distance", "total")
 
     directed = scratch.table(on_paths(graph.edges.select("src", "dst", "relation"), pairs), "paths")
     left = pairs.join(directed.select("run").distinct(), "run", "left_anti")

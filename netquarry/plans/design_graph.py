@@ -7,6 +7,8 @@ same two nodes replacing an earlier one.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,11 @@ def runs(graph: Graph) -> DataFrame:
     return graph.nodes.where("type = 'Module'").groupBy(F.col("design").alias("run")).agg(F.min("id").alias("node"))
 
 
+def every_module(graph: Graph) -> DataFrame:
+    """One run per module, seeded with it."""
+    return graph.nodes.where("type = 'Module'").select(F.col("id").alias("run"), F.col("id").alias("node"))
+
+
 # the same graph as common table expressions ``nodes``, ``edges`` and ``seeds``
 GRAPH_SQL = """
 known AS (SELECT DISTINCT module_id AS id FROM modules WHERE module_id IS NOT NULL),
@@ -123,3 +130,30 @@ edge_rows AS (
 edges AS (SELECT src, dst, arg_max(relation, seq) AS relation FROM edge_rows WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst),
 seeds AS (SELECT design AS run, min(id) AS node FROM nodes WHERE type = 'Module' GROUP BY design)
 """
+
+# the seeds of ``runs`` in SQL, and those of ``every_module``
+_SEEDS_SQL = "seeds AS (SELECT design AS run, min(id) AS node FROM nodes WHERE type = 'Module' GROUP BY design)"
+_EVERY_SQL = "seeds AS (SELECT id AS run, id AS node FROM nodes WHERE type = 'Module')"
+
+
+def from_every_module(sql: str) -> str:
+    """A query's SQL with every module as a run of its own."""
+    if _SEEDS_SQL not in sql:
+        raise ValueError("the SQL has no seeds")
+    return sql.replace(_SEEDS_SQL, _EVERY_SQL)
+
+
+def every_of(queries: dict, sqls: dict):
+    """A decorator that registers a seeded query again as ``name_all``, from every module."""
+
+    def every(with_sql: bool = True):
+        def add(f):
+            name = f"{f.__name__}_all"
+            queries[name] = partial(f, seeds=every_module)
+            if with_sql:
+                sqls[name] = from_every_module(sqls[f.__name__])
+            return f
+
+        return add
+
+    return every

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netquarry.operators import graph as G
 from netquarry.operators import metrics as M
 from netquarry.operators import traverse as T
-from netquarry.plans.design_graph import GRAPH_SQL, design_graph, runs
+from netquarry.plans.design_graph import GRAPH_SQL, design_graph, every_module, every_of, runs
 from netquarry.schema import PROPAGATION, TRUTH_RELATIONS, WEIGHTS
 from netquarry.scratch import load
 
@@ -27,9 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _g(spark: SparkSession, sf_dir: str):
+every = every_of(QUERIES, SQL)
+
+
+def _g(spark: SparkSession, sf_dir: str, seeds=runs):
     g = design_graph(spark, sf_dir)
-    return g, runs(g)
+    return g, seeds(g)
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -97,40 +100,46 @@ def g_by_type(spark, sf_dir):
     return G.by_type(_g(spark, sf_dir)[0], "Clock", {"design": "HUB_SOC"}).select("id", "type", "name", "design")
 
 
+@every()
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {_walk(_ALL, 3)} SELECT run, node, hop, round(1.0 / (hop + 1), 6) AS risk FROM reach WHERE hop > 0")
-def g_bfs(spark, sf_dir):
+def g_bfs(spark, sf_dir, seeds=runs):
     """Impact within three hops of one module of each design."""
-    return _short(T.bfs(*_g(spark, sf_dir)))
+    return _short(T.bfs(*_g(spark, sf_dir, seeds)))
 
 
+@every()
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {_walk(_ALL, 3, "n.type NOT IN ('Net', 'Commit')")} SELECT run, node, hop, round(1.0 / (hop + 1), 6) AS risk FROM reach WHERE hop > 0""")
-def g_bfs_excluding(spark, sf_dir):
+def g_bfs_excluding(spark, sf_dir, seeds=runs):
     """The same without passing nets and commits."""
-    return _short(T.bfs(*_g(spark, sf_dir), exclude_types=("Net", "Commit")))
+    return _short(T.bfs(*_g(spark, sf_dir, seeds), exclude_types=("Net", "Commit")))
 
 
+@every()
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {_walk("'instantiates', 'depended_by'", 5, "n.type = 'Module'")} SELECT run, node, hop, round(1.0 / (hop + 1), 6) AS risk FROM reach WHERE hop > 0""")
-def g_structural(spark, sf_dir):
+def g_structural(spark, sf_dir, seeds=runs):
     """Impact along the module hierarchy only."""
-    return _short(T.structural(*_g(spark, sf_dir)))
+    return _short(T.structural(*_g(spark, sf_dir, seeds)))
 
 
+@every()
 @query(_path_max(5, {}))
-def g_weighted_path_max(spark, sf_dir):
+def g_weighted_path_max(spark, sf_dir, seeds=runs):
     """Impact by the best walk of at most five steps."""
-    return T.weighted_bfs(*_g(spark, sf_dir), mode="path_max").select("run", "node", F.round("risk", 6).alias("risk"))
+    return T.weighted_bfs(*_g(spark, sf_dir, seeds), mode="path_max").select("run", "node", F.round("risk", 6).alias("risk"))
 
 
+@every()
 @query(_path_max(3, {"drives": 1.0, "has_port": 1.0, "connected_to": 1.0}))
-def g_weighted_width(spark, sf_dir):
+def g_weighted_width(spark, sf_dir, seeds=runs):
     """Impact of a width change: the weights of its relations replaced."""
-    return T.weighted_bfs(*_g(spark, sf_dir), mode="path_max", max_depth=3, change_type="width").select("run", "node", F.round("risk", 6).alias("risk"))
+    return T.weighted_bfs(*_g(spark, sf_dir, seeds), mode="path_max", max_depth=3, change_type="width").select("run", "node", F.round("risk", 6).alias("risk"))
 
 
+@every(with_sql=False)
 @query()
-def g_weighted_label(spark, sf_dir):
+def g_weighted_label(spark, sf_dir, seeds=runs):
     """Impact by best-first labels (checked against a heap on random graphs in the tests)."""
-    return _short(T.weighted_bfs(*_g(spark, sf_dir)))
+    return _short(T.weighted_bfs(*_g(spark, sf_dir, seeds)))
 
 
 def _rank_sql(iterations: int, alpha: float) -> str:
@@ -154,11 +163,12 @@ def g_pagerank(spark, sf_dir):
 _BOTH = "(SELECT src, dst, relation FROM edges UNION ALL SELECT dst, src, relation FROM edges)"
 
 
+@every()
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, bi AS {_BOTH}, {_walk("", 2, edges="bi")}
 SELECT run, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY hop, node) AS k FROM reach) WHERE k <= 100""")
-def g_neighborhood(spark, sf_dir):
+def g_neighborhood(spark, sf_dir, seeds=runs):
     """The hundred nodes nearest to each seed within two hops, directions ignored."""
-    return T.neighborhood(*_g(spark, sf_dir), hops=2)
+    return T.neighborhood(*_g(spark, sf_dir, seeds), hops=2)
 
 
 _PAIRS = "pairs AS (SELECT run, source, target FROM (SELECT s.run, s.node AS source, e2.dst AS target, row_number() OVER (PARTITION BY s.run ORDER BY e2.dst DESC) AS k FROM seeds s JOIN edges e ON e.src = s.node JOIN edges e2 ON e2.src = e.dst WHERE e2.dst <> s.node) WHERE k = 1)"
@@ -179,20 +189,38 @@ def g_paths(spark, sf_dir):
     return T.shortest_paths(g, pairs)
 
 
+_EVERY_PAIR = "pairs AS (SELECT DISTINCT e.src || ' ' || e2.dst AS run, e.src AS source, e2.dst AS target FROM nodes n JOIN edges e ON e.src = n.id JOIN edges e2 ON e2.src = e.dst WHERE n.type = 'Module' AND e2.dst <> e.src)"
+
+
+@query(f"""WITH {GRAPH_SQL}, {_EVERY_PAIR},
+t AS (SELECT p.*, CASE WHEN e.src IS NULL THEN 2 ELSE 1 END AS total FROM pairs p LEFT JOIN edges e ON e.src = p.source AND e.dst = p.target)
+SELECT run, source AS node, 0 AS distance, total FROM t UNION ALL SELECT run, target, total, total FROM t
+UNION ALL SELECT DISTINCT t.run, e.dst, 1, 2 FROM t JOIN edges e ON e.src = t.source JOIN edges e2 ON e2.src = e.dst AND e2.dst = t.target WHERE t.total = 2""")
+def g_paths_all(spark, sf_dir):
+    """All nodes on shortest paths from every module to every node two steps away."""
+    g, s = _g(spark, sf_dir, every_module)
+    e = g.edges.select("src", "dst")
+    two = s.join(e.select(F.col("src").alias("node"), F.col("dst").alias("mid")), "node").join(e.select(F.col("src").alias("mid"), F.col("dst").alias("target")), "mid").where("target <> node")
+    pairs = two.select(F.concat_ws(" ", "node", "target").alias("run"), F.col("node").alias("source"), "target").distinct()
+    return T.shortest_paths(g, pairs, most=2)
+
+
+@every()
 @query(f"""WITH {GRAPH_SQL},
 c1 AS (SELECT run, node FROM (SELECT run, node, row_number() OVER (PARTITION BY run ORDER BY node) AS k FROM (SELECT DISTINCT s.run, e.dst AS node FROM seeds s JOIN edges e ON e.src = s.node JOIN nodes n ON n.id = e.dst WHERE e.relation = 'instantiates' AND n.type = 'Module')) WHERE k <= 20),
 c2 AS (SELECT run, node FROM (SELECT run, node, row_number() OVER (PARTITION BY run ORDER BY node) AS k FROM (SELECT DISTINCT s.run, e.dst AS node FROM c1 s JOIN edges e ON e.src = s.node WHERE e.relation = 'modified_by')) WHERE k <= 20)
 SELECT run, node, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT run, node, 0 AS hop FROM seeds UNION ALL SELECT run, node, 1 FROM c1 UNION ALL SELECT run, node, 2 FROM c2) GROUP BY run, node""")
-def g_chain(spark, sf_dir):
+def g_chain(spark, sf_dir, seeds=runs):
     """Commits that modified the submodules of each seed."""
-    return T.chain(*_g(spark, sf_dir), [("instantiates", "Module"), ("modified_by", "")])
+    return T.chain(*_g(spark, sf_dir, seeds), [("instantiates", "Module"), ("modified_by", "")])
 
 
+@every()
 @query(f"""WITH {GRAPH_SQL}, bi AS {_BOTH}, one AS (SELECT run, node FROM seeds UNION SELECT s.run, b.dst FROM seeds s JOIN bi b ON b.src = s.node)
 SELECT run, node FROM one UNION SELECT o.run, b.dst FROM one o JOIN nodes n ON n.id = o.node JOIN bi b ON b.src = o.node WHERE n.type IN ('Port', 'Register', 'Clock')""")
-def g_context(spark, sf_dir):
+def g_context(spark, sf_dir, seeds=runs):
     """Everything around each seed, one step further from its ports and clocks."""
-    return T.full_context(*_g(spark, sf_dir))
+    return T.full_context(*_g(spark, sf_dir, seeds))
 
 
 @query(f"""WITH {GRAPH_SQL}, bi AS {_BOTH}, one AS (SELECT node FROM seeds UNION SELECT b.dst FROM seeds s JOIN bi b ON b.src = s.node)
@@ -217,10 +245,11 @@ tw AS (SELECT run, node, change_type, 0 AS hop FROM chg UNION
 truth AS (SELECT w.run, w.node, n.type AS artifact_type, CAST(min(w.hop) AS INTEGER) AS hop FROM tw w JOIN nodes n ON n.id = w.node GROUP BY 1, 2, 3 HAVING min(w.hop) > 0)"""
 
 
+@every()
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {_TRUTH} SELECT run, node, artifact_type, hop FROM truth")
-def g_truth(spark, sf_dir):
+def g_truth(spark, sf_dir, seeds=runs):
     """What each of seven types of change to each seed truly affects."""
-    g, s = _g(spark, sf_dir)
+    g, s = _g(spark, sf_dir, seeds)
     return T.ground_truth(g, _changes(g, s))
 
 

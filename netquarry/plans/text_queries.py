@@ -11,7 +11,7 @@ from netquarry.operators import history as H
 from netquarry.operators import metrics as M
 from netquarry.operators import questions as Q
 from netquarry.operators import traverse as T
-from netquarry.plans.design_graph import GRAPH_SQL, design_graph, runs
+from netquarry.plans.design_graph import GRAPH_SQL, design_graph, every_of, runs
 from netquarry.scratch import load
 from netquarry.sources import constraints as C
 from netquarry.streaming import ingest
@@ -31,6 +31,9 @@ def query(sql: str | None = None):
     return add
 
 
+every = every_of(QUERIES, SQL)
+
+
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{p}') THEN '{n}'" for n, p in S.COMMIT_CLASSES) + " END"
 
 
@@ -159,15 +162,16 @@ def t_key_entities(spark, sf_dir):
     return load(spark, sf_dir, "eval_items").select("item_id", S.key_entities(F.col("gold_answer")).alias("entities")).distinct()
 
 
+@every()
 @query(f"""WITH {GRAPH_SQL}, w AS (SELECT DISTINCT s.run, unnest(list_distinct(list_filter(list_append(string_split(lower(n.name), '_'), lower(n.name)), lambda x: length(x) >= 3))) AS word FROM seeds s JOIN nodes n ON n.id = s.node),
 k AS (SELECT run, count(*) AS n FROM w GROUP BY run),
 h AS (SELECT id, lower(concat_ws(' ', name, raw_line, summary)) AS t FROM nodes),
 m AS (SELECT w.run, h.id AS node, count(*) AS n FROM w JOIN h ON contains(h.t, w.word) GROUP BY 1, 2)
 SELECT m.run, m.node, round(least(1.0, m.n / k.n), 6) AS risk FROM m JOIN k ON k.run = m.run WHERE (m.run, m.node) NOT IN (SELECT run, node FROM seeds)""")
-def g_lexical(spark, sf_dir):
+def g_lexical(spark, sf_dir, seeds=runs):
     """Impact by the words of each seed's name."""
     g = design_graph(spark, sf_dir)
-    return T.lexical(g, runs(g)).select("run", "node", F.round("risk", 6).alias("risk"))
+    return T.lexical(g, seeds(g)).select("run", "node", F.round("risk", 6).alias("risk"))
 
 
 @query(f"""WITH {GRAPH_SQL}, q AS (SELECT DISTINCT child_module_name AS query, lower(child_module_name) AS q FROM instances WHERE child_module_name IS NOT NULL AND child_module_name <> ''),

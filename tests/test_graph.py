@@ -12,7 +12,9 @@ from netquarry.operators import graph as G
 from netquarry.operators import metrics as M
 from netquarry.operators import traverse as T
 from netquarry.operators.components import connected
-from netquarry.schema import DEFAULT_WEIGHT, TRUTH_RELATIONS, WEIGHTS
+from netquarry.plans import registry
+from netquarry.plans.design_graph import design_graph
+from netquarry.schema import DEFAULT_WEIGHT, PROPAGATION, TRUTH_RELATIONS, WEIGHTS
 
 RELATIONS = ["instantiates", "depended_by", "has_port", "drives", "covers", "references_clock"]
 TYPES = ["Module", "Port", "Net", "Clock"]
@@ -123,6 +125,20 @@ def test_pagerank_equals_dense_iteration(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[n], want[n], rel_tol=1e-6) for n in want)
 
 
+def test_seeded_queries_also_run_from_every_module_and_commit(spark):
+    path, sqls, got = "/root/testdata/sf0.001", registry.oracle_sql(), registry.queries()
+    g = design_graph(spark, path)
+    edges = {(r.src, r.dst): r.relation for r in g.edges.collect()}
+    modules = {r.id for r in g.nodes.where("type = 'Module'").collect()}
+    want = {(m, k, v) for m in modules for k, v in hops({e for e, r in edges.items() if r in PROPAGATION}, {m}, 3).items() if v}
+    assert {(r.run, r.node, r.hop) for r in got["g_bfs_all"](spark, path).collect()} == want
+    commits = {a for (a, b), r in edges.items() if r == "modifies"}
+    want = {(c, k, v) for c in commits for k, v in hops({e for e, r in edges.items() if r in PROPAGATION}, {b for (a, b), r in edges.items() if a == c and r == "modifies"}, 2).items() if v}
+    assert {(r.run, r.node, r.hop) for r in got["g_from_commit_all"](spark, path).collect()} == want
+    for name in "bfs_excluding structural weighted_path_max weighted_width weighted_label neighborhood chain context truth lexical set_sides paths".split():
+        assert f"g_{name}_all" in got and (f"g_{name}_all" in sqls or name == "weighted_label")
+
+
 def test_compare_runs_all_five_methods(spark):
     g, types, edges = make(spark, 9, m=200)
     first = min(a for (a, b), r in edges.items() if types[a] == types[b] == "Module" and r in ("instantiates", "depended_by"))
