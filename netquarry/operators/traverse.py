@@ -185,7 +185,8 @@ def pagerank(graph: Graph, seeds: DataFrame, alpha: float = 0.85, iterations: in
 
     Power iteration over all edges, unweighted; the rank of nodes without outgoing
     edges goes back to the seeds.  It stops when a run's total change falls below
-    nodes x ``tolerance`` in all runs, or after ``iterations`` (always that many
+    nodes x ``tolerance`` in all runs, counting the nodes of the designs of its
+    seeds (other designs in the graph must not loosen it), or after ``iterations`` (always that many
     for ``tolerance=None``).  Ranks that are still zero take no part.
     """
     edges = graph.edges.select("src", "dst")
@@ -194,7 +195,10 @@ def pagerank(graph: Graph, seeds: DataFrame, alpha: float = 0.85, iterations: in
     seeds = known_seeds(graph, seeds)
     per = seeds.groupBy("run").agg(F.count("*").alias("m"))
     personal = scratch.table(seeds.join(per, "run").select("run", "node", (1.0 / F.col("m")).alias("p")), "personal")
-    total = graph.nodes.count()
+    design = F.coalesce("design", F.lit("")).alias("design") if "design" in graph.nodes.columns else F.lit("").alias("design")
+    homes = seeds.join(graph.nodes.select(F.col("id").alias("node"), design), "node").select("run", "design").distinct()
+    sized = homes.join(graph.nodes.groupBy(design).agg(F.count("*").alias("n")), "design").groupBy("run").agg(F.sum("n").alias("n"))
+    sized = scratch.table(sized, "sized") if tolerance is not None else sized
     leaf = links.select(F.col("src").alias("node")).distinct().withColumn("inner", F.lit(True))
     x = scratch.table(personal.select("run", "node", F.col("p").alias("x")), "rank")
     for _ in range(iterations):
@@ -205,10 +209,10 @@ def pagerank(graph: Graph, seeds: DataFrame, alpha: float = 0.85, iterations: in
         new = scratch.table(new, "rank")
         if tolerance is not None:
             both = new.join(x.withColumnRenamed("x", "y"), ["run", "node"], "full")
-            worst = both.groupBy("run").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))).alias("e")).agg(F.max("e")).first()[0]
+            worst = both.groupBy("run").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))).alias("e")).join(sized, "run").agg(F.max(F.col("e") / F.col("n"))).first()[0]
             scratch.drop(x)
             x = new
-            if worst is None or worst < total * tolerance:
+            if worst is None or worst < tolerance:
                 break
         else:
             scratch.drop(x)

@@ -160,6 +160,18 @@ def g_pagerank(spark, sf_dir):
     return T.pagerank(g, s, iterations=4, tolerance=None).select("run", "node", F.round("score", 6).alias("score"))
 
 
+@query()
+def g_pagerank_all(spark, sf_dir):
+    """Personalised rank from every module, iterated until it converges (checked against a dense iteration in the tests)."""
+    return T.pagerank(*_g(spark, sf_dir, every_module)).select("run", "node", F.round("score", 6).alias("score"))
+
+
+@query()
+def g_pagerank_converged(spark, sf_dir):
+    """The rank of g_pagerank with the operator's defaults: until it converges."""
+    return T.pagerank(*_g(spark, sf_dir)).select("run", "node", F.round("score", 6).alias("score"))
+
+
 _BOTH = "(SELECT src, dst, relation FROM edges UNION ALL SELECT dst, src, relation FROM edges)"
 
 

@@ -13,7 +13,7 @@ from netquarry.operators import metrics as M
 from netquarry.operators import traverse as T
 from netquarry.operators.components import connected
 from netquarry.plans import registry
-from netquarry.plans.design_graph import design_graph
+from netquarry.plans.design_graph import design_graph, every_module, runs
 from netquarry.schema import DEFAULT_WEIGHT, PROPAGATION, TRUTH_RELATIONS, WEIGHTS
 
 RELATIONS = ["instantiates", "depended_by", "has_port", "drives", "covers", "references_clock"]
@@ -154,6 +154,47 @@ def test_compare_runs_all_five_methods(spark):
     assert {r.method for r in T.compare(g, s, ("pagerank", "no_such_method")).collect()} == {"pagerank"}
 
 
+def test_registered_pageranks_converge(spark):
+    path, got = "/root/testdata/sf0.001", registry.queries()
+    g = design_graph(spark, path)
+    edges = [(r.src, r.dst) for r in g.edges.collect()]
+    names = [r.id for r in g.nodes.select("id").collect()]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    one = {(r.run, r.node) for r in runs(g).collect()}
+    for name, starts in (("g_pagerank_converged", one), ("g_pagerank_all", {(r.run, r.node) for r in every_module(g).collect()})):
+        ranks = {}
+        for r in got[name](spark, path).collect():
+            ranks.setdefault(r.run, {})[r.node] = r.score
+        worst = 0
+        for run, seed in starts:
+            x = {seed: 1.0}
+            for _ in range(200):
+                new = {seed: 0.15 + 0.85 * sum(v for n, v in x.items() if n not in out)}
+                for n, v in x.items():
+                    for b in out.get(n, ()):
+                        new[b] = new.get(b, 0.0) + 0.85 * v / len(out[n])
+                error, x = sum(abs(new.get(n, 0) - x.get(n, 0)) for n in {*new, *x}), new
+                if error < 1e-12:
+                    break
+            top = max(x.values())
+            want = {n: v / top for n, v in x.items() if n != seed}
+            have = ranks.get(run, {})
+            worst = max([worst, *(abs(have.get(n, 0) - want.get(n, 0)) for n in {*have, *want})])
+        assert worst < len(names) * 1e-6 / 0.15 + 1e-4
+    four = {(r.run, r.node) for r in got["g_pagerank"](spark, path).collect()}
+    assert four < {(r.run, r.node) for r in got["g_pagerank_converged"](spark, path).collect()}
+
+
+def test_other_designs_do_not_loosen_the_rank(spark):
+    g, types, edges = make(spark, 9)
+    rest = spark.range(2_000_000).select(F.concat(F.lit("x"), "id").alias("id"), F.lit("Net").alias("type"), F.lit("x").alias("name"), F.lit("other").alias("design"))
+    alone = {r.node: r.score for r in T.pagerank(g, seeds(spark, ("a", "n00"))).collect()}
+    among = {r.node: r.score for r in T.pagerank(G.Graph(g.nodes.unionByName(rest), g.edges), seeds(spark, ("a", "n00"))).collect()}
+    assert alone.keys() == among.keys() and all(math.isclose(alone[n], among[n], rel_tol=1e-9) for n in alone)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(None, 1), (5, 5)]
