@@ -231,9 +231,23 @@ def hierarchies(nodes: DataFrame, links: DataFrame, with_path: bool = True, comp
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, node_id, distance) of every node below every node, for trees with paths."""
-    rows = tree.where("path is not null").select("node_id", "tree_depth", F.posexplode("path").alias("level", "ancestor_id"))
-    return rows.where("level < tree_depth").select("ancestor_id", "node_id", (F.col("tree_depth") - F.col("level")).alias("distance"))
+    """(ancestor_id, node_id, distance) of every other node below every node, on and below cycles too.
+
+    Each node's chain of ancestors doubles until it ends at a root or repeats, so
+    paths from a root are not needed; the distance is that of the shortest way.
+    """
+    up = F.when(F.col("parent_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent_id"))
+    at = scratch.table(tree.select("node_id", up.alias("chain"), F.col("parent_id").isNull().alias("ended")), "chain")
+    while at.where("not ended").limit(1).count():
+        far = at.select(F.col("node_id").alias("last"), F.col("chain").alias("more"), F.col("ended").alias("ended2"))
+        step = at.where("not ended").withColumn("last", F.element_at("chain", -1)).join(far, "last")
+        step = step.select("node_id", F.array_distinct(F.concat("chain", "more")).alias("longer"), (F.size("chain") + F.size("more")).alias("most"), "ended2")
+        step = step.select("node_id", F.col("longer").alias("chain"), (F.col("ended2") | (F.size("longer") < F.col("most"))).alias("ended"))
+        new = scratch.table(step.unionByName(at.where("ended")), "chain")
+        scratch.drop(at)
+        at = new
+    rows = at.select("node_id", F.posexplode("chain").alias("level", "ancestor_id"))
+    return rows.where("ancestor_id <> node_id").select("ancestor_id", "node_id", (F.col("level") + 1).alias("distance"))
 
 
 def cycle_edges(tree: DataFrame) -> DataFrame:

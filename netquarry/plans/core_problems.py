@@ -25,11 +25,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every module's full path from its root, and the links that form cycles."""
+    """Every module's full path from its root, and whether it is on a cycle."""
     tree = _module_tree(spark, sf_dir, True)
     return tree.select(F.col("node_id").alias("module_id"), F.array_join("path", "/").alias("full_path"), "on_cycle")
 
 
+def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other module below every module, with its distance."""
+    return hierarchy.descendants(_module_tree(spark, sf_dir, False)).select("ancestor_id", F.col("node_id").alias("module_id"), "distance")
+
+
+def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that form cycles, by the smallest module of the cycle."""
+    return hierarchy.cycle_edges(_module_tree(spark, sf_dir, False)).select("component", "parent_id", F.col("node_id").alias("module_id"))
+
+
 def _first(names: str, *paths: str) -> list[str]:
     return [names, *paths]
 
@@ -79,7 +89,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("reason is not null").select("row_id", "reason")
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p5_found": p5_found, "p7_found": p7_found, "p7_parsed": p7_parsed}
+QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p5_found": p5_found, "p7_found": p7_found, "p7_parsed": p7_parsed}
 
 _LINKS = """
   known AS (SELECT DISTINCT module_id AS node FROM modules WHERE module_id IS NOT NULL),
@@ -99,4 +109,9 @@ SQL = {
 SELECT k.node AS module_id, coalesce(e.root_id, 'CYCLE') AS root_id,
        CAST(coalesce(e.tree_depth, -1) AS INTEGER) AS tree_depth, CAST(b.n AS INTEGER) AS n_below
 FROM known k LEFT JOIN ended e ON e.node = k.node JOIN below b ON b.node = k.node""",
+    "p1_descendants": f"""WITH RECURSIVE {_LINKS}
+SELECT here AS ancestor_id, node AS module_id, CAST(min(d) AS INTEGER) AS distance FROM walk WHERE here <> node GROUP BY 1, 2""",
+    "p1_cycles": f"""WITH RECURSIVE {_LINKS},
+  ring AS (SELECT node, min(here) AS component FROM walk WHERE node IN (SELECT node FROM walk WHERE d > 0 AND here = node) GROUP BY 1)
+SELECT r.component, u.parent AS parent_id, r.node AS module_id FROM ring r JOIN up u ON u.node = r.node""",
 }

@@ -73,6 +73,22 @@ def test_descendants_and_cycle_links(spark):
     assert {(r.parent_id, r.node_id) for r in H.cycle_edges(tree).collect()} == {("d", "d")}
 
 
+def test_descendants_on_and_below_cycles(spark):
+    n = spark.createDataFrame([(x,) for x in "abcst"], "node_id string")
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("s", "s"), ("s", "t")], "parent_id string, child_id string")
+    want = {("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("a", "c", 2), ("s", "t", 1)}
+    for limit in (1000, 0):
+        assert {tuple(r) for r in H.descendants(H.hierarchies(n, e, False, limit)).collect()} == want
+    for seed in (1, 2):
+        nodes, links = forest(seed)
+        tree = H.hierarchies(spark.createDataFrame([(x,) for x in nodes], "node_id string"), spark.createDataFrame(links, "parent_id string, child_id string"), False)
+        found = H.descendants(tree).collect()
+        counts = {k: 0 for k in nodes if k is not None}
+        for r in found:
+            counts[r.ancestor_id] += 1
+        assert counts == {k: v[2] for k, v in expected(nodes, links).items()} and len({(r.ancestor_id, r.node_id) for r in found}) == len(found)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == {}
     assert run(spark, ["x"], [])["x"].root_id == "x"
