@@ -247,3 +247,11 @@ def c_constraint_changes(spark, sf_dir):
     rows = load(spark, sf_dir, "sdc_constraints").where("raw_line is not null").select("constraint_id", "constraint_type", "raw_line", F.lit("").alias("file_path")).distinct()
     changes = changes_of.constraint_changes(rows, "any", 1 << 30)
     return changes.where("variant = 'remove'").select(F.col("module").alias("constraint_id"), "variant", "new_text")
+
+
+@query()
+def c_constraint_changes_all(spark, sf_dir):
+    """Every change of a constraint: periods halved and doubled, false paths removed, delays doubled."""
+    rows = load(spark, sf_dir, "sdc_constraints").where("raw_line is not null").select("constraint_id", "constraint_type", "raw_line", F.lit("").alias("file_path")).distinct()
+    changes = changes_of.constraint_changes(rows, "any", 1 << 30)
+    return changes.select(F.col("module").alias("constraint_id"), "variant", "old_text", "new_text")

@@ -10,6 +10,7 @@ from netquarry.functions import scalars as S
 from netquarry.operators import changes as C
 from netquarry.operators import questions as Q
 from netquarry.operators import traverse as T
+from netquarry.plans import registry
 from netquarry.plans.build import Design, build_design
 from netquarry.sources import assertions as A
 from netquarry.sources import commits as L
@@ -215,3 +216,26 @@ def test_models_and_their_failures(spark):
         raise RuntimeError("down")
 
     assert {r.error for r in Q.answer(prompts, broken).collect()} == {"RuntimeError: down"}
+
+
+def test_changed_texts_are_found_anywhere_in_a_line(spark):
+    lines = ["set_load  0.05 [get_ports a]", "create_clock -period 10.0 [get_ports clk]", "  set_load 0.05 [get_ports a]", "# set_load  0.05 [get_ports a]", "x", ""]
+    texts = ["0.05 [get_ports a]", "set_load  0.05 [get_ports a]", "clk", "period 10", "x", "none such text", "", "get_port", "set_load 0.05", "get_ports clk"]
+    changes = spark.createDataFrame([(f"c{k}", t) for k, t in enumerate(texts)], "change_id string, old_text string")
+    rows = spark.createDataFrame([(f"r{k}", t) for k, t in enumerate(lines)] + [("null", None)], "constraint_id string, raw_line string")
+    want = {(f"c{i}", f"r{j}") for i, t in enumerate(texts) for j, line in enumerate(lines) if t and t in line}
+    for gram in (1, 3, 8, 20):
+        assert {tuple(r) for r in C.matching_constraints(changes, rows, gram).collect()} == want
+
+
+def test_every_variant_of_constraint_changes_is_registered(spark):
+    path = "/root/testdata/sf0.01"
+    got = registry.queries()["c_constraint_changes_all"](spark, path).collect()
+    assert {r.variant for r in got} == {"halve_period", "double_period", "remove", "double_delay"}
+    removed = {tuple(r) for r in registry.queries()["c_constraint_changes"](spark, path).collect()}
+    assert {(r.constraint_id, r.variant, r.new_text) for r in got if r.variant == "remove"} == removed
+    factor = {"halve_period": 0.5, "double_period": 2.0}
+    for r in got:
+        if r.variant in factor:
+            was, now = (float(t.split("-period")[1].split()[0]) for t in (r.old_text, r.new_text))
+            assert now == was * factor[r.variant]
