@@ -77,6 +77,12 @@ def macro(scored: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
     return scored.rollup(*groups).agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
 
 
+def mean_of_means(scored: DataFrame, keys: list[str], unit: str, values: list[str]) -> DataFrame:
+    """Unweighted means, over the units, of each unit's own means: a large unit counts as much as a small one."""
+    per = scored.groupBy(*keys, unit).agg(*[F.avg(v).alias(v) for v in values])
+    return per.groupBy(*keys).agg(F.count("*").alias("n_units"), *[F.avg(v).alias(v) for v in values])
+
+
 def answer_scores(rows: DataFrame) -> DataFrame:
     """Token f1, evidence recall and precision and entity recall of ``answer, gold, evidence, retrieved`` columns.
 

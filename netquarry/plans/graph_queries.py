@@ -329,3 +329,12 @@ def m_macro(spark, sf_dir):
     rows = load(spark, sf_dir, "impacted_artifacts").where("risk_score is not null and not isnan(risk_score)")
     out = M.macro(rows, ["method_name", "artifact_type"], ["risk_score", "hop_distance"])
     return out.select("method_name", "artifact_type", "n", F.round("risk_score", 6).alias("risk_score"), F.round("hop_distance", 6).alias("hop_distance"))
+
+
+@query("""WITH d AS (SELECT method_name, design, avg(risk_score) AS r, avg(hop_distance) AS h FROM impacted_artifacts WHERE risk_score IS NOT NULL AND NOT isnan(risk_score) GROUP BY 1, 2)
+SELECT method_name, count(*) AS n_units, round(avg(r), 6) AS risk_score, round(avg(h), 6) AS hop_distance FROM d GROUP BY 1""")
+def m_cross_design(spark, sf_dir):
+    """Mean risk and distance by method, each design counting once."""
+    rows = load(spark, sf_dir, "impacted_artifacts").where("risk_score is not null and not isnan(risk_score)")
+    out = M.mean_of_means(rows, ["method_name"], "design", ["risk_score", "hop_distance"])
+    return out.select("method_name", "n_units", F.round("risk_score", 6).alias("risk_score"), F.round("hop_distance", 6).alias("hop_distance"))

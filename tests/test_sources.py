@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import scalars as S
 from netquarry.operators import changes as C
+from netquarry.operators import graph as G
+from netquarry.operators import metrics as M
 from netquarry.operators import questions as Q
 from netquarry.operators import traverse as T
 from netquarry.plans import registry
@@ -239,3 +241,16 @@ def test_every_variant_of_constraint_changes_is_registered(spark):
         if r.variant in factor:
             was, now = (float(t.split("-period")[1].split()[0]) for t in (r.old_text, r.new_text))
             assert now == was * factor[r.variant]
+
+
+def test_constraints_are_attributed_to_modules(spark):
+    nodes = [("m", "Module", "m_name", "d", False), ("n", "Module", "n_name", "d", True), ("p", "Port", "p", "d", None), ("r", "Register", "r", "d", None), ("k", "Clock", "k", "d", None), ("idle", "Clock", "idle", "d", None)]
+    nodes += [(f"c{i}", "Constraint", "x", "d", None) for i in range(6)] + [("c6", "Constraint", "x", "empty", None), ("c7", "Constraint", "x", "flat", None), ("f", "Module", "f_name", "flat", False)]
+    edges = [("m", "p", "has_port"), ("m", "r", "contains_register"), ("r", "k", "clocked_by"), ("c0", "m", "applies_to"), ("c1", "p", "applies_to"), ("c2", "k", "applies_to"), ("p", "c3", "constrained_by"), ("c4", "idle", "applies_to")]
+    g = G.Graph(spark.createDataFrame(nodes, "id string, type string, name string, design string, is_top boolean"), spark.createDataFrame(edges, "src string, dst string, relation string"))
+    assert {r.constraint_id: r.module for r in C.constraint_modules(g).collect()} == {**{f"c{i}": "m_name" for i in range(4)}, "c4": "n_name", "c5": "n_name", "c6": "unknown", "c7": "f_name"}
+
+
+def test_each_design_counts_once_in_a_mean_of_means(spark):
+    rows = spark.createDataFrame([("m", "big", 1.0)] * 9 + [("m", "small", 0.0), ("o", "small", 0.5)], "method string, design string, v double")
+    assert {tuple(r) for r in M.mean_of_means(rows, ["method"], "design", ["v"]).collect()} == {("m", 2, 0.5), ("o", 1, 0.5)}
