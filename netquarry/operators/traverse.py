@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from netquarry import scratch
 from netquarry.functions import scalars
+from netquarry.operators.changes import contained
 from netquarry.operators.graph import Graph, both_ways, induced
 from netquarry.schema import DEFAULT_WEIGHT, OVERRIDES, PROPAGATION, TRUTH_DEPTH, TRUTH_FALLBACK, TRUTH_RELATIONS, WEIGHTS
 
@@ -328,22 +329,23 @@ def resolve_names(graph: Graph, queries: DataFrame) -> DataFrame:
     """(query, node, rank): the node that each typed name means.
 
     In order: an id; a name or last id part that equals it; one that contains it or
-    is contained in it, modules first; an id that ends with it.  Within a rank the
-    smallest id.  Containment is tried only where both share their first three
-    letters of a word, never on all pairs.
+    is contained in it, modules first.  Within a rank, an id that ends with ``::``
+    and the name, then the smallest id.  Containment is found by three-letter pieces,
+    shorter names by pieces of their length, never on all pairs.
     """
     q = queries.select("query", F.lower("query").alias("q")).where("query is not null and query <> ''").distinct()
     last = F.element_at(F.split("id", "::"), -1)
     named = graph.nodes.select("id", "type", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(last)))).alias("key")).where("key is not null and key <> ''")
     by_id = q.join(graph.nodes.select(F.col("id").alias("query"), F.col("id").alias("node")), "query").select("query", "node", F.lit(1).alias("rank"))
     exact = q.join(named.withColumnRenamed("key", "q"), "q").select("query", F.col("id").alias("node"), F.lit(2).alias("rank"))
-    word = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, "[^a-z0-9]+"), lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3)))
-    open_q = q.join(by_id.unionByName(exact).select("query").distinct(), "query", "left_anti").select("query", "q", F.explode(word(F.col("q"))).alias("piece"))
-    parts = named.select("id", "type", "key", F.explode(word(F.col("key"))).alias("piece"))
-    near = open_q.join(parts, "piece").where(F.contains("key", "q") | F.contains("q", "key"))
+    open_q = q.join(by_id.unionByName(exact).select("query").distinct(), "query", "left_anti").select("query", "q")
+    inside = contained(open_q.select(F.col("q").alias("text")), named.select(F.col("key").alias("line")), 3).select(F.col("text").alias("q"), F.col("line").alias("key"))
+    around = contained(named.select(F.col("key").alias("text")), open_q.select(F.col("q").alias("line")), 3).select(F.col("line").alias("q"), F.col("text").alias("key"))
+    near = open_q.join(inside.unionByName(around).distinct(), "q").join(named, "key")
     near = near.select("query", F.col("id").alias("node"), F.when(F.col("type") == "Module", 3).otherwise(4).alias("rank"))
     every = by_id.unionByName(exact).unionByName(near)
-    order = Window.partitionBy("query").orderBy("rank", "node")
+    ends = F.endswith("node", F.concat(F.lit("::"), F.col("query")))
+    order = Window.partitionBy("query").orderBy("rank", F.when(F.col("rank").isin(3, 4) & ends, 0).otherwise(1), "node")
     return every.distinct().withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 

@@ -245,6 +245,14 @@ def test_names_and_words(spark):
     assert hit == {"d::uart_tx": 1 / 3}
 
 
+def test_names_inside_words_short_names_and_endings_resolve(spark):
+    rows = [("d::core", "Module", "core", "d"), ("d::fpualu", "Module", "fpualu", "d"), ("d::core::zq9", "Port", "zq9", "d"), ("d::a::rx", "Port", "rx", "d"), ("d::b::rx", "Port", "rx", "d")]
+    g = G.Graph(spark.createDataFrame(rows, "id string, type string, name string, design string"), spark.createDataFrame([], "src string, dst string, relation string"))
+    q = spark.createDataFrame([("alu",), ("q9",), ("xxfpualuxx",), ("core::zq9",), ("b::rx",), ("none",)], "query string")
+    got = {r.query: (r.node, r.rank) for r in T.resolve_names(g, q).collect()}
+    assert got == {"alu": ("d::fpualu", 3), "q9": ("d::core::zq9", 4), "xxfpualuxx": ("d::fpualu", 3), "core::zq9": ("d::core", 3), "b::rx": ("d::b::rx", 4)}
+
+
 def test_metric_vectors(spark):
     p = spark.createDataFrame([("1", "b", 1.0, 1), ("1", "c", 0.9, 1), ("2", "b", 1.0, 1), ("3", "b", 1.0, 1), ("3", "d", 0.5, 2), ("5", "b", 1.0, 1)], "k string, node string, risk double, hop int")
     t = spark.createDataFrame([("1", "b"), ("1", "c"), ("2", "b"), ("2", "c"), ("3", "b"), ("3", "c"), ("4", "b")], "k string, node string")
