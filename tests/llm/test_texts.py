@@ -164,3 +164,11 @@ def test_packing_of_tables(spark):
         long = sorted(((r.piece_no, r.start_token, r.n_tokens) for r in got if r.doc_id == 502))
         assert all(a[1] + a[2] == b[1] for a, b in zip(long, long[1:])) and all(x[2] == 256 for x in long[:-1])
     assert K.pack_texts(df.limit(0)).count() == 0
+
+
+def test_open_brackets_quotes_and_backticks_are_truncated():
+    for text in ("uart_tx (8 bits", "The port is `uart_tx", "It has flags (e.g.", "He says “it is", 'It prints "done', "reg [7:0", "端口（八位"):
+        assert P.is_truncated("What is it?", text), text
+    for text in ("uart_tx (8 bits)", "The range is [0, 5).", "a) first one.\nb) second one.", "The port is `uart_tx`.", "Use `define X 1.", "Er sagt „ja“.", 'It is 5" wide.', "```\nx[\n```"):
+        assert not P.is_truncated("What is it?", text), text
+    assert not P.is_open("Fine :)")
