@@ -11,6 +11,8 @@ Defined results
 * a node with several parents keeps the smallest parent id (``n_parents`` tells);
 * a node on a cycle or below one: ``root_id`` is ``CYCLE``, ``tree_depth`` -1,
   ``path`` null; ``on_cycle`` is true for the members of the cycle itself;
+* the back edge of a cycle, which closes the path of a traversal from its smallest
+  node, is the link into that node;
 * null node ids give no row, repeated node ids one row; an empty table gives none.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry import scratch
+from netquarry.operators.skew import HOT, join_one
 
 CYCLE = "CYCLE"
 COMPONENT_LIMIT = 100_000
@@ -44,25 +47,26 @@ def parent_table(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(one, "node", "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0)))
 
 
-def components(parents: DataFrame) -> DataFrame:
+def components(parents: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, parent, n_parents, component, cyclic): label of each weak component.
 
     Round k knows each node's ancestor at distance 2**k and the smallest id on
     the way there.  Only nodes that have not reached a root stay in the loop, so
     it takes log2(depth) rounds for trees; what never ends is on or below a
-    cycle, and is labelled by the smallest id of that cycle.
+    cycle, and is labelled by the smallest id of that cycle.  Many children of one
+    node all look up that node: beyond ``hot`` rows they are spread over tasks.
     """
     at = scratch.table(parents.select("node", F.coalesce("parent", "node").alias("ptr"), F.col("parent").isNull().alias("ended"), F.col("node").alias("least")), "comp")
     left, reach = at.where("not ended").count(), 1
     while left and reach <= left:
         far = at.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("ended").alias("ended2"), F.col("least").alias("least2"))
-        step = at.where("not ended").join(far, "ptr").select("node", F.col("ptr2").alias("ptr"), F.col("ended2").alias("ended"), F.least("least", "least2").alias("least"))
+        step = join_one(at.where("not ended"), far, "ptr", left, ["node"], hot).select("node", F.col("ptr2").alias("ptr"), F.col("ended2").alias("ended"), F.least("least", "least2").alias("least"))
         new = scratch.table(step.unionByName(at.where("ended")), "comp")
         scratch.drop(at)
         at, reach, left = new, reach * 2, new.where("not ended").count()
     # 2**k exceeds the number of unended nodes: every pointer of those is on its cycle
     ring = at.where("not ended").select(F.col("node").alias("ptr"), F.col("least").alias("label"))
-    cyclic = at.where("not ended").join(ring, "ptr").select("node", F.col("label").alias("component"), F.lit(True).alias("cyclic"))
+    cyclic = join_one(at.where("not ended"), ring.groupBy("ptr").agg(F.min("label").alias("label")), "ptr", left, ["node"], hot).select("node", F.col("label").alias("component"), F.lit(True).alias("cyclic"))
     trees = at.where("ended").select("node", F.col("ptr").alias("component"), F.lit(False).alias("cyclic"))
     return parents.join(trees.unionByName(cyclic), "node")
 
@@ -88,8 +92,9 @@ def traverse(members: list[tuple[str, str | None, int]], with_path: bool) -> Ite
     for start in [*starts, *sorted(parent)]:
         if start in colour:
             continue
+        # roots come first: what is reached from another start is on a cycle or below one
         tree = parent[start] is None
-        colour[start], depth[start], root[start], size[start] = 1, 0, start, 0
+        colour[start], depth[start], root[start], size[start] = 1, 0 if tree else -1, start if tree else CYCLE, 0
         stack = [(start, iter(children.get(start, ())))]
         while stack:
             node, rest = stack[-1]
@@ -97,7 +102,7 @@ def traverse(members: list[tuple[str, str | None, int]], with_path: bool) -> Ite
                 state = colour.get(child, 0)
                 if state == 0:
                     colour[child], size[child] = 1, 0
-                    depth[child], root[child] = depth[node] + 1, root[node]
+                    depth[child], root[child] = depth[node] + 1 if tree else -1, root[node]
                     stack.append((child, iter(children.get(child, ()))))
                     break
                 if state == 1:  # back edge: the path from child to node is a cycle
@@ -112,10 +117,6 @@ def traverse(members: list[tuple[str, str | None, int]], with_path: bool) -> Ite
                 stack.pop()
                 if stack:
                     size[stack[-1][0]] += size[node] + 1
-        if not tree:
-            for node in parent:
-                if root.get(node) == start:
-                    root[node], depth[node] = CYCLE, -1
     total = len(parent)
     for node, up, n_parents in members:
         path = None
@@ -165,7 +166,7 @@ def _whole(with_path: bool):
     return run
 
 
-def _spread(labelled: DataFrame, with_path: bool) -> DataFrame:
+def _spread(labelled: DataFrame, with_path: bool, hot: int = HOT) -> DataFrame:
     """The same result for components too large for one task, by pointer doubling only.
 
     Distance to the root and number of nodes below double their reach each
@@ -178,7 +179,7 @@ def _spread(labelled: DataFrame, with_path: bool) -> DataFrame:
         far = at.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
         up = at.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.sum("reached").alias("more"))
         # finished rows stay out of the join: their null keys would meet in one task
-        step = at.where("ptr is not null").join(far, "ptr").select("node", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), "reached")
+        step = join_one(at.where("ptr is not null"), far, "ptr", left, ["node"], hot).select("node", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), "reached")
         step = step.unionByName(at.where("ptr is null"))
         new = scratch.table(step.join(up, "node", "left").select("node", "ptr", "dist", (F.col("reached") + F.coalesce("more", F.lit(0))).alias("reached")), "spread")
         scratch.drop(at)
@@ -198,35 +199,35 @@ def _spread(labelled: DataFrame, with_path: bool) -> DataFrame:
     )
     if not with_path:
         return out.withColumn("path", F.lit(None).cast("array<string>"))
-    return _paths(out)
+    return _paths(out, total, hot)
 
 
-def _paths(out: DataFrame) -> DataFrame:
+def _paths(out: DataFrame, n_rows: int, hot: int) -> DataFrame:
     """Root-to-node paths by doubling: a segment of 2**k nodes is prefixed by its start's segment."""
     at = scratch.table(out.where("tree_depth >= 0").select("node_id", F.col("parent_id").alias("ptr"), F.array("node_id").alias("path")), "path")
     while at.where("ptr is not null").limit(1).count():
         far = at.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("path").alias("head"))
-        step = at.where("ptr is not null").join(far, "ptr").select("node_id", F.col("ptr2").alias("ptr"), F.concat("head", "path").alias("path"))
+        step = join_one(at.where("ptr is not null"), far, "ptr", n_rows, ["node_id"], hot).select("node_id", F.col("ptr2").alias("ptr"), F.concat("head", "path").alias("path"))
         new = scratch.table(step.unionByName(at.where("ptr is null")), "path")
         scratch.drop(at)
         at = new
     return out.join(at.select("node_id", "path"), "node_id", "left")
 
 
-def hierarchies(nodes: DataFrame, links: DataFrame, with_path: bool = True, component_limit: int = COMPONENT_LIMIT) -> DataFrame:
+def hierarchies(nodes: DataFrame, links: DataFrame, with_path: bool = True, component_limit: int = COMPONENT_LIMIT, hot: int = HOT) -> DataFrame:
     """Root, depth, path, number of nodes below and cycle membership of every node.
 
     ``nodes(node_id)``, ``links(parent_id, child_id)``; see the module's text for
     the defined results.  Columns as in ``SCHEMA``.
     """
-    labelled = scratch.table(components(parent_table(nodes, links)), "labelled")
+    labelled = scratch.table(components(scratch.table(parent_table(nodes, links), "parents"), hot), "labelled")
     sizes = labelled.groupBy("component").agg(F.count("*").alias("members"))
     large = sizes.where(F.col("members") > component_limit).select("component")
     n_large = large.count()
     small = labelled.join(large, "component", "left_anti") if n_large else labelled
     out = small.select("component", "node", "parent", "n_parents").repartition("component").sortWithinPartitions("component", "node").mapInArrow(_whole(with_path), SCHEMA)
     if n_large:
-        out = out.unionByName(_spread(scratch.table(labelled.join(large, "component", "left_semi"), "large"), with_path))
+        out = out.unionByName(_spread(scratch.table(labelled.join(large, "component", "left_semi"), "large"), with_path, hot))
     return out
 
 
@@ -251,5 +252,5 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 
 def cycle_edges(tree: DataFrame) -> DataFrame:
-    """(component, parent_id, node_id): the links that form cycles."""
-    return tree.where("on_cycle").select("component", "parent_id", "node_id")
+    """(component, parent_id, node_id, back_edge): the links that form cycles, and which of them a traversal finds closing one."""
+    return tree.where("on_cycle").select("component", "parent_id", "node_id", (F.col("node_id") == F.col("component")).alias("back_edge"))

@@ -37,7 +37,7 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links that form cycles, by the smallest module of the cycle."""
-    return hierarchy.cycle_edges(_module_tree(spark, sf_dir, False)).select("component", "parent_id", F.col("node_id").alias("module_id"))
+    return hierarchy.cycle_edges(_module_tree(spark, sf_dir, False)).select("component", "parent_id", F.col("node_id").alias("module_id"), "back_edge")
 
 
 def _first(names: str, *paths: str) -> list[str]:
@@ -91,14 +91,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p5_found": p5_found, "p7_found": p7_found, "p7_parsed": p7_parsed}
 
+# a walk upwards ends at a root, or with the first node that it meets again
 _LINKS = """
   known AS (SELECT DISTINCT module_id AS node FROM modules WHERE module_id IS NOT NULL),
   up AS (SELECT child_module AS node, min(parent_module) AS parent FROM instances
          WHERE parent_module IN (SELECT node FROM known) AND child_module IN (SELECT node FROM known) GROUP BY 1),
-  walk AS (SELECT k.node, k.node AS here, 0 AS d FROM known k
+  walk AS (SELECT k.node, k.node AS here, 0 AS d, [k.node] AS way, false AS again FROM known k
            UNION ALL
-           SELECT w.node, u.parent, w.d + 1 FROM walk w JOIN up u ON u.node = w.here
-           WHERE w.d <= (SELECT count(*) FROM known) AND NOT (w.d > 0 AND w.here = w.node) AND w.d < 400)
+           SELECT w.node, u.parent, w.d + 1, list_append(w.way, u.parent), list_contains(w.way, u.parent)
+           FROM walk w JOIN up u ON u.node = w.here WHERE NOT w.again)
 """
 
 SQL = {
@@ -113,5 +114,8 @@ FROM known k LEFT JOIN ended e ON e.node = k.node JOIN below b ON b.node = k.nod
 SELECT here AS ancestor_id, node AS module_id, CAST(min(d) AS INTEGER) AS distance FROM walk WHERE here <> node GROUP BY 1, 2""",
     "p1_cycles": f"""WITH RECURSIVE {_LINKS},
   ring AS (SELECT node, min(here) AS component FROM walk WHERE node IN (SELECT node FROM walk WHERE d > 0 AND here = node) GROUP BY 1)
-SELECT r.component, u.parent AS parent_id, r.node AS module_id FROM ring r JOIN up u ON u.node = r.node""",
+SELECT r.component, u.parent AS parent_id, r.node AS module_id, r.node = r.component AS back_edge FROM ring r JOIN up u ON u.node = r.node""",
+    "p1_paths": f"""WITH RECURSIVE {_LINKS}
+SELECT k.node AS module_id, array_to_string(list_reverse(w.way), '/') AS full_path, k.node IN (SELECT node FROM walk WHERE d > 0 AND here = node) AS on_cycle
+FROM known k LEFT JOIN walk w ON w.node = k.node AND w.here NOT IN (SELECT node FROM up)""",
 }

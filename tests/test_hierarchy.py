@@ -1,6 +1,7 @@
 """Hierarchies against a walk per node."""
 
 import random
+import time
 
 from netquarry.operators import hierarchy as H
 
@@ -47,9 +48,13 @@ def test_one_task_and_spread_agree_with_a_walk(spark):
     for seed in (1, 2):
         nodes, links = forest(seed)
         want = expected(nodes, links)
-        for limit in (1000, 0):
-            got = run(spark, nodes, links, component_limit=limit)
+        whole = None
+        for kw in ({}, {"component_limit": 0}, {"component_limit": 0, "hot": 3}, {"hot": 3}):
+            got = run(spark, nodes, links, **kw)
             assert {k: (r.root_id, r.tree_depth, r.n_below) for k, r in got.items()} == want
+            every = {k: (r.path, r.on_cycle, r.component, r.n_parents) for k, r in got.items()}
+            whole = whole or every
+            assert every == whole
             for r in got.values():
                 if r.tree_depth >= 0:
                     assert r.path[0] == r.root_id and r.path[-1] == r.node_id and len(r.path) == r.tree_depth + 1
@@ -70,7 +75,26 @@ def test_descendants_and_cycle_links(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "d")], "parent_id string, child_id string")
     tree = H.hierarchies(n, e)
     assert {tuple(r) for r in H.descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
-    assert {(r.parent_id, r.node_id) for r in H.cycle_edges(tree).collect()} == {("d", "d")}
+    assert {(r.parent_id, r.node_id, r.back_edge) for r in H.cycle_edges(tree).collect()} == {("d", "d", True)}
+
+
+def test_many_leaves_below_a_ring_take_linear_time():
+    took = []
+    for n in (10_000, 100_000):
+        members = [("y", "z", 1), ("z", "y", 1)] + [(f"a{k}", "z", 1) for k in range(n)]
+        began = time.perf_counter()
+        rows = {r[0]: r for r in H.traverse(members, True)}
+        took.append(time.perf_counter() - began)
+        assert rows["z"][5] == rows["y"][5] == n + 1 and rows["a5"][3:7] == ("CYCLE", -1, 0, False)
+    assert took[1] < 40 * took[0]
+
+
+def test_the_back_edge_leads_into_the_smallest_node_of_a_ring(spark):
+    links = [("c", "b"), ("b", "d"), ("d", "c"), ("d", "a")]
+    n, e = spark.createDataFrame([(x,) for x in "abcd"], "node_id string"), spark.createDataFrame(links, "parent_id string, child_id string")
+    for limit in (1000, 0):
+        got = {tuple(r) for r in H.cycle_edges(H.hierarchies(n, e, False, limit)).collect()}
+        assert got == {("b", "c", "b", True), ("b", "b", "d", False), ("b", "d", "c", False)}
 
 
 def test_descendants_on_and_below_cycles(spark):
