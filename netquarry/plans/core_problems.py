@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry import scratch
 from netquarry.operators import hierarchy
 from netquarry.scratch import load
 from netquarry.sources import nested, quoted_rows
@@ -40,25 +39,29 @@ def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.cycle_edges(_module_tree(spark, sf_dir, False)).select("component", "parent_id", F.col("node_id").alias("module_id"), "back_edge")
 
 
-def _first(names: str, *paths: str) -> list[str]:
-    return [names, *paths]
+P5_TABLES = {
+    "change": ("changes[]", ["change_id", "change_type", "description", "target_module", "synthesis_valid"]),
+    "patch": ("changes[].patches[]", ["file_path", "old_text", "new_text", "line_number"]),
+    "type": ("changes[].ground_truth_by_type{}[]", [""]),
+    "hop": ("changes[].ground_truth_by_hop{}[]", [""]),
+    # the older shape: lists of a key and its nodes
+    "type_entry": ("changes[].ground_truth_by_type[]", ["artifact_type"]),
+    "type_node": ("changes[].ground_truth_by_type[].nodes[]", [""]),
+    "hop_entry": ("changes[].ground_truth_by_hop[]", ["hop"]),
+    "hop_node": ("changes[].ground_truth_by_hop[].nodes[]", [""]),
+}
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The flat tables of the change sets: change, patch, type and hop, tied by (record_id, change_pos)."""
-    sets = load(spark, sf_dir, "changesets")
-    rows = scratch.table(nested.triples(sets, "changeset_id", "payload", MAPS), "triples")
-    change = nested.flat_table(rows, "changes[]", ["change_id", "change_type", "description", "target_module", "synthesis_valid"])
-    change = change.withColumnRenamed("pos", "change_pos").drop("parent_ordinals", "own_kind", "ordinals")
-    tie = lambda t: t.withColumn("change_pos", F.get("ordinals", F.lit(0)))
-    patch = tie(nested.flat_table(rows, "changes[].patches[]", ["file_path", "old_text", "new_text", "line_number"]))
-    out = {"change": change, "patch": patch.where("coalesce(own_kind, 'object') = 'object'")}
+    made = nested.flat_tables(load(spark, sf_dir, "changesets"), "changeset_id", "payload", P5_TABLES, MAPS)
+    made = {name: t.withColumn("change_pos", F.get("ordinals", F.lit(0))) for name, t in made.items() if name != "errors"}
+    out = {"change": made["change"].drop("pos", "parent_ordinals", "own_kind", "ordinals"), "patch": made["patch"].where("coalesce(own_kind, 'object') = 'object'")}
     for kind, key in (("type", "artifact_type"), ("hop", "hop")):
-        field = f"ground_truth_by_{kind}"
-        as_map = tie(nested.flat_table(rows, f"changes[].{field}{{}}[]", [""])).select("record_id", "change_pos", F.get("ordinals", F.lit(1)).alias("parent_key"), "pos", "value", "own_kind")
-        # the older shape: a list of {key, nodes}
-        entry = tie(nested.flat_table(rows, f"changes[].{field}[]", [key])).select("record_id", "change_pos", F.col("pos").alias("entry"), F.col(key).alias("parent_key"))
-        node = tie(nested.flat_table(rows, f"changes[].{field}[].nodes[]", [""])).select("record_id", "change_pos", F.get("ordinals", F.lit(1)).alias("entry"), "pos", "value", "own_kind")
+        second = F.get("ordinals", F.lit(1))
+        as_map = made[kind].select("record_id", "change_pos", second.alias("parent_key"), "pos", "value", "own_kind")
+        entry = made[f"{kind}_entry"].select("record_id", "change_pos", F.col("pos").alias("entry"), F.col(key).alias("parent_key"))
+        node = made[f"{kind}_node"].select("record_id", "change_pos", second.alias("entry"), "pos", "value", "own_kind")
         as_list = node.join(entry, ["record_id", "change_pos", "entry"]).select("record_id", "change_pos", "parent_key", "pos", "value", "own_kind")
         out[kind] = as_map.unionByName(as_list).where("own_kind not in ('null', 'empty_array', 'empty_object')").drop("own_kind")
     return out
@@ -89,7 +92,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("reason is not null").select("row_id", "reason")
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p5_found": p5_found, "p7_found": p7_found, "p7_parsed": p7_parsed}
+_QUOTED_WELL = r'^([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*$'
+
+
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The well quoted records of files of up to 200 rows, cut into chunks anywhere, found again."""
+    rows = load(spark, sf_dir, "raw_constraint_rows").where(F.col("raw_row").rlike(_QUOTED_WELL)).where("raw_row <> ''")
+    rows = rows.select(F.floor(F.col("row_id") / 200).alias("file"), "row_id", "raw_row")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_id", "raw_row"))), lambda r: r["raw_row"])
+    files = rows.groupBy("file").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    size = 997
+    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
+    chunks = files.select(F.col("file").cast("string").alias("file"), "text", F.explode(cuts).alias("chunk_no"))
+    found = quoted_rows.split_records(chunks.select("file", "chunk_no", F.substring("text", F.col("chunk_no") * size + 1, F.lit(size)).alias("text")))
+    return found.select(F.col("file").cast("bigint").alias("file"), "record")
+
+
+QUERIES = {"p7_records": p7_records, "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p5_found": p5_found, "p7_found": p7_found, "p7_parsed": p7_parsed}
 
 # a walk upwards ends at a root, or with the first node that it meets again
 _LINKS = """
@@ -102,7 +121,36 @@ _LINKS = """
            FROM walk w JOIN up u ON u.node = w.here WHERE NOT w.again)
 """
 
+
+def _items(x: str) -> str:
+    """A JSON value as a list of its elements, a single value as a list of one."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'NULL' THEN CAST([] AS JSON[]) ELSE [CAST({x} AS JSON)] END"
+
+
+def _truth(kind: str, key: str) -> str:
+    """(change_id, child, parent_key, x) of one truth, a map of keys or a list of a key and its nodes."""
+    field = f"c -> '$.ground_truth_by_{kind}'"
+    return f"""SELECT change_id, '{kind}' AS child, k AS parent_key, json_extract(m, '$."' || k || '"') AS x FROM (SELECT change_id, {field} AS m, unnest(json_keys({field})) AS k FROM named WHERE json_type({field}) = 'OBJECT')
+  UNION ALL SELECT change_id, '{kind}', e ->> '$.{key}', e -> '$.nodes' FROM (SELECT change_id, unnest(json_extract({field}, '$[*]')) AS e FROM named WHERE json_type({field}) = 'ARRAY')"""
+
+
+def _paired(x: str, passes: int = 20) -> str:
+    """A text's brackets and braces without those that close each other, nested up to ``passes`` deep."""
+    out = f"regexp_replace({x}, '[^\\[\\]{{}}]', '', 'g')"
+    for _ in range(passes):
+        out = f"replace(replace({out}, '[]', ''), '{{}}', '')"
+    return out
+
+
+_JUDGED = rf"""cut AS (SELECT row_id, coalesce(raw_row, '') AS raw_row, raw_row IS NULL AS missing, regexp_matches(coalesce(raw_row, ''), '{_QUOTED_WELL}') AS fine FROM raw_constraint_rows),
+  split AS (SELECT *, list_transform(regexp_extract_all(raw_row || ',', '("(?:[^"]|"")*"|[^",]*),', 1), lambda f: CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END) AS f FROM cut),
+  judged AS (SELECT *, CASE WHEN NOT fine THEN 'quoting' WHEN missing OR len(f) <> 5 THEN 'column_count' WHEN f[2] NOT IN ({", ".join(f"'{c}'" for c in quoted_rows.COMMANDS)}) THEN 'bad_command'
+    WHEN NOT regexp_full_match(f[4], '[0-9]+') OR regexp_full_match(f[4], '0+') OR TRY_CAST(f[4] AS BIGINT) IS NULL THEN 'bad_line_number'
+    WHEN {_paired("f[3]")} <> '' OR regexp_extract(f[3], '^\s*(\S+)', 1) <> f[2] THEN 'bad_raw_line' END AS reason FROM split)"""
+
 SQL = {
+    "p7_found": f"WITH {_JUDGED} SELECT row_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p7_parsed": f"WITH {_JUDGED} SELECT row_id, f[1] AS constraint_id, f[2] AS constraint_type, f[3] AS raw_line, CAST(f[4] AS BIGINT) AS line_number, f[5] AS file_path FROM judged WHERE reason IS NULL",
     "p1_found": f"""WITH RECURSIVE {_LINKS},
   ended AS (SELECT w.node, w.here AS root_id, w.d AS tree_depth FROM walk w
             WHERE w.here NOT IN (SELECT node FROM up)),
@@ -118,4 +166,14 @@ SELECT r.component, u.parent AS parent_id, r.node AS module_id, r.node = r.compo
     "p1_paths": f"""WITH RECURSIVE {_LINKS}
 SELECT k.node AS module_id, array_to_string(list_reverse(w.way), '/') AS full_path, k.node IN (SELECT node FROM walk WHERE d > 0 AND here = node) AS on_cycle
 FROM known k LEFT JOIN walk w ON w.node = k.node AND w.here NOT IN (SELECT node FROM up)""",
+    "p7_records": rf"""SELECT CAST(row_id // 200 AS BIGINT) AS file, regexp_replace(raw_row, '\r$', '') AS record FROM raw_constraint_rows WHERE regexp_matches(raw_row, '{_QUOTED_WELL}') AND raw_row <> ''""",
+    "p5_found": f"""WITH sets AS (SELECT changeset_id, CAST(payload AS JSON) -> '$.changes' AS x FROM changesets WHERE json_valid(payload)),
+  chg AS (SELECT row_number() OVER () AS k, c FROM (SELECT unnest({_items("x")}) AS c FROM sets) WHERE json_type(c) = 'OBJECT'),
+  named AS (SELECT k, c ->> '$.change_id' AS change_id, c FROM chg WHERE c ->> '$.change_id' IS NOT NULL),
+  patch AS (SELECT change_id, 'patch' AS child, '' AS parent_key, pos, coalesce(p ->> '$.file_path', '') AS leaf
+            FROM (SELECT change_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT change_id, {_items("c -> '$.patches'")} AS l FROM named)) WHERE json_type(p) = 'OBJECT'),
+  truth AS ({" UNION ALL ".join(_truth(kind, key) for kind, key in (("type", "artifact_type"), ("hop", "hop")))}),
+  node AS (SELECT change_id, child, parent_key, pos, n ->> '$' AS leaf
+           FROM (SELECT change_id, child, parent_key, unnest(l) AS n, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT change_id, child, parent_key, {_items("x")} AS l FROM truth)) WHERE json_type(n) <> 'NULL')
+SELECT DISTINCT change_id, child, parent_key, CAST(pos AS INTEGER) AS pos, leaf FROM (SELECT * FROM patch UNION ALL SELECT * FROM node)""",
 }

@@ -5,6 +5,10 @@ Method: each JSON text is read by a streaming tokenizer with an explicit stack
 triples; paths are grouped by their nearest repeated ancestor; each group is
 pivoted into one table whose rows keep the key of their parent row.
 
+A record's triples come out one after the other, so they are grouped and pivoted
+in the task that reads it, without a shuffle and without a second scan; the rows
+of all tables are written once, in one folder per table.
+
 A path is written with ``[]`` for an array level and ``{}`` for a map level, e.g.
 ``changes[].patches[].file_path``.  The ordinals are the positions and map keys
 on the way, so a row's key is its ordinals and its parent's key their prefix.
@@ -15,7 +19,8 @@ Defined results
   with path ``!error``, its value telling the offset, and nothing else;
 * null values give a triple of kind ``null``, so that positions can be counted;
   empty arrays and objects give a triple of kind ``empty_array`` or ``empty_object``;
-* repeated keys of one object are all emitted, in order;
+* repeated keys of one object are all emitted, in order; in a table the last one
+  stands in its column, earlier ones in ``overwritten``;
 * repeated records are told apart by the record id the caller gives.
 """
 
@@ -23,12 +28,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquarry import scratch
+
 TRIPLES = "path string, ordinals array<string>, kind string, value string"
 _TOKEN = re.compile(r'\s*(?:([{}\[\],:])|"((?:[^"\\\x00-\x1f]|\\.)*)"|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))', re.S)
 
@@ -137,16 +145,17 @@ def triples(df: DataFrame, record_id: str, text: str, map_paths: tuple[str, ...]
             for rid, body in zip(b.column("rid").to_pylist(), b.column("body").to_pylist()):
                 if not body or not body.strip():
                     continue
-                begin = len(rows)
+                begin, checked = len(rows), False
                 try:
                     for path, ordinals, kind, value in stream(body, maps):
                         rows.append((rid, path, ordinals, kind, value))
-                        if begin == 0 and len(rows) >= 50_000:
-                            # a record this long is checked first, so that an error leaves nothing behind
-                            for _ in stream(body, maps):
-                                pass
+                        if len(rows) >= 50_000:
+                            if not checked:  # a long record is read to its end once, so that an error leaves nothing behind
+                                deque(stream(body, maps), 0)
+                                checked = True
                             yield batch_of(rows)
                             rows.clear()
+                            begin = 0
                 except ValueError as e:
                     del rows[begin:]
                     rows.append((rid, "!error", (), "error", str(e)))
@@ -158,41 +167,115 @@ def triples(df: DataFrame, record_id: str, text: str, map_paths: tuple[str, ...]
     return df.select(F.col(record_id).cast("string").alias("rid"), F.col(text).alias("body")).mapInArrow(run, f"record_id string, {TRIPLES}")
 
 
-def ancestor_of(path: Column) -> Column:
-    """The nearest repeated ancestor of a path: it up to its last ``[]`` or ``{}``, or the empty path."""
-    return F.regexp_extract(path, r"^(.*(?:\[\]|\{\}))?", 0)
+def ancestors(rows: DataFrame) -> DataFrame:
+    """(ancestor, fields): the tables that triples fall into, by the nearest repeated ancestor of each path, with their fields."""
+    ancestor = F.regexp_extract("path", r"^(.*(?:\[\]|\{\}))?", 0)
+    paths = rows.where("path <> '!error'").select("path").distinct().select(ancestor.alias("ancestor"), "path")
+    field = F.regexp_replace(F.substring("path", F.length("ancestor") + 1, F.length("path")), r"^\.", "")
+    return paths.groupBy("ancestor").agg(F.array_sort(F.collect_set(field)).alias("fields"))
 
 
-def flat_table(rows: DataFrame, ancestor: str, fields: list[str]) -> DataFrame:
-    """One flat table: a row for each element of the repeated path ``ancestor``.
+class Grouping:
+    """Where each path belongs: its table, its field there, and the ordinals of its row.
 
-    ``fields`` are the columns wanted, as paths below the ancestor (``""`` is the
-    element itself where it is a scalar).  A record in which the ancestor is a
-    single value instead of an array gives one row at position 0, and so does
-    each array level above it.  Columns: record_id, ordinals (the row's key),
-    parent_ordinals, pos, kinds and one string column per field (dots as
-    underscores, ``value`` for ``""``).
+    ``tables`` are (ancestor, fields); a path belongs to the deepest of them that
+    repeats it.  An array level may be absent in a path (a single value), a map
+    level may not.
     """
-    levels = re.findall(r"\[\]|\{\}", ancestor)
-    # array levels may be absent in a path (single value); the map levels may not
-    pattern = "^" + re.sub(r"\\\[\\\]", r"(\\[\\])?", re.escape(ancestor)) + r"(?:\.(.*))?$"
-    hit = rows.where(F.col("path").rlike(pattern))
-    groups = [i + 1 for i, x in enumerate(x for x in levels if x == "[]")]
-    # the ordinals with position 0 put in for each absent array level
-    filled, taken, g = [], F.lit(0), 0
-    for level in levels:
-        if level == "{}":
-            filled.append(F.get("ordinals", taken))
-            taken = taken + 1
-        else:
-            there = F.regexp_extract("path", pattern, groups[g]) != ""
-            filled.append(F.when(there, F.get("ordinals", taken)).otherwise("0"))
-            taken = taken + there.cast("int")
-            g += 1
-    field = F.coalesce(F.regexp_extract("path", pattern, len(groups) + 1), F.lit(""))
-    hit = hit.select("record_id", F.array(*filled).alias("ordinals"), field.alias("field"), "kind", "value")
-    name = lambda f: f.replace(".", "_") or "value"
-    aggs = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(name(f)) for f in fields]
-    out = hit.groupBy("record_id", "ordinals").agg(*aggs, F.max(F.when(F.col("field") == "", F.col("kind"))).alias("own_kind"))
-    depth = len(levels)
-    return out.select("record_id", "ordinals", F.slice("ordinals", 1, depth - 1).alias("parent_ordinals"), F.get("ordinals", F.lit(depth - 1)).alias("pos"), "own_kind", *[name(f) for f in fields])
+
+    def __init__(self, tables: list[tuple[str, list[str]]]):
+        self.tables = []
+        for k, (ancestor, fields) in enumerate(tables):
+            levels = re.findall(r"\[\]|\{\}", ancestor)
+            pattern = re.sub(r"\\\[\\\]", r"(\\[\\])?", re.escape(ancestor)) + r"(?:\.(.*))?"
+            self.tables.append((len(levels), k, re.compile(pattern, re.S), levels, {f: i for i, f in enumerate(fields)}))
+        self.tables.sort(key=lambda t: -t[0])
+        self.known: dict[str, tuple | None] = {}
+
+    def place(self, path: str) -> tuple[int, str, int, list[int]] | None:
+        """(table, field, its column or -1, positions of the row's ordinals, -1 for an absent level)."""
+        if path not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[path] = self._place(path)
+        return self.known[path]
+
+    def _place(self, path: str):
+        for _, k, pattern, levels, fields in self.tables:
+            m = pattern.fullmatch(path)
+            if m:
+                there, at, taken = list(m.groups()), [], 0
+                for level in levels:
+                    absent = level == "[]" and there.pop(0) is None
+                    at.append(-1 if absent else taken)
+                    taken += not absent
+                field = there[-1] or ""
+                return k, field, fields.get(field, -1), at
+        return None
+
+
+_ROWS = "record_id string, tbl int, ordinals array<string>, own_kind string, cells array<string>, overwritten array<struct<field: string, value: string>>"
+
+
+def flat_tables(df: DataFrame, record_id: str, text: str, tables: dict[str, tuple[str, list[str]]], map_paths: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Flat tables of every record's text: name to (repeated path, its fields).
+
+    Fields are the columns wanted, as paths below the repeated path (``""`` is the
+    element itself where it is a scalar).  A record in which an array is a single
+    value instead gives a row at position 0.  Columns of a table: record_id,
+    ordinals (the row's key), parent_ordinals, pos, own_kind (of a scalar
+    element), overwritten and one string column per field (dots as underscores,
+    ``value`` for ``""``).  The table ``errors`` has (record_id, error).
+    """
+    maps, groups = frozenset(map_paths), list(tables.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grouping, width = Grouping(groups), [len(f) for _, f in groups]
+        pair = pa.struct([pa.field("field", pa.string()), pa.field("value", pa.string())])
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.list_(pair)]
+        names = [x.split()[0] for x in ("record_id", "tbl", "ordinals", "own_kind", "cells", "overwritten")]
+
+        def batch_of(rows):
+            cols = list(zip(*rows)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+        out: list[list] = []
+        for b in batches:
+            for rid, body in zip(b.column("rid").to_pylist(), b.column("body").to_pylist()):
+                if not body or not body.strip():
+                    continue
+                rows: dict[tuple, list] = {}
+                try:
+                    for path, ordinals, kind, value in stream(body, maps):
+                        place = grouping.place(path)
+                        if place is None:
+                            continue
+                        k, field, column, at = place
+                        key = (k, *["0" if i < 0 else ordinals[i] for i in at])
+                        row = rows.get(key)
+                        if row is None:
+                            row = rows[key] = [rid, k, key[1:], None, [None] * width[k], [], set()]
+                        if field in row[6]:
+                            row[5].append((field, row[4][column] if column >= 0 else None))
+                        row[6].add(field)
+                        if column >= 0:
+                            row[4][column] = value
+                        if not field:
+                            row[3] = kind
+                    out.extend(r[:6] for r in rows.values())
+                except ValueError as e:
+                    out.append([rid, -1, (), None, [str(e)], []])
+                while len(out) >= 20_000:
+                    yield batch_of(out[:20_000])
+                    del out[:20_000]
+        yield batch_of(out)
+
+    texts = df.select(F.col(record_id).cast("string").alias("rid"), F.col(text).alias("body"))
+    written = scratch.parts(texts.mapInArrow(run, _ROWS), "nested", "tbl")
+    result = {"errors": written.where("tbl = -1").select("record_id", F.get("cells", F.lit(0)).alias("error"))}
+    for k, (name, (ancestor, fields)) in enumerate(tables.items()):
+        depth = len(re.findall(r"\[\]|\{\}", ancestor))
+        cells = [F.get("cells", F.lit(i)).alias(f.replace(".", "_") or "value") for i, f in enumerate(fields)]
+        own = written.where(F.col("tbl") == k)
+        result[name] = own.select("record_id", "ordinals", F.slice("ordinals", 1, depth - 1).alias("parent_ordinals"), F.get("ordinals", F.lit(depth - 1)).alias("pos"), "own_kind", "overwritten", *cells)
+    return result

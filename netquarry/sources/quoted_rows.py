@@ -50,7 +50,7 @@ def _transitions(newline_ends: bool) -> np.ndarray:
     table[COMMA] = [START, START, QUOTED, START, BROKEN]
     table[QUOTE] = [QUOTED, BROKEN, CLOSED, QUOTED, BROKEN]
     table[PAD] = [START, PLAIN, QUOTED, CLOSED, BROKEN]
-    table[NEWLINE] = [START, START, QUOTED, START, BROKEN] if newline_ends else table[OTHER]
+    table[NEWLINE] = [START, START, QUOTED, START, START] if newline_ends else table[OTHER]
     return table
 
 
@@ -67,8 +67,8 @@ def chunk_functions(classes: np.ndarray, table: np.ndarray = _RECORD) -> np.ndar
     return state
 
 
-def compose(functions: np.ndarray, owner_start: np.ndarray) -> np.ndarray:
-    """The start state of each chunk: its owner's earlier functions applied to START in order.
+def compose(functions: np.ndarray, owner_start: np.ndarray, initial: np.ndarray | int = START) -> np.ndarray:
+    """The start state of each chunk: its owner's earlier functions applied in order to the owner's ``initial`` state.
 
     ``owner_start`` marks the first chunk of each owner.  Prefix doubling, so a
     record of n chunks takes log2(n) steps.
@@ -83,37 +83,72 @@ def compose(functions: np.ndarray, owner_start: np.ndarray) -> np.ndarray:
         earlier, later = prefix[rows[has] - step], prefix[has]
         prefix[has] = np.take_along_axis(later, earlier.astype(np.intp), axis=1)
         step *= 2
-    out = np.full(n, START, np.uint8)
+    begin = np.broadcast_to(np.asarray(initial, np.uint8), (int(owner_start.sum()),))[np.cumsum(owner_start) - 1] if n else np.zeros(0, np.uint8)
+    out = begin.copy()
     follow = np.flatnonzero(~owner_start)
-    out[follow] = prefix[follow - 1, START]
+    out[follow] = prefix[follow - 1, begin[follow]]
     return out
 
 
-def tokenize(records: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Offsets of each record's delimiters, and each record's final state."""
-    lengths = np.fromiter(map(len, records), np.int64, len(records))
-    chunks = np.maximum(1, -(-lengths // WIDTH))
-    first = np.concatenate(([0], np.cumsum(chunks)[:-1])).astype(np.int64) if len(records) else np.zeros(0, np.int64)
-    total = int(chunks.sum())
-    classes = np.full(total * WIDTH, PAD, np.uint8)
-    flat = np.frombuffer(b"".join(records), np.uint8)
-    where = np.repeat(first * WIDTH - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(len(flat)) if len(flat) else np.zeros(0, np.int64)
-    classes[where.astype(np.int64)] = _CLASS[flat]
-    classes = classes.reshape(total, WIDTH)
-    starts = np.zeros(total, bool)
-    starts[first] = True
-    state = compose(chunk_functions(classes), starts)
-    marks = np.zeros((total, WIDTH), bool)
-    for j in range(WIDTH):
-        column = classes[:, j]
+class Scan:
+    """Texts as a matrix of byte classes, ``WIDTH`` columns wide, with the start state of each row."""
+
+    def __init__(self, texts: list[bytes], table: np.ndarray, initial: np.ndarray | int = START):
+        self.table, self.n = table, len(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, self.n)
+        self.chunks = np.maximum(1, -(-lengths // WIDTH))
+        self.first = np.concatenate(([0], np.cumsum(self.chunks)[:-1])).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        total = int(self.chunks.sum())
+        classes = np.full(total * WIDTH, PAD, np.uint8)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        where = np.repeat(self.first * WIDTH - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(len(flat)) if len(flat) else np.zeros(0, np.int64)
+        classes[where.astype(np.int64)] = _CLASS[flat]
+        self.classes = classes.reshape(total, WIDTH)
+        starts = np.zeros(total, bool)
+        starts[self.first] = True
+        self.start = compose(chunk_functions(self.classes, table), starts, initial)
+        self.owner = np.repeat(np.arange(self.n), self.chunks)
+
+    def offsets(self, marks: np.ndarray) -> list[np.ndarray]:
+        """The marked places of each text, as offsets in it."""
+        rows, cols = np.nonzero(marks)
+        owner = self.owner[rows]
+        offset = (rows - self.first[owner]) * WIDTH + cols
+        return np.split(offset, np.searchsorted(owner, np.arange(1, self.n))) if self.n else []
+
+    def columns(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(column, its classes, states before it, states after it), left to right."""
+        state = self.start
+        for j in range(WIDTH):
+            column = self.classes[:, j]
+            after = self.table[column, state]
+            yield j, column, state, after
+            state = after
+
+
+def tokenize(records: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Offsets of each record's delimiters, its final state, and where its quoting broke (-1 if it did not).
+
+    Quoting breaks at the first byte that may not stand where it does, or at the
+    opening quote that is never closed.
+    """
+    scan = Scan(records, _RECORD)
+    marks, breaks, opens = (np.zeros(scan.classes.shape, bool) for _ in range(3))
+    final = scan.start
+    for j, column, state, after in scan.columns():
         marks[:, j] = (column == COMMA) & (state != QUOTED) & (state != BROKEN)
-        state = _RECORD[column, state]
-    last = first + chunks - 1
-    rows, cols = np.nonzero(marks)
-    owner = np.repeat(np.arange(len(records)), chunks)[rows] if total else np.zeros(0, np.int64)
-    offset = (rows - first[owner]) * WIDTH + cols
-    cuts = np.searchsorted(owner, np.arange(1, len(records)))
-    return np.split(offset, cuts) if len(records) else [], state[last] if len(records) else state
+        breaks[:, j] = (after == BROKEN) & (state != BROKEN)
+        opens[:, j] = (after == QUOTED) & (state == START)
+        final = after
+    if not len(records):
+        return [], final, np.zeros(0, np.int64)
+    final = final[scan.first + scan.chunks - 1]
+    wrong = np.full(len(records), -1, np.int64)
+    for state, places, pick in ((BROKEN, breaks, 0), (QUOTED, opens, -1)):
+        for k in np.flatnonzero(final == state):
+            rows, cols = np.nonzero(places[scan.first[k] : scan.first[k] + scan.chunks[k]])
+            wrong[k] = rows[pick] * WIDTH + cols[pick]
+    return scan.offsets(marks), final, wrong
 
 
 def unquote(field: bytes) -> str:
@@ -134,6 +169,9 @@ def balanced(text: str) -> bool:
     return not stack
 
 
+_FIELD_OF = {"bad_command": 1, "bad_raw_line": 2, "bad_line_number": 3}
+
+
 def judge(fields: list[str] | None, broken: bool) -> str | None:
     """The first reason that holds for a constraint record, null for a valid one."""
     if broken:
@@ -154,8 +192,9 @@ def judge(fields: list[str] | None, broken: bool) -> str | None:
 def parse_constraint_rows(df: DataFrame, raw: str = "raw_row") -> DataFrame:
     """Each row of ``df`` with its typed fields or the reason why it is rejected.
 
-    Adds ``reason`` (null for a valid row), ``error_at`` (byte offset of the last
-    delimiter seen before a rejection), ``constraint_id``, ``constraint_type``,
+    Adds ``reason`` (null for a valid row), ``error_at`` (byte offset at which the
+    quoting broke, or else at which the field begins that is rejected, 0 for a wrong
+    number of fields), ``constraint_id``, ``constraint_type``,
     ``raw_line``, ``line_number bigint`` and ``file_path``; columns of ``df`` with
     those names are replaced.  A line number beyond a bigint is a
     ``bad_line_number``.
@@ -172,9 +211,9 @@ def parse_constraint_rows(df: DataFrame, raw: str = "raw_row") -> DataFrame:
         for batch in batches:
             texts = batch.column(source).to_pylist()
             records = [(t or "").encode() for t in texts]
-            marks, final = tokenize(records)
+            marks, final, wrong = tokenize(records)
             out = []
-            for text, record, at, state in zip(texts, records, marks, final.tolist()):
+            for text, record, at, state, place in zip(texts, records, marks, final.tolist(), wrong.tolist()):
                 broken = state in (QUOTED, BROKEN)
                 fields = None
                 if not broken and text is not None:
@@ -190,7 +229,8 @@ def parse_constraint_rows(df: DataFrame, raw: str = "raw_row") -> DataFrame:
                 if reason is None:
                     out.append((None, None, fields[0], fields[1], fields[2], number, fields[4]))
                 else:
-                    out.append((reason, int(at[-1]) if len(at) else 0, None, None, None, None, None))
+                    field = _FIELD_OF.get(reason)
+                    out.append((reason, int(at[field - 1]) + 1 if field else max(0, place), None, None, None, None, None))
             cols = list(zip(*out)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*batch.schema.names, *names])
 
@@ -222,7 +262,8 @@ def split_records(chunks: DataFrame) -> DataFrame:
     are joined by the (chunk, piece) where it began.  Output: ``file, chunk_no,
     piece_no, record`` in which chunk_no and piece_no are those of its beginning;
     empty records are left out, null texts count as empty, a carriage return
-    before a record's end is not part of it.
+    before a record's end is not part of it; a record whose quoting breaks ends
+    with its line.
     """
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +282,16 @@ def split_records(chunks: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for file, no, text, state in zip(*(b.column(c).to_pylist() for c in ("file", "chunk_no", "text", "start"))):
-                data, begin, piece = (text or "").encode(), 0, 0
-                for at, kind in enumerate(_CLASS[np.frombuffer(data, np.uint8)].tolist()):
-                    quoted = state == QUOTED
-                    state = int(_FILE[kind, state])
-                    if kind == NEWLINE and not quoted:
-                        rows.append((file, no, piece, data[begin:at].decode("utf-8", "replace"), True))
-                        begin, piece, state = at + 1, piece + 1, START
+            data_of = [(t or "").encode() for t in b.column("text").to_pylist()]
+            scan = Scan(data_of, _FILE, np.array(b.column("start").to_pylist(), np.uint8))
+            ends = np.zeros(scan.classes.shape, bool)
+            for j, column, state, _ in scan.columns():
+                ends[:, j] = (column == NEWLINE) & (state != QUOTED)
+            for file, no, data, at in zip(b.column("file").to_pylist(), b.column("chunk_no").to_pylist(), data_of, scan.offsets(ends)):
+                begin, piece = 0, 0
+                for end in at.tolist():
+                    rows.append((file, no, piece, data[begin:end].decode("utf-8", "replace"), True))
+                    begin, piece = end + 1, piece + 1
                 rows.append((file, no, piece, data[begin:].decode("utf-8", "replace"), False))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
             cols = list(zip(*rows)) or [[]] * 5

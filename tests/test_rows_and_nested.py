@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -42,7 +43,7 @@ def by_hand(record: str):
 
 
 def tokens(records):
-    marks, final = R.tokenize([r.encode() for r in records])
+    marks, final, _ = R.tokenize([r.encode() for r in records])
     out = []
     for r, at, state in zip(records, marks, final):
         raw = r.encode()
@@ -64,6 +65,19 @@ def test_records_longer_than_a_chunk():
     assert tokens(records) == [by_hand(r) for r in records]
 
 
+def test_where_quoting_breaks():
+    records = ['a,"b', '"a"b,c', 'a,b"c', '"ok",x', 'x,"' + "y" * 600, "z" * 700 + '"', ""]
+    assert R.tokenize([r.encode() for r in records])[2].tolist() == [2, 3, 3, -1, 2, 700, -1]
+
+
+def test_broken_records_end_with_their_line(spark):
+    text = 'a"b,c\n"d\ne",f\n'
+    for size in (1, 4, 50):
+        chunks = [("f", k, text[i : i + size]) for k, i in enumerate(range(0, len(text), size))]
+        got = R.split_records(spark.createDataFrame(chunks, "file string, chunk_no int, text string")).orderBy("chunk_no", "piece_no").collect()
+        assert [r.record for r in got] == ['a"b,c', '"d\ne",f']
+
+
 def test_composition_of_chunk_functions():
     rng = np.random.default_rng(0)
     classes = rng.integers(0, 3, (12, R.WIDTH)).astype(np.uint8)
@@ -97,6 +111,8 @@ def test_reasons(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "row_id bigint, raw_row string, reason string")
     got = {r.row_id: r.reason for r in R.parse_constraint_rows(df).collect()}
     assert got == {1: None, 2: None, 3: "quoting", 4: "column_count", 5: "bad_command", 6: "bad_line_number", 7: "bad_line_number", 8: "bad_raw_line", 9: "bad_raw_line", 10: "column_count", 11: "column_count", 12: "bad_line_number", 13: None}
+    at = {r.row_id: r.error_at for r in R.parse_constraint_rows(df).collect()}
+    assert (at[1], at[3], at[4], at[5], at[6], at[8]) == (None, 14, 0, 2, 22, 11)
     valid = R.parse_constraint_rows(df).where("row_id = 2").first()
     assert (valid.raw_line, valid.line_number, valid.file_path) == ('set_load 1 [get_ports "a"]', 3, "f")
     assert R.parse_constraint_rows(df.limit(0)).count() == 0
@@ -142,6 +158,32 @@ def test_depth_has_no_bound_and_errors_are_told(spark):
 
 
 def test_single_values_count_as_position_0(spark):
-    df = spark.createDataFrame([(1, '{"a": [{"b": [1, null, 2]}, null]}'), (2, '{"a": {"b": 3}}')], "id bigint, body string")
-    t = N.flat_table(N.triples(df, "id", "body"), "a[].b[]", [""])
-    assert {(r.record_id, tuple(r.ordinals), r.value) for r in t.collect()} == {("1", ("0", "0"), "1"), ("1", ("0", "1"), None), ("1", ("0", "2"), "2"), ("2", ("0", "0"), "3")}
+    df = spark.createDataFrame([(1, '{"a": [{"b": [1, null, 2]}, null]}'), (2, '{"a": {"b": 3}}'), (3, '{"a": [}')], "id bigint, body string")
+    made = N.flat_tables(df, "id", "body", {"b": ("a[].b[]", [""])})
+    assert {(r.record_id, tuple(r.ordinals), r.value) for r in made["b"].collect()} == {("1", ("0", "0"), "1"), ("1", ("0", "1"), None), ("1", ("0", "2"), "2"), ("2", ("0", "0"), "3")}
+    assert [tuple(r) for r in made["errors"].collect()] == [("3", "no value at 7")]
+
+
+def test_tables_keep_parents_repeats_and_map_keys(spark):
+    body = '{"s": [{"n": "x", "n": "y", "m": {"k": [1], "l": 2}, "t": [{"u": 5, "v": {"w": 6}}, {"u": 7}]}, {"n": null}], "other": 1}'
+    df = spark.createDataFrame([(1, body, "z"), (2, None, "z"), (3, " ", "z")], "id bigint, body string, tbl string")
+    t = N.flat_tables(df, "id", "body", {"s": ("s[]", ["n"]), "m": ("s[].m{}[]", [""]), "t": ("s[].t[]", ["u", "v.w"])}, ("s[].m",))
+    assert {(tuple(r.ordinals), r.n, tuple(tuple(x) for x in r.overwritten)) for r in t["s"].collect()} == {(("0",), "y", (("n", "x"),)), (("1",), None, ())}
+    assert {(tuple(r.parent_ordinals), r.pos, r.value) for r in t["m"].collect()} == {(("0", "k"), "0", "1"), (("0", "l"), "0", "2")}
+    assert {(tuple(r.parent_ordinals), r.pos, r.u, r.v_w) for r in t["t"].collect()} == {(("0",), "0", "5", "6"), (("0",), "1", "7", None)}
+    assert N.flat_tables(df.limit(0), "id", "body", {"s": ("s[]", ["n"])})["s"].count() == 0
+    found = {r.ancestor: r.fields for r in N.ancestors(N.triples(df, "id", "body", ("s[].m",))).collect()}
+    assert found == {"": ["other"], "s[]": ["n"], "s[].m{}": [""], "s[].m{}[]": [""], "s[].t[]": ["u", "v.w"]}
+
+
+def test_long_records_take_linear_time_and_errors_leave_nothing(spark):
+    took = []
+    for n in (50_000, 400_000):
+        body = "[" + ",".join(["1"] * n) + "]"
+        df = spark.createDataFrame([(1, body)], "id bigint, body string")
+        began = time.perf_counter()
+        assert N.triples(df, "id", "body").count() == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
+    broken = spark.createDataFrame([(0, "[1]"), (1, "[" + ",".join(["1"] * 120_000) + ",]")], "id bigint, body string").coalesce(1)
+    assert [(r.record_id, r.kind) for r in N.triples(broken, "id", "body").collect()] == [("0", "number"), ("1", "error")]
