@@ -172,3 +172,27 @@ def test_open_brackets_quotes_and_backticks_are_truncated():
     for text in ("uart_tx (8 bits)", "The range is [0, 5).", "a) first one.\nb) second one.", "The port is `uart_tx`.", "Use `define X 1.", "Er sagt „ja“.", 'It is 5" wide.', "```\nx[\n```"):
         assert not P.is_truncated("What is it?", text), text
     assert not P.is_open("Fine :)")
+
+
+def test_scripts_and_words_of_many_languages():
+    for answer in ("Регистр читается только по фронту.", "Il registro viene letto solo sul fronte di salita e non cambia.", "Het register wordt alleen gelezen op de stijgende flank.", "寄存器由clk_core驱动，只在上升沿读取。", "レジスタは立ち上がりでのみ読まれます。", "يقرأ السجل عند الحافة فقط."):
+        assert P.defects("Why is it risky to change the module x_y?", answer) == ["other_language"], answer
+    assert P.defects("モジュールx_yのポートは何ですか？", "模块x_y有2个端口：a_b、c_d") == ["other_language"]
+    assert P.defects("Почему это опасно?", "Регистр clk_core читается только по фронту.") == []
+    assert P.defects("为什么？", "x_y has 3 ports: a_b, c_d, e_f") == []  # too few letters outside code to tell
+
+
+def test_profiles_tell_what_function_words_do_not(spark):
+    rows = [(k, f"{a} {n}_{k} {b}?", "") for k in range(400) for n, a, b in (("m", "Which ports does the module", "have in the design"), ("n", "Quels ports possède le module", "et dans la puce"))]
+    df = spark.createDataFrame(rows, "pair_id bigint, question string, answer string")
+    profiles = P.fit_profiles(df)
+    assert set(profiles.model) == {"en", "fr"}
+    q = "Quels ports possède le module x_y ?"
+    assert P.defects(q, "Module x_y has ports: a_b, c_d.", profiles) == ["other_language"] and P.defects(q, "Module x_y has ports: a_b, c_d.") == []
+    assert P.defects(q, "Le module x_y possède ports : a_b, c_d.", profiles) == []
+    assert not P.fit_profiles(df.limit(0)).model
+
+
+def test_every_defect_is_told():
+    assert P.defects("Nenne die Ports von x_y", "Nenne die Ports von x_y") == ["copied_question", "truncated"]
+    assert P.defects("Why is the module x_y risky?", "Leider darf ich dazu keine Auskunft geben, weil das Modul nicht") == ["refusal", "other_language", "truncated"]
