@@ -7,8 +7,9 @@ rules (an ambiguous terminator before a digit or inside a word, before a lower
 case continuation, before further terminators does not break), with three
 additions: abbreviations of each language do not end a sentence, or only before
 what can start one; nothing breaks inside a matched quotation or parenthesis, and
-after one that closes with a terminator only what can start a sentence does; in
-Thai, white space between two Thai letters is a boundary.  A line break inside
+after one that closes with a terminator only what can start a sentence does; a
+full stop whose space was lost breaks before a capitalised word; in Thai and Lao,
+white space between two letters of the script is a boundary.  A line break inside
 running text counts as a space.
 
 Defined results
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 # Abbreviations that never end a sentence, by language
 NEVER = {
     "any": ["Dr", "Prof", "St", "cf", "vs", "max", "min", "resp", "incl", "excl", "ca"],
-    "en": ["Mr", "Mrs", "Ms", "approx", r"e\.\s?g", r"i\.\s?e", "viz", "Jr"],
+    "en": ["Mr", "Mrs", "Ms", "Messrs", "Rev", "Gen", "Lt", "Col", "Sgt", "Capt", "Maj", "Cmdr", "Adm", "Gov", "Sen", "Hon", "Supt", "Mt", "approx", r"e\.\s?g", r"i\.\s?e", "viz", "Jr"],
     "de": ["Hr", "Fr", "Nr", "Abb", "Abs", "Tab", "Kap", "bzw", "vgl", "evtl", "ggf", "inkl", "zzgl", "sog", "Ing", r"z\.\s*B", r"d\.\s*h", r"u\.\s*a", r"i\.\s*d\.\s*R", r"o\.\s*ä", r"s\.\s*o", r"z\.\s*T"],
     "fr": ["MM", "Mme", "Mlle", "env", "chap", r"p\.\s*ex", r"c\.-à-d"],
     "es": ["Sr", "Sra", "Srta", "Dra", "Ud", "Uds", "aprox", r"p\.\s*ej", r"EE\.\s*UU"],
@@ -41,19 +42,26 @@ NEVER = {
     "hi": ["डॉ", "श्री", "पृ", "सं", "प्रो"],
 }
 # those that end one only before a digit's absence: they stand before numbers
-BEFORE_NUMBER = ["no", "No", "Nos", "nos", "Fig", "fig", "Figs", "Sec", "sec", "rev", "Rev", "ver", "Vol", "vol", "pp", "ch", "Ch", "Eq", "eq", "Tab", "tab", "núm", "pág", "art", "Art", "№"]
+BEFORE_NUMBER = ["no", "No", "Nos", "nos", "Fig", "fig", "Figs", "Sec", "sec", "rev", "ver", "Vol", "vol", "pp", "ch", "Ch", "Eq", "eq", "Tab", "tab", "núm", "pág", "art", "Art", "№"]
 # those that end one if the next word can start one
 MAYBE = ["etc", "usw", "al", "Inc", "Ltd", "Corp", "Co", "GmbH", r"a\.\s?m", r"p\.\s?m", r"U\.\s?S", r"т\.\s*д", r"т\.\s*п", "др", "пр"]
-# Bus signals that begin a sentence in lower case
-SIGNALS = frozenset(("sda", "scl", "mosi", "miso", "rdata", "wdata", "clk", "rst", "irq"))
+# Signals of usual buses, which begin a sentence in lower case; a text's own names are those with an index
+SIGNALS = frozenset(("sda", "scl", "mosi", "miso", "sck", "ss", "rdata", "wdata", "araddr", "awaddr", "tdata", "clk", "rst", "irq"))
+_INDEXED = regex.compile(r"\b([a-z]{2,})\[\d")
 MONTHS_BEFORE = regex.compile(r"(?:^|\s)(?:am|zum|vom|beim|im|ab|der|die|das|dem|den|des|zur|jeder|jedem|jeden|jede|jedes|ein(?:en|em|e)?|seit dem|bis zum)\s+\d{1,4}\Z")
 
 _ABBREVIATION = regex.compile(
     r"(?<![\p{L}\p{N}_.])(?:(?P<never>" + "|".join(sorted((a for s in NEVER.values() for a in s), key=len, reverse=True)) + r")|(?P<number>" + "|".join(BEFORE_NUMBER) + r")|(?P<maybe>" + "|".join(MAYBE) + r")|(?P<initial>\p{Lu}))\."
 )
+# the words that a listed abbreviation is made of: only after one of them is an abbreviation looked for
+_PIECES = frozenset(w for a in (*(x for s in NEVER.values() for x in s), *BEFORE_NUMBER, *MAYBE) for w in regex.findall(r"[^\W\d_]+", a.replace(r"\s", " ")))
+_LONGEST = max(map(len, _PIECES))
+# what begins a sentence right after a full stop: a capitalised word, an initial or words in capitals
+_GLUED = regex.compile(r"[¿¡]?(?:\p{Lu}\p{Ll}*(?:['’]\p{L}+)?[,:]?\s|\p{Lu}\.\s\p{Lu}|\p{Lu}{2,}\s)")
+_BEFORE_GLUED = regex.compile(r"[\p{Ll}\p{N}\p{Lu})\]%\"»”]")
 _TERMINATORS = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…]+(?:[\s ]?[\p{SB=STerm}\p{SB=ATerm}]+)*")
 _CLOSERS = regex.compile(r"[\p{SB=Close}\"]*")
-_THAI = regex.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
+_THAI = regex.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])|(?<=[ກ-ຽເ-ໍໜ-ໟ])\s+(?=[ກ-ຽເ-ໍໜ-ໟ])")
 _FENCE = regex.compile(r"^[ \t]{0,3}(```+|~~~+)", regex.M)
 _HEADING = regex.compile(r"[ \t]{0,3}#{1,6}[ \t]")
 _ITEM = regex.compile(r"([ \t]*)(?:[-*+•‣◦–]|(\d{1,9}|[a-zA-Z])[.)])[ \t]+(?=\S)")
@@ -99,7 +107,26 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
     return outer
 
 
-def _starts(text: str, at: int) -> str:
+def _abbreviations(text: str) -> dict[int, str]:
+    """Full stops that belong to an abbreviation, with the kind of it."""
+    out: dict[int, str] = {}
+    at = text.find(".")
+    while at >= 0:
+        begin, least = at, at - _LONGEST - 1
+        while begin > 0 and begin > least and (text[begin - 1].isalpha() or text[begin - 1] in "ंःािीुूृेैोौ़्ॉॅ"):
+            begin -= 1
+        word = text[begin:at]
+        if word in _PIECES or len(word) == 1 and word.isupper() or text[at - 1 : at] == "№":
+            for m in _ABBREVIATION.finditer(text, max(0, at - 24), min(len(text), at + 16)):
+                for i in range(m.start(), m.end()):
+                    if text[i] == ".":
+                        out[i] = "never"
+                out[m.end() - 1] = m.lastgroup
+        at = text.find(".", at + 1)
+    return out
+
+
+def _starts(text: str, at: int, names: frozenset[str] | set[str] = SIGNALS) -> str:
     """What stands at ``at``: upper, other (a caseless letter), name, lower, digit, mark or end."""
     n = len(text)
     while at < n and not (text[at].isalpha() or text[at].isdigit()):
@@ -118,21 +145,15 @@ def _starts(text: str, at: int) -> str:
         if _IDENTIFIER.match(text, at):
             return "name"
         m = _WORD.match(text, at)
-        return "name" if m.group() in SIGNALS else "lower"
+        return "name" if m.group() in names else "lower"
     return "other"
 
 
-def _breaks(text: str) -> list[int]:
-    """Offsets after which a sentence of a block ends."""
+def _breaks(text: str, names: frozenset[str] | set[str] = SIGNALS) -> list[int]:
+    """Offsets after which a sentence of a block ends; ``names`` are lower-case words that can start one."""
     out: list[int] = []
     enclosed, k = _enclosed(text), 0
-    abbreviations = {}
-    for m in _ABBREVIATION.finditer(text):
-        kind = m.lastgroup
-        for i in range(m.start(), m.end()):
-            if text[i] == ".":
-                abbreviations[i] = "never"
-        abbreviations[m.end() - 1] = kind
+    abbreviations = _abbreviations(text)
     n = len(text)
     for m in _TERMINATORS.finditer(text):
         start, end = m.span()
@@ -149,14 +170,18 @@ def _breaks(text: str) -> list[int]:
         elif k < len(enclosed) and enclosed[k][0] < close:
             close = enclosed[k][0] if enclosed[k][0] >= end else end
         after = text[close] if close < n else ""
-        strong = any(c not in ".․﹒．…" for c in run.strip())
-        wide = any(c in "。！？｡．﹖﹗।॥؟۔።" or ord(c) > 0x2FFF for c in run)
+        plain = run == "."
+        strong = not plain and any(c not in ".․﹒．…" for c in run.strip())
+        wide = not plain and any(c in "。！？｡．﹖﹗।॥؟۔።" or ord(c) > 0x2FFF for c in run)
         spaced = not after or after.isspace()
         if not spaced and not wide:
-            continue
+            # a lost space, unless the stop belongs to an abbreviation or a name
+            glued = (after.isupper() or after in "¿¡") and not inside and abbreviations.get(start) in (None, "maybe", "initial")
+            if not (glued and start and _BEFORE_GLUED.match(text, start - 1) and _GLUED.match(text, close) and " " in text[max(0, start - 60) : start]):
+                continue
         if not after:
             continue  # the end of the block
-        nxt = _starts(text, close)
+        nxt = _starts(text, close, names)
         if nxt == "end":
             continue
         if inside:
@@ -284,6 +309,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     out = []
+    names = SIGNALS.union(_INDEXED.findall(text)) if "[" in text else SIGNALS
     for start, end, scan in _blocks(text):
         if scan == end:
             span = _trim(text, start, end)
@@ -291,7 +317,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
                 out.append(span)
             continue
         begin = start
-        for cut in _breaks(text[scan:end]):
+        for cut in _breaks(text[scan:end], names):
             span = _trim(text, begin, scan + cut)
             if span[0] < span[1]:
                 out.append(span)
