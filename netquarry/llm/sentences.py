@@ -51,7 +51,7 @@ _INDEXED = regex.compile(r"\b([a-z]{2,})\[\d")
 MONTHS_BEFORE = regex.compile(r"(?:^|\s)(?:am|zum|vom|beim|im|ab|der|die|das|dem|den|des|zur|jeder|jedem|jeden|jede|jedes|ein(?:en|em|e)?|seit dem|bis zum)\s+\d{1,4}\Z")
 
 _ABBREVIATION = regex.compile(
-    r"(?<![\p{L}\p{N}_.])(?:(?P<never>" + "|".join(sorted((a for s in NEVER.values() for a in s), key=len, reverse=True)) + r")|(?P<number>" + "|".join(BEFORE_NUMBER) + r")|(?P<maybe>" + "|".join(MAYBE) + r")|(?P<initial>\p{Lu}))\."
+    r"(?<![\p{L}\p{N}_])(?<!(?<![\p{L}\p{N}_])\p{L}\.)(?:(?P<never>" + "|".join(sorted((a for s in NEVER.values() for a in s), key=len, reverse=True)) + r")|(?P<number>" + "|".join(BEFORE_NUMBER) + r")|(?P<maybe>" + "|".join(MAYBE) + r")|(?P<initial>\p{Lu}))\."
 )
 # the words that a listed abbreviation is made of: only after one of them is an abbreviation looked for
 _PIECES = frozenset(w for a in (*(x for s in NEVER.values() for x in s), *BEFORE_NUMBER, *MAYBE) for w in regex.findall(r"[^\W\d_]+", a.replace(r"\s", " ")))
@@ -176,7 +176,7 @@ def _breaks(text: str, names: frozenset[str] | set[str] = SIGNALS) -> list[int]:
         spaced = not after or after.isspace()
         if not spaced and not wide:
             # a lost space, unless the stop belongs to an abbreviation or a name
-            glued = (after.isupper() or after in "¿¡") and not inside and abbreviations.get(start) in (None, "maybe", "initial")
+            glued = (after.isupper() or after in "¿¡") and not inside and abbreviations.get(start) in (None, "number", "maybe", "initial")
             if not (glued and start and _BEFORE_GLUED.match(text, start - 1) and _GLUED.match(text, close) and " " in text[max(0, start - 60) : start]):
                 continue
         if not after:

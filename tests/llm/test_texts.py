@@ -54,7 +54,7 @@ def test_defects_of_tables(spark):
         ["1. First item", "\n2. Second one.", "\n\nEs gilt bis zum\n41. Takt hier."],
         ["﻿Start.", "\r\n\r\nEnd"],
         ["It fails at the slow corner.", "Is 3.1 V enough (see a_b.sdc).", "H. Klein says no.", "WHEN IT RAN in 9.41 V.", "Why not?", "¿Por qué?"],
-        ["See Rev. Smith, Gen. Lee and Lt. Col. Brown.", " The file sub.Name or np.Array(x) stays whole."],
+        ["See Rev. Smith, Gen. Lee and Lt. Col. Brown.", " The file sub.name or np.Array(x) stays whole."],
         ["frob[3:0] is wide.", " frob toggles."],
         ["ພາສາລາວ", " ອັກສອນລາວ"],
     ],
