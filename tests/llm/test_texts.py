@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from netquarry.llm import contamination as L
@@ -110,7 +111,9 @@ def test_leaks_found_and_phrases_not(spark):
     i = spark.createDataFrame([(7, item), (7, "short one"), (8, None), (9, "x " * 5), (10, " ".join(filler(40)))], "item_id bigint, text string")
     got = {tuple(r) for r in L.find_leaks(d, i).collect()}
     assert got == {(1, 7), (2, 7), (4, 7), (5, 7)}
-    assert {tuple(r) for r in L.find_leaks(d, i, block=1).collect()} == got
+    assert {tuple(r) for r in L.find_leaks(d, i, in_task=0).collect()} == got
+    for bits in (8, 16):  # a full filter lets everything through to the join
+        assert {tuple(r) for r in L._joined(d.where("text is not null").select("doc_id", "text"), L._item_texts(i), bits).collect()} == got
     assert L.find_leaks(d.limit(0), i).count() == 0 and L.find_leaks(d, i.limit(0)).count() == 0
 
 
@@ -133,6 +136,17 @@ def test_alignment_equals_trying_every_run():
         assert (L.longest_run(item, doc) >= 12) == some
 
 
+def test_windows_fall_into_partitions_by_size():
+    assert [L.slots_for(s) for s in L.SIZES] == sorted(L.slots_for(s) for s in L.SIZES) and L.slots_for(L.SIZES[0]) < L.SLOTS
+    for n in (1, 7, 8, 16, 17, 31, 32, 33, 48, 49, 500, L.SEGMENT - 1, L.SEGMENT, L.SEGMENT + 1, L.SEGMENT + 40, 2 * L.SEGMENT + 5):
+        begins = sorted(b for at, minima in L.window_minima(np.arange(n, dtype=np.uint64)) for b in at.tolist())
+        assert begins[0] == 0 and len(set(begins)) == len(begins)
+        for run in range(max(1, n - L.REACH + 1)):  # every stretch as long as a run lies within a window
+            assert any(b <= run and min(n, run + L.REACH) <= b + 2 * L.HALF for b in (run // L.HALF * L.HALF, run // L.HALF * L.HALF - L.HALF) if b in set(begins)) or n <= 2 * L.HALF
+            if n > 2000 and run > 100:
+                break
+
+
 def test_words_ignore_notation():
     assert L.words("The <b>rx_Data_5</b> got 12,345.50 — not 91 422!") == L.words("the rxData5 got 12345.50 not 91422")
     assert L.words("") == []
