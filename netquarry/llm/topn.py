@@ -8,11 +8,15 @@ open only the section in which the N-th row must lie.  Rows above it are taken,
 rows below it are dropped, so every pass reads a fraction of the one before.  A
 group is finished when the rows taken and the section add up to exactly N.  A
 section of equal words moves to the next word.  ``SECTIONS`` - 1 midpoints are
-counted per pass (2 would be plain bisection, with more jobs).
+counted per pass (2 would be plain bisection, with more jobs); a group never has
+more counts than rows.
 
 No group meets in one task: counting is by (group, section) after map-side
 combination, only sections (at most ``SECTIONS`` rows a group) are ordered by a
-window, and the final ranks are over N rows a group.
+window, and the final ranks are over N rows a group.  A group's cutoff is looked up
+by its rows through ``join_one``, which splits a group of more rows than one task
+may take.  A pass writes its rows by their fate, so that the next one reads only
+what is open, and drops the table of the pass before.
 
 Defined results
 * rows with null or NaN score, null group or null identifier do not count;
@@ -26,12 +30,15 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry import scratch
+from netquarry.operators.skew import HOT, join_one
 
-SECTIONS = 16
+SECTIONS = 256
 _PIECE = 6  # bytes of the identifier in a word: exact in a double
 
 
@@ -57,65 +64,82 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.array_position(same, False) - 1
 
 
-def _cut(active: DataFrame, word: Column) -> DataFrame:
-    """One pass over the open rows: their section's fate and the next interval.
+TAKEN, OPEN, TIED = 1, 0, 2
+_KEYS = ["grp", "identifier", "minus", "tie"]
+
+
+def _cut(active: DataFrame, word: Column, n_rows: int, hot: int) -> DataFrame:
+    """One pass over the open rows: their fate, and the next interval of those that stay open.
 
-    Adds ``fate``: 1 taken, 0 open, null dropped; for open rows ``need``, ``lo``
-    and ``hi`` describe the new interval.
+    Rows below the cutoff are left out; rows of a section of equal words are tied.
     """
     rows = active.withColumn("word", word)
-    rows = rows.withColumn("section", _section(F.col("word"), F.col("lo"), F.col("hi")))
-    counts = rows.groupBy("grp", "section").agg(F.count("*").alias("n"), F.min("word").alias("lo2"), F.max("word").alias("hi2"), F.first("need").alias("need"))
+    rows = rows.withColumn("section", _section(F.col("word"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    counts = rows.groupBy("grp", "section").agg(F.count("*").alias("n"), F.min("word").alias("lo"), F.max("word").alias("hi"), F.first("need").alias("need"))
     w = Window.partitionBy("grp").orderBy("section")
     before = (F.sum("n").over(w) - F.col("n")).alias("before")
-    at = counts.select("grp", "section", "n", "lo2", "hi2", "need", before).where("before < need and before + n >= need")
-    at = at.select("grp", F.col("section").alias("cut"), (F.col("need") - F.col("before")).alias("need2"), F.col("n").alias("n2"), "lo2", "hi2")
-    fate = F.when(F.col("section") < F.col("cut"), 1).when(F.col("section") == F.col("cut"), F.when(F.col("n2") == F.col("need2"), 1).otherwise(0))
-    out = rows.join(at, "grp").withColumn("fate", fate).where("fate is not null")
+    at = counts.select("grp", "section", "n", "lo", "hi", "need", before).where("before < need and before + n >= need")
+    at = at.select("grp", F.col("section").alias("cut"), (F.col("need") - F.col("before")).alias("left"), F.col("n").alias("held"), "lo", "hi")
+    inside = F.when(F.col("held") == F.col("left"), TAKEN).when(F.col("lo") == F.col("hi"), TIED).otherwise(OPEN)
+    fate = F.when(F.col("section") < F.col("cut"), TAKEN).when(F.col("section") == F.col("cut"), inside)
     level = ["level"] if "level" in active.columns else []
-    return out.select("grp", "identifier", "minus", "tie", *level, F.col("need2").alias("need"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("n2").alias("n_open"), "fate")
+    out = join_one(rows.drop("need"), at, "grp", n_rows, ["identifier"], hot).withColumn("fate", fate).where("fate is not null")
+    return out.select(*_KEYS, *level, F.col("left").alias("need"), "lo", "hi", "fate")
 
 
-def top_n(df: DataFrame, group: Column, identifier: Column, score: Column, tie: Column, n: int) -> DataFrame:
-    """(group_key, rank_no, identifier, score, tie) of the N best items of each group."""
-    keys = ["grp", "identifier", "minus", "tie"]
+def top_n(df: DataFrame, group: Column, identifier: Column, score: Column, tie: Column, n: int, hot: int = HOT) -> DataFrame:
+    """(group_key, rank_no, identifier, score, tie) of the N best items of each group; groups of more than ``hot`` rows are split."""
     rows = df.select(group.alias("grp"), identifier.alias("identifier"), (-score.cast("double") + F.lit(0.0)).alias("minus"), F.coalesce(tie.cast("double"), F.lit(float("inf"))).alias("tie"))
     rows = rows.where("grp is not null and identifier is not null and minus is not null and not isnan(minus)")
     best = rows.groupBy("grp", "identifier").agg(F.min(F.struct("minus", "tie")).alias("best"))
     best = scratch.table(best.select("grp", "identifier", "best.minus", "best.tie"), "best")
-    sizes = best.groupBy("grp").agg(F.count("*").alias("n_open"), F.min("minus").alias("lo"), F.max("minus").alias("hi")).where(F.col("n_open") > n)
-    taken = [best.join(sizes.select("grp"), "grp", "left_anti").select(*keys)]
-    active = best.join(sizes, "grp").withColumn("need", F.lit(n).cast("long"))
-    word, stage = F.col("minus"), 0
+    sizes = scratch.table(best.groupBy("grp").agg(F.count("*").alias("held"), F.min("minus").alias("lo"), F.max("minus").alias("hi")), "sizes")
+    count = sizes.agg(F.sum("held")).first()[0] or 0
+    # groups of at most N are taken as they are, groups of one score are tied from the start
+    fate = F.when(F.col("held") <= n, TAKEN).when(F.col("lo") == F.col("hi"), TIED).otherwise(OPEN)
+    begun = join_one(best, sizes, "grp", count, ["identifier"], hot).withColumn("fate", fate).withColumn("need", F.lit(n).cast("long"))
+    first = scratch.parts(begun.select(*_KEYS, "need", "lo", "hi", "fate"), "pass", "fate")
+    scratch.drop(best, sizes)
+    passes, stage, ties = [first], 0, [first]
+
+    def left(table: DataFrame) -> dict[int, int]:
+        return {r[0]: r[1] for r in table.groupBy("fate").count().collect()}
+
+    held = left(first)
+    word, active, n_open, n_tied = F.col("minus"), first.where(F.col("fate") == OPEN).drop("fate"), held.get(OPEN, 0), held.get(TIED, 0)
     while True:
         # bisect on one word until each open section holds equal words or is finished
-        tied = None
-        while active.limit(1).count():
-            passed = scratch.table(_cut(active, word), "pass")
-            taken.append(passed.where("fate = 1").select(*keys))
-            equal = passed.where("fate = 0 and lo = hi").select(*keys, "need", "n_open")
-            tied = equal if tied is None else tied.unionByName(equal)
-            active = passed.where("fate = 0 and lo < hi")
-        if tied is None or not tied.limit(1).count():
+        while n_open:
+            passed = scratch.parts(_cut(active, word, n_open, hot), "pass", "fate")
+            passes.append(passed)
+            ties.append(passed)
+            held = left(passed)
+            active, n_open, n_tied = passed.where(F.col("fate") == OPEN).drop("fate"), held.get(OPEN, 0), n_tied + held.get(TIED, 0)
+        if not n_tied:
             break
         stage += 1
+        tied = reduce(DataFrame.unionByName, [t.where(F.col("fate") == TIED).select(*_KEYS, "need") for t in ties])
+        ties = []
         if stage == 1:
             word = F.col("tie")
             ends = tied.groupBy("grp").agg(F.min(word).alias("lo"), F.max(word).alias("hi"))
-            active = tied.join(ends, "grp")
-            continue
-        # the identifiers' first differing piece, common prefixes skipped at once
-        ends = tied.groupBy("grp").agg(F.min("identifier").alias("a"), F.max("identifier").alias("b"))
-        ends = ends.select("grp", F.floor(_common_prefix(F.col("a"), F.col("b")) / _PIECE).cast("int").alias("level"), "a", "b")
-        word = _pieces(F.col("identifier"), F.col("level"))
-        ends = ends.select("grp", "level", _pieces(F.col("a"), F.col("level")).alias("lo"), _pieces(F.col("b"), F.col("level")).alias("hi"))
-        active = tied.join(ends, "grp")
-        # identifiers that differ in trailing zero bytes only: the final order decides
-        taken.append(active.where("lo = hi").select(*keys))
-        active = active.where("lo < hi")
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
+            same = TIED
+        else:
+            # the identifiers' first differing piece, common prefixes skipped at once
+            ends = tied.groupBy("grp").agg(F.min("identifier").alias("a"), F.max("identifier").alias("b"))
+            ends = ends.select("grp", F.floor(_common_prefix(F.col("a"), F.col("b")) / _PIECE).cast("int").alias("level"), "a", "b")
+            word = _pieces(F.col("identifier"), F.col("level"))
+            ends = ends.select("grp", "level", _pieces(F.col("a"), F.col("level")).alias("lo"), _pieces(F.col("b"), F.col("level")).alias("hi"))
+            same = TAKEN  # identifiers that differ in trailing zero bytes only: the final order decides
+        level = ["level"] if stage > 1 else []
+        spread = join_one(tied, ends, "grp", n_tied, ["identifier"], hot).withColumn("fate", F.when(F.col("lo") == F.col("hi"), same).otherwise(OPEN))
+        begun = scratch.parts(spread.select(*_KEYS, *level, "need", "lo", "hi", "fate"), "pass", "fate")
+        passes.append(begun)
+        ties.append(begun)
+        held = left(begun)
+        active, n_open, n_tied = begun.where(F.col("fate") == OPEN).drop("fate"), held.get(OPEN, 0), held.get(TIED, 0)
+    out = scratch.table(reduce(DataFrame.unionByName, [p.where(F.col("fate") == TAKEN).select(*_KEYS) for p in passes]), "taken")
+    scratch.drop(*passes)
     w = Window.partitionBy("grp").orderBy("minus", "tie", "identifier")
     ranked = out.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
     return ranked.select(F.col("grp").alias("group_key"), "rank_no", "identifier", (-F.col("minus") + F.lit(0.0)).alias("score"), F.when(F.col("tie") < float("inf"), F.col("tie")).alias("tie"))

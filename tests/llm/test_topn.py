@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from netquarry.llm import topn
 
 
-def run(spark, rows, n):
+def run(spark, rows, n, **kw):
     df = spark.createDataFrame(rows, "g string, i string, s double, t int")
-    got = topn.top_n(df, F.col("g"), F.col("i"), F.col("s"), F.col("t"), n).collect()
+    got = topn.top_n(df, F.col("g"), F.col("i"), F.col("s"), F.col("t"), n, **kw).collect()
     return {(r.group_key, r.rank_no): r.identifier for r in got}
 
 
@@ -37,8 +37,8 @@ def test_ties_nulls_and_uneven_groups(spark):
             rows.append((g, f"shared::prefix::node_{rng.randrange(600):03d}é"[: rng.choice([23, 24])], s, rng.choice([None, 0, 1, 2])))
     rows += [("same", f"very::long::common::prefix::{k:04d}", 1.0, 1) for k in range(300)]
     rows.append(("nul", None, 1.0, 1))
-    for n in (1, 5):
-        assert run(spark, rows, n) == expected(rows, n)
+    for n, kw in ((1, {}), (5, {}), (5, {"hot": 50})):
+        assert run(spark, rows, n, **kw) == expected(rows, n)
 
 
 def test_empty_and_zero_bytes(spark):
