@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.functions import scalars
 from netquarry.llm import canonical, contamination, identity, packing, pairs, sentences, topn
 from netquarry.scratch import load
 
@@ -17,16 +18,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("group_key", "rank_no", F.col("identifier").alias("node_id"))
 
 
-# names inside the [get_...] brackets of a constraint
-_TARGETS = r"\[get_\w+\s+(\{[^{}]*\}|(?:[^\[\]\s{}]|\[[^\[\]]*\])*)\s*\]"
-
-
 def _typed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(constraint_id, target_pos, value) of every typed target, repeats removed."""
     rows = load(spark, sf_dir, "sdc_constraints")
-    groups = F.regexp_extract_all("raw_line", F.lit(_TARGETS), 1)
-    inside = F.filter(F.flatten(F.transform(groups, lambda g: F.split(F.translate(g, "{}", ""), r"\s+"))), lambda w: w != "")
-    every = rows.select("constraint_id", F.posexplode(F.coalesce("targets", inside)).alias("target_pos", "value"))
+    every = rows.select("constraint_id", F.posexplode(F.coalesce("targets", scalars.get_targets(F.col("raw_line")))).alias("target_pos", "value"))
     return every.where("constraint_id is not null and value is not null").distinct()
 
 

@@ -7,6 +7,10 @@ from hypothesis import strategies as st
 from netquarry.llm import canonical as C
 from netquarry.llm import identity as I
 
+LEARNT = C.Learnt(
+    frozenset({("u", "core"), ("i",)}), frozenset({("i",), ("pad",)}),
+    {"rdy": ("ready",), "dat": ("data",), "vld": ("valid",), "clk": ("clock",), "rst": ("reset",), "req": ("request",), "rsp": ("response",)},
+)
 REFS = [(1, "uart_data_ready"), (2, "uart_data_valid"), (3, "spi_clock"), (4, "spi_clock_reset"), (5, "pcie_request_response")]
 
 
@@ -18,22 +22,63 @@ REFS = [(1, "uart_data_ready"), (2, "uart_data_valid"), (3, "spi_clock"), (4, "s
     ],
 )
 def test_spellings(spark, typed, ref):
-    index = C.Index(REFS)
+    index = C.Index(REFS, LEARNT)
     k, score, second = index.best(typed)
     assert (k if score >= C.THRESHOLD and score - second >= C.MARGIN else -1) == ref
 
 
 def test_table_and_joined_scores_agree(spark):
     refs = spark.createDataFrame([(*r, "x") for r in REFS], "ref_id bigint, canonical_name string, value string")
-    values = spark.createDataFrame([(v,) for v in ["spiclk", "uart_dat_rdy", "uart_dat_rdy", "nothing_here", None, "", "x" * 5000, "spi"]], "value string")
+    typed = ["spiclokc", "uart_data_readyy", "uart_data_readyy", "nothing_here", None, "", "x" * 5000, "spi", "spi_uart_clock", "uart_dada_valid", "pcie_requset_respons", "spi_cloc"]
+    values = spark.createDataFrame([(v,) for v in typed], "value string")
     small = {r.value: (r.ref_id, round(r.score, 9), round(r.runner_up, 9)) for r in C.match_names(values, refs).collect()}
     large = {r.value: (r.ref_id, round(r.score, 9), round(r.runner_up, 9)) for r in C.match_names(values, refs, in_task=0).collect()}
-    assert small == large and set(small) == {"spiclk", "uart_dat_rdy", "nothing_here", "x" * 5000, "spi"}
-    assert small["spiclk"][0] == 3
+    assert small == large and set(small) == set(typed) - {None, ""}
+    assert small["spiclokc"][0] == 3 and small["uart_data_readyy"][0] == 1
     assert {r.ref_id for r in C.match_names(values, refs.limit(0)).collect()} == {-1}
     assert C.match_names(values.limit(0), refs).count() == 0
 
 
+def test_decoration_and_abbreviations_are_learnt_from_the_table(spark):
+    refs = [f"{a}_{b}_{c}" for a in ("uart", "spi", "pcie", "dma") for b in ("data", "clock") for c in ("ready", "valid")]
+    typed = [f"core_top.{r}" for r in refs] + [f"{r}_o" for r in refs] + [r.replace("ready", "rdy").replace("valid", "vld") for r in refs] + [f"q_{refs[0]}"]
+    values = spark.createDataFrame([(v,) for v in typed], "value string")
+    learnt = C.learn(values, refs)
+    assert (learnt.heads, learnt.tails) == ({("core", "top")}, {("o",)}) and learnt.abbreviations == {"rdy": ("ready",), "vld": ("valid",)}
+    table = spark.createDataFrame(list(enumerate(refs)), "ref_id bigint, canonical_name string")
+    got = {r.value: r.ref_id for r in C.match_names(values, table).collect()}
+    assert all(got[v] == refs.index(v.replace("core_top.", "").replace("_o", "").replace("rdy", "ready").replace("vld", "valid")) for v in typed[:-1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc_", min_size=1, max_size=14))
+def test_search_with_bounds_equals_scoring_every_reference(value):
+    refs = list(enumerate(["abc_bca", "abc_cab", "bca_cab_a", "aab_bca", "cc_abc"]))
+    index = C.Index(refs, least=0.2)
+    typed = C.Typed(index.normaliser.tokens(value), index.idf, index.rare)
+    scores = []
+    for _, name in refs:
+        bag = C.grams(C.reference_words(name))
+        norm = C.norm_of(bag, index.idf, index.rare)
+        scores.append(typed.score({g: n * index.idf[g] / norm for g, n in bag.items()}) if typed.bags else 0.0)
+    want = sorted((s if s >= 0.2 else 0.0 for s in scores), reverse=True)[:2]
+    _, lead, second = index.best(value)
+    assert abs(lead - want[0]) < 1e-9 and abs(second - want[1]) < 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc1", min_size=2, max_size=6))
+def test_deletion_index_equals_listing_every_error(typo):
+    forms = {"abc": {"x"}, "cab1": {"y"}, "aabb": {"z"}, "ca": {"w"}}
+    assert set(C.Normaliser._listed(forms).get(typo, ())) - forms.get(typo, set()) == set(C.Near(forms)[typo]) - forms.get(typo, set())
+
+
+def test_long_tokens_take_linear_time():
+    index = C.Index(REFS, LEARNT)
+    assert index.best("uartdataready" * 2000)[0] in (-1, 1)
+    assert C.Normaliser({"ab", "cd"}).tokens("abcd" * 20_000)[0][0][0] == "ab"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=6), st.text(alphabet="abc", min_size=1, max_size=6))
 def test_distance_and_one_error(a, b):
