@@ -9,6 +9,17 @@ merges nothing.
 Which of two words is the surname is told by the corpus itself: given names stand
 beside many different words, surnames beside few.  A reading counts only if its
 surname occurs as such, so that logins (``jsmith``, ``smithj``) are cut rightly.
+Short forms and other spellings of given names are learnt as well: where a name and
+the mailbox beside it have the same surname and different given names, for several
+surnames and a share of those that the form occurs with (``aliases``).  ``PET_NAMES``
+only adds what a table is too small to show.
+
+A team is its organisation and what its name has besides, so that teams of one
+organisation stay apart whatever their function is called; the organisation is the
+word that is the domain of a mailbox, or else the longest.
+
+What counts as a common name is a share of the table, not a number, so that
+decisions do not change with its size.
 
 Blocks never expand into pairs: equal keys are tied to their smallest record as a
 star; spellings one typing error apart meet in blocks of a common deletion, in
@@ -44,27 +55,23 @@ from pyspark.sql import functions as F
 from netquarry import scratch
 from netquarry.operators.components import connected
 
-COMMON = 8  # partners from which a word is a common given name
+COMMON = 8  # partners from which a word is a common given name, in a table of up to COMMON / COMMON_SHARE full names
+COMMON_SHARE = 0.0002  # the same as a share of the full names of a larger table
 MENDED = 15  # times as many partners as its misspelling that a common name needs
-
-# Short and pet forms of given names
-NICKNAMES = {
-    "alex": "alexander", "sasha": "alexander", "tony": "anthony", "ben": "benedikt", "chris": "christopher",
-    "dan": "daniel", "danny": "daniel", "ed": "edward", "eddie": "edward", "ned": "edward", "beth": "elizabeth",
-    "liz": "elizabeth", "betty": "elizabeth", "paca": "francisca", "paquita": "francisca", "jen": "jennifer",
-    "jenny": "jennifer", "hannes": "johannes", "jo": "josephine", "josie": "josephine", "kate": "katherine",
-    "kathy": "katherine", "kat": "katherine", "peggy": "margaret", "meg": "margaret", "maggie": "margaret",
-    "mike": "michael", "mick": "michael", "misha": "mikhail", "nick": "nicholas", "pat": "patricia", "patty": "patricia",
-    "bob": "robert", "rob": "robert", "bobby": "robert", "sam": "samuel", "sue": "susanna", "susie": "susanna",
-    "ted": "theodore", "theo": "theodore", "tom": "thomas", "tommy": "thomas", "uli": "ulrich", "vicky": "victoria",
-    "tori": "victoria", "bill": "william", "will": "william", "billy": "william", "zhenya": "yevgenia",
+ALIAS, ALIAS_SHARE = 3, 0.05  # surnames that show a short form, and their share of those that it occurs with
+
+# Usual English short forms of given names that mean one name
+PET_NAMES = {
+    "tony": "anthony", "danny": "daniel", "dan": "daniel", "eddie": "edward", "beth": "elizabeth", "liz": "elizabeth", "betty": "elizabeth",
+    "jenny": "jennifer", "jen": "jennifer", "kathy": "katherine", "peggy": "margaret", "maggie": "margaret", "meg": "margaret",
+    "mike": "michael", "mick": "michael", "nick": "nicholas", "bob": "robert", "rob": "robert", "bobby": "robert", "tom": "thomas",
+    "tommy": "thomas", "vicky": "victoria", "bill": "william", "will": "william", "billy": "william",
 }
-UMLAUTS = {"juergen": "jurgen", "joerg": "jorg", "bjoern": "bjorn", "soeren": "soren", "joern": "jorn", "guenter": "gunter", "guenther": "gunther", "ruediger": "rudiger", "goeran": "goran", "doerte": "dorte", "baerbel": "barbel", "kaethe": "kathe", "zoee": "zoe"}
-# Accounts that are no one's name, and the words of a team's name
+# Accounts that are no one's name, and the usual words of a team's and a firm's name
 ROLES = frozenset(("dev", "root", "admin", "build", "builder", "ci", "git", "bot", "user", "test", "jenkins", "noreply", "nobody", "unknown"))
-TEAM_HEADS = frozenset(("office", "off", "team", "tm", "group", "grp"))
-TEAM_FUNCTIONS = {"timing": "timing", "verification": "verification", "verif": "verification", "integration": "integration", "integ": "integration"}
-TEAM_KINDS = frozenset(("research", "res", "silicon", "si", "devices", "dev", "systems", "sys", "inc", "ltd", "labs"))
+TEAM_HEADS = frozenset(("office", "off", "team", "tm", "group", "grp", "department", "dept", "division", "desk", "crew", "squad", "unit"))
+TEAM_KINDS = frozenset(("research", "res", "silicon", "si", "devices", "dev", "systems", "sys", "inc", "ltd", "llc", "gmbh", "corp", "company", "labs"))
+STEM = 5  # letters of a function's name that tell it: verif is verification
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,10 +81,9 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def canonical(given: str) -> str:
-    """A given name without its short form or its spelt-out umlaut."""
-    given = UMLAUTS.get(given, given)
-    return NICKNAMES.get(given, given)
+def function_of(words: list[str]) -> str:
+    """What tells a team's function: the beginnings of its words, in any order."""
+    return "#" + "+".join(sorted(w[:STEM] for w in words))
 
 
 def readings(text: str | None, domain: str | None = None) -> list[tuple[str | None, str, str, bool | None]]:
@@ -85,7 +91,10 @@ def readings(text: str | None, domain: str | None = None) -> list[tuple[str | No
 
     ``given`` is null where only the initial is known; ``oriented`` tells that the
     notation itself says which word is the surname, and is null where the initial
-    stands apart from it.
+    stands apart from it.  For a team, the initial is ``#``, the surname its
+    organisation and the given name its function; each long word of its name may be
+    the organisation, the longest comes first.  A mailbox of one word may be that of
+    a function.
     """
     if not text or not text.strip():
         return []
@@ -94,13 +103,13 @@ def readings(text: str | None, domain: str | None = None) -> list[tuple[str | No
     words = _WORD.findall(s)
     if not words:
         return []
-    if domain is not None and len(words) == 1 and (words[0] in TEAM_FUNCTIONS or words[0] in ROLES):
-        org = fold(domain).split(".")[0]
-        return [(f"#{TEAM_FUNCTIONS[words[0]]}" if words[0] in TEAM_FUNCTIONS else None, "#", org, False)]
+    org = fold(domain).split(".")[0] if domain is not None else None
+    if domain is not None and len(words) == 1 and words[0] in ROLES:
+        return [(None, "#", org, False)]
     if len(words) > 1 and any(w in TEAM_HEADS for w in words):
-        function = next((TEAM_FUNCTIONS[w] for w in words if w in TEAM_FUNCTIONS), "")
-        orgs = [w for w in words if w not in TEAM_HEADS and w not in TEAM_FUNCTIONS and w not in TEAM_KINDS and len(w) > 4]
-        return [(f"#{function}", "#", max(orgs, key=len), True)] if orgs else []
+        own = [w for w in words if w not in TEAM_HEADS and w not in TEAM_KINDS]
+        orgs = sorted({w for w in own if len(w) > 4}, key=lambda w: (-len(w), w))
+        return [(function_of([w for w in own if w != o]), "#", o, k == 0) for k, o in enumerate(orgs)]
     if len(words) == 1 and words[0] in ROLES:
         return []
     if "," in s and len(words) > 1:
@@ -113,13 +122,14 @@ def readings(text: str | None, domain: str | None = None) -> list[tuple[str | No
         return [_reading(long[0], long[-1], False), _reading(long[-1], long[0], False)]
     if len(long) == 1 and single:
         return [(None, single[0], long[0], None)]
+    team = [(function_of(long), "#", org, None)] if org and len(words) == 1 and long else []
     if len(long) == 1 and len(long[0]) > 3:
-        return [(None, long[0][0], long[0][1:], False), (None, long[0][-1], long[0][:-1], False)]
-    return []
+        return [(None, long[0][0], long[0][1:], False), (None, long[0][-1], long[0][:-1], False), *team]
+    return team
 
 
 def _reading(given: str, surname: str, oriented: bool) -> tuple[str | None, str, str, bool]:
-    return (canonical(given) if len(given) > 1 else None, given[0], surname, oriented)
+    return (given if len(given) > 1 else None, given[0], surname, oriented)
 
 
 _READ = "identity bigint, source string, given string, initial string, surname string, oriented boolean, other string"
@@ -131,10 +141,10 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i, name, mail in zip(*(batch.column(c).to_pylist() for c in ("identity", "name", "mail"))):
-            rows.extend((i, "name", *r, canonical(r[2])) for r in readings(name))
+            rows.extend((i, "name", *r, r[2]) for r in readings(name))
             if mail and "@" in mail:
                 local, domain = mail.rsplit("@", 1)
-                rows.extend((i, "mail", *r, canonical(r[2])) for r in readings(local, domain))
+                rows.extend((i, "mail", *r, r[2]) for r in readings(local, domain))
         cols = list(zip(*rows)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
@@ -147,7 +157,8 @@ def deletions(word: Column) -> Column:
 
     A word and every string with one of its letters left out; for words above
     ``LONG`` letters, whose deletions would grow with their square, the leading and
-    trailing halves, of which one error spares one.
+    trailing halves, of which one error spares one.  Words next to that length have
+    both kinds, so that one on either side of it has a key in common with the other.
     """
     n = F.length(word)
     one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
@@ -155,7 +166,9 @@ def deletions(word: Column) -> Column:
     for less in (0, 1):
         h = F.floor(n / 2).cast("int") - less
         halves += [F.concat(F.lit("<"), F.substring(word, F.lit(1), h)), F.concat(F.lit(">"), F.substring(word, n - h + 1, h))]
-    return F.when(n <= LONG, F.array_distinct(F.array_append(one, word))).otherwise(F.array(*halves))
+    none = F.array().cast("array<string>")
+    short, long = F.when(n <= LONG + 1, F.array_append(one, word)).otherwise(none), F.when(n >= LONG, F.array(*halves)).otherwise(none)
+    return F.array_distinct(F.concat(short, long))
 
 
 def one_error_apart(a: Column, b: Column) -> Column:
@@ -164,33 +177,77 @@ def one_error_apart(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | swapped
 
 
-def _common_names(read: DataFrame) -> DataFrame:
-    """(word, given, partners): each first or last word as a given name, typing errors of common ones mended.
+def aliases(read: DataFrame, pet_names: dict[str, str]) -> DataFrame:
+    """(word, meant): short forms and other spellings of given names.
+
+    Learnt from records whose name and mailbox agree in the surname: for at least
+    ``ALIAS`` surnames, and ``ALIAS_SHARE`` of the surnames that the form occurs with.
+    """
+    full = read.where("given is not null and initial <> '#'")
+    name = full.where("source = 'name'").select("identity", "surname", F.col("given").alias("word"))
+    mail = full.where("source = 'mail'").select("identity", "surname", F.col("given").alias("meant"))
+    votes = name.join(mail, ["identity", "surname"]).where("word <> meant").groupBy("word", "meant").agg(F.count_distinct("surname").alias("votes"))
+    votes = scratch.table(votes.where(F.col("votes") >= ALIAS), "votes")
+    with_surnames = name.groupBy("word").agg(F.count_distinct("surname").alias("surnames"))
+    back = votes.select(F.col("word").alias("meant"), F.col("meant").alias("word"), F.col("votes").alias("back"))
+    kept = votes.join(with_surnames, "word").where(F.col("votes") >= ALIAS_SHARE * F.col("surnames")).join(back, ["word", "meant"], "left")
+    kept = kept.where(F.col("back").isNull() | (F.col("votes") > F.col("back")) | ((F.col("votes") == F.col("back")) & (F.col("word") > F.col("meant"))))
+    best = scratch.table(kept.groupBy("word").agg(F.max(F.struct("votes", "meant")).getField("meant").alias("meant")), "aliases")
+    # a form of a form means what that means
+    further = best.select(F.col("word").alias("meant"), F.col("meant").alias("further"))
+    best = best.join(further, "meant", "left").select("word", F.coalesce("further", "meant").alias("meant")).where("word <> meant")
+    fixed = read.sparkSession.createDataFrame(sorted(pet_names.items()), "word string, meant string") if pet_names else best.limit(0)
+    return scratch.table(best.unionByName(fixed.join(best.select("word"), "word", "left_anti")), "aliases")
+
+
+def _common_names(read: DataFrame) -> tuple[DataFrame, int]:
+    """(word, mended, partners): each first or last word as a given name, typing errors of common ones mended; and from how many partners one is common.
 
     ``partners`` is the number of different words beside it, or beside the common
     name that it is one error away from if that has ``MENDED`` times as many.
     """
-    pairs = read.where("given is not null and initial <> '#'").select(F.col("given").alias("word"), F.col("other")).distinct()
+    pairs = scratch.table(read.where("given is not null and initial <> '#'").select(F.col("given").alias("word"), F.col("other")).distinct(), "full")
+    common = max(COMMON, round(COMMON_SHARE * pairs.count()))
     counts = scratch.table(pairs.groupBy("word").agg(F.count("*").alias("partners")), "partners")
-    usual = counts.where(F.col("partners") >= COMMON).select(F.col("word").alias("given"), F.col("partners").alias("p2"), F.explode(deletions(F.col("word"))).alias("key"))
+    usual = counts.where(F.col("partners") >= common).select(F.col("word").alias("given"), F.col("partners").alias("p2"), F.explode(deletions(F.col("word"))).alias("key"))
     keyed = counts.select("word", "partners", F.explode(deletions(F.col("word"))).alias("key")).join(usual, "key")
     mended = keyed.where(F.col("p2") >= MENDED * F.col("partners")).where(one_error_apart(F.col("word"), F.col("given")))
     best = mended.groupBy("word").agg(F.max(F.struct("p2", "given")).alias("best")).select("word", "best.given", "best.p2")
     out = counts.join(best, "word", "left")
-    return out.select("word", F.coalesce("given", "word").alias("mended"), F.coalesce("p2", "partners").alias("partners"))
-
-
-def _valid_readings(records: DataFrame) -> DataFrame:
-    """Readings whose surname is one, each record's name before its mailbox."""
-    read = scratch.table(records.mapInArrow(_read_all, _READ), "readings")
-    words = scratch.table(_common_names(read), "words")
-    as_given = words.select(F.col("word").alias("given"), "mended", F.col("partners").alias("given_n"))
+    return out.select("word", F.coalesce("given", "word").alias("mended"), F.coalesce("p2", "partners").alias("partners")), common
+
+
+def _teams(read: DataFrame, records: DataFrame) -> DataFrame:
+    """The one reading of each team: its organisation is a mailbox's domain, or else its longest word; mailboxes only of such teams."""
+    domains = records.where("mail like '%@%'").select(F.lower(F.regexp_extract("mail", r"@([^.@]+)[^@]*$", 1)).alias("surname")).distinct()
+    named = read.where("source = 'name' and initial = '#'").join(domains.withColumn("known", F.lit(True)), "surname", "left")
+    first = F.struct(F.col("known").isNull(), ~F.col("oriented"), F.length("surname") * -1, "surname")
+    columns = [F.col(c) for c in read.columns if c not in ("identity", "source")]
+    one = named.groupBy("identity", "source").agg(F.min_by(F.struct(*columns), first).alias("r")).select("identity", "source", "r.*").select(read.columns)
+    one = scratch.table(one, "teams")
+    functions = one.select("given", "surname").distinct()
+    box = read.where("source = 'mail' and initial = '#' and given is not null").join(functions, ["given", "surname"], "left_semi").select(read.columns)
+    return one.withColumn("oriented", F.lit(True)).unionByName(box.withColumn("oriented", F.lit(True)))
+
+
+def _valid_readings(records: DataFrame, pet_names: dict[str, str]) -> tuple[DataFrame, int]:
+    """Readings whose surname is one, each record's name before its mailbox; and from how many partners a name is common."""
+    raw = scratch.table(records.mapInArrow(_read_all, _READ), "readings")
+    known_as = aliases(raw, pet_names)
+    people = raw.where("not (initial = '#' and given is not null)")
+    meant = people.join(known_as.select(F.col("word").alias("given"), F.col("meant").alias("g2")), "given", "left").join(known_as.select(F.col("word").alias("other"), F.col("meant").alias("o2")), "other", "left")
+    meant = meant.withColumn("given", F.coalesce("g2", "given")).withColumn("other", F.coalesce("o2", "other")).select(raw.columns)
+    read = scratch.table(meant.unionByName(_teams(raw, records)), "readings")
+    scratch.drop(raw)
+    words, common = _common_names(read)
+    words = scratch.table(words, "words")
+    nick = known_as.select("word").unionByName(known_as.select(F.col("meant").alias("word"))).distinct()
+    as_given = words.select(F.col("word").alias("given"), "mended", F.col("partners").alias("given_n")).join(nick.select(F.col("word").alias("given"), F.lit(2).alias("given_nick")), "given", "left")
     as_surname = words.select(F.col("word").alias("other"), F.col("partners").alias("surname_n"))
-    judged = read.where("given is not null").join(as_given, "given", "left").join(as_surname, "other", "left")
-    nick = list({*NICKNAMES, *NICKNAMES.values()})
+    judged = read.where("given is not null").join(as_given, "given", "left").join(as_surname, "other", "left").join(nick.select(F.col("word").alias("other"), F.lit(2).alias("other_nick")), "other", "left")
     # the other reading of the same words has the surname as its given name
-    score = F.coalesce("given_n", F.lit(0)) + F.when(F.col("given").isin(nick), 2).otherwise(0)
-    against = F.coalesce("surname_n", F.lit(0)) + F.when(F.col("other").isin(nick), 2).otherwise(0)
+    score = F.coalesce("given_n", F.lit(0)) + F.coalesce("given_nick", F.lit(0))
+    against = F.coalesce("surname_n", F.lit(0)) + F.coalesce("other_nick", F.lit(0))
     good = judged.where(F.col("oriented") | (score > against) | ((score == against) & (F.length("surname") >= F.length("given"))))
     good = scratch.table(good.withColumn("given", F.coalesce("mended", "given")).select(read.columns), "named")
     team_box = (F.col("initial") == "#") & (F.col("source") == "mail")
@@ -202,21 +259,24 @@ def _valid_readings(records: DataFrame) -> DataFrame:
     some = F.max(F.col("known")).over(Window.partitionBy("identity", "source"))
     rest = rest.withColumn("some", some)
     login = F.col("some").isNull() & F.col("oriented").isNotNull() & (F.col("initial") != "#") & (F.length("surname") >= 8)
-    names = words.where((F.col("partners") >= COMMON) | F.col("mended").isin(nick)).select("word")
+    names = words.where(F.col("partners") >= common).select("word").unionByName(nick).unionByName(words.join(nick.select(F.col("word").alias("mended")), "mended", "left_semi").select("word")).distinct()
     rest = rest.withColumn("word", F.concat("initial", "surname")).join(names.withColumn("is_name", F.lit(True)), "word", "left")
     rest = rest.withColumn("is_name", F.max("is_name").over(Window.partitionBy("identity", "source")))
     login = login & F.col("is_name").isNull()
     weak = rest.where(F.col("known") | login).select(*read.columns, F.col("known").isNotNull().alias("known"))
     weak = weak.where("known").drop("known").unionByName(weak.where("not known").groupBy("identity", "source").agg(F.max_by(F.struct(*[c for c in read.columns if c not in ("identity", "source")]), F.concat(F.substring("surname", -7, 7), "initial")).alias("r")).select("identity", "source", "r.*").select(read.columns))
+    weak = scratch.table(weak, "weak")
     named = good.where("source = 'name'").unionByName(weak.where("source = 'name'"))
     mail_read = good.where("source = 'mail'").join(surnames, "surname", "left_semi").select(read.columns).unionByName(weak.where("source = 'mail'"))
     own = named.select("identity", F.col("surname").alias("own_surname")).distinct()
     same = F.col("own_surname").isNull() | (F.levenshtein("own_surname", "surname") <= 2)
     mail_ok = mail_read.join(own, "identity", "left").where(same).select(read.columns)
-    return named.unionByName(mail_ok).withColumn("full", F.col("given").isNotNull()).drop("oriented", "source", "other").distinct()
+    valid = scratch.table(named.unionByName(mail_ok).withColumn("full", F.col("given").isNotNull()).drop("oriented", "source", "other").distinct(), "valid")
+    scratch.drop(read, known_as, words, good, surnames, weak)
+    return valid, common
 
 
-def _spelling_edges(full: DataFrame) -> DataFrame:
+def _spelling_edges(full: DataFrame, common: int) -> DataFrame:
     """Stars over equal full names, and ties between spellings one error apart."""
     hubs = scratch.table(full.groupBy("given", "surname").agg(F.min("identity").alias("hub")), "hubs")
     stars = full.join(hubs, ["given", "surname"]).select(F.col("identity").alias("a"), F.col("hub").alias("b"))
@@ -227,7 +287,7 @@ def _spelling_edges(full: DataFrame) -> DataFrame:
         right = left.select(same, F.col("x").alias("y"), F.col("a").alias("b"), F.col("c1").alias("c2"), "key")
         return left.join(right, [same, "key"]).where("x < y").where(one_error_apart(F.col("x"), F.col("y"))).where(extra).select("a", "b").distinct()
 
-    return stars.unionByName(near("given", "surname", F.lit(True))).unionByName(near("surname", "given", (F.least("c1", "c2") < COMMON) | (F.greatest("c1", "c2") >= 4 * F.least("c1", "c2"))))
+    return stars.unionByName(near("given", "surname", F.lit(True))).unionByName(near("surname", "given", (F.least("c1", "c2") < common) | (F.greatest("c1", "c2") >= 4 * F.least("c1", "c2"))))
 
 
 def _rematch(profiles: DataFrame, records: DataFrame, valid: DataFrame) -> DataFrame:
@@ -255,24 +315,35 @@ def _rematch(profiles: DataFrame, records: DataFrame, valid: DataFrame) -> DataF
     return one.unionByName(together).unionByName(nameless).unionByName(by_box).where("a <> b").distinct()
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, pet_names: dict[str, str] | None = None) -> DataFrame:
     """(identity, profile) for ``records(identity bigint, name, mail)``; the profile is its smallest identity."""
     records = scratch.table(records.where("identity is not null").select("identity", "name", "mail"), "records")
-    valid = scratch.table(_valid_readings(records), "valid")
-    at = scratch.table(connected(_spelling_edges(valid.where("full").select("identity", "given", "surname").distinct())), "profiles")
+    valid, common = _valid_readings(records, PET_NAMES if pet_names is None else pet_names)
+    at = connected(_spelling_edges(valid.where("full").select("identity", "given", "surname").distinct(), common))
     all_ids = records.select("identity").distinct()
     profiles = scratch.table(all_ids.join(at.select(F.col("node").alias("identity"), "component"), "identity", "left").select("identity", F.coalesce("component", "identity").alias("profile")), "profiles")
     while True:
         edges = scratch.table(_rematch(profiles, records, valid), "edges")
         if not edges.limit(1).count():
+            scratch.drop(edges, records, valid)
             return profiles
         merged = connected(edges).select(F.col("node").alias("profile"), F.col("component").alias("into"))
-        new = profiles.join(merged, "profile", "left").select("identity", F.coalesce("into", "profile").alias("profile"))
-        profiles = scratch.table(new, "profiles")
+        new = scratch.table(profiles.join(merged, "profile", "left").select("identity", F.coalesce("into", "profile").alias("profile")), "profiles")
+        scratch.drop(edges, profiles)
+        profiles = new
+
+
+PARTS = 1_000  # identities of a profile that are paired with all of it in one task
 
 
-def linked_pairs(profiles: DataFrame) -> DataFrame:
-    """(identity_a, identity_b) of every two identities of one profile, the smaller first."""
-    left = profiles.select("profile", F.col("identity").alias("identity_a"))
-    right = profiles.select("profile", F.col("identity").alias("identity_b"))
-    return left.join(right, "profile").where("identity_a < identity_b").select("identity_a", "identity_b")
+def linked_pairs(profiles: DataFrame, part: int = PARTS) -> DataFrame:
+    """(identity_a, identity_b) of every two identities of one profile, the smaller first.
+
+    A profile of more than ``part`` identities is cut into parts, each of which
+    meets the whole profile in a task of its own.
+    """
+    parts = profiles.groupBy("profile").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+    sized = profiles.join(parts, "profile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = sized.select("profile", F.pmod(F.xxhash64("identity"), F.col("parts")).cast("int").alias("part"), F.col("identity").alias("identity_a"))
+    right = sized.select("profile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("identity").alias("identity_b"))
+    return left.join(right, ["profile", "part"]).where("identity_a < identity_b").select("identity_a", "identity_b")
