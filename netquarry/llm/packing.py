@@ -3,14 +3,19 @@
 Texts are counted in tokens of a public tokenizer, dealt to partitions by a hash
 of their id, and packed there by deficit round-robin over one queue per source.
 Every container (window) gives each source a quantum of its target share; the
-source with the largest deficit counter is served with its largest text that
-fits, which leaves the small texts to close the gaps; what a large text takes
-beyond its source's counter is paid back in the windows that follow.  Counters go on from window
-to window, and from partition to partition: since a partition packs all of its
-texts, the counters it starts with are prefix sums over the partitions before it.
-
-A text larger than the capacity is cut into pieces that fill containers alone; its
-rest is packed like a text.
+source with the largest deficit counter is served.  A container begins with the
+oldest text of that source, so that no text waits for ever; the rest of it is
+filled with the oldest texts that fit, out of the next ``LOOK`` of each source, and
+its last gap with the largest of these.  Queues are in the order of a hash of the
+id, so that neither size nor age gathers anywhere.  What a text takes beyond its
+source's counter is paid back in the windows that follow.  Counters go on from
+window to window, and from partition to partition: since a partition packs all of
+its texts, the counters it starts with are prefix sums over the partitions before
+it.
+
+A text larger than the capacity is cut into pieces; those that fill a container are
+items of their source like others, charged to its counter; its rest is packed like a
+text.
 
 Defined results
 * null texts give no row; empty texts have size 0 and still get a container;
@@ -24,10 +29,12 @@ Defined results
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
+import os
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +45,25 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern by which byte-level vocabularies of this kind split a text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PER_PARTITION = 50_000
+LOOK = 96  # texts of a source that a container may choose from
 _ENCODERS: dict[str, object] = {}
 
 
 def encoder(vocabulary: str):
-    """The tokenizer of a rank file, once per process."""
+    """The tokenizer of a rank file that was sent with the job or is at its own path, once per process."""
     if vocabulary not in _ENCODERS:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+        with open(sent if os.path.exists(sent) else vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[vocabulary] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[vocabulary]
 
 
 def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens) of every text that is not null."""
+    """(doc_id, source, n_tokens) of every text that is not null; the vocabulary is a file of the driver's."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
@@ -65,56 +75,72 @@ def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 class Queue:
-    """Items of one source by size; equal sizes are taken in the order given."""
-
-    def __init__(self, items: list[tuple[int, int, int]]):
-        self.by_size: dict[int, list[tuple[int, int, int]]] = {}
-        for item in reversed(items):
-            self.by_size.setdefault(max(1, item[2]), []).append(item)
-        self.ordered = sorted(self.by_size)
-
-    def fitting(self, room: int) -> int:
-        """The largest size of at most ``room``, or 0."""
-        k = bisect_right(self.ordered, room) if room > 0 else 0
-        return self.ordered[k - 1] if k else 0
-
-    def take(self, size: int) -> tuple[int, int, int]:
-        """One item of a size."""
-        items = self.by_size[size]
-        item = items.pop()
-        if not items:
-            del self.by_size[size]
-            self.ordered.remove(size)
+    """Items (doc, piece, size) of one source in their order, of which the next ``look`` are in sight."""
+
+    def __init__(self, items: list[tuple[int, int, int]], look: int):
+        self.later = iter(items)
+        self.ahead: list[tuple[int, int, int]] = []
+        self.look = look
+        self._fill()
+
+    def _fill(self) -> None:
+        while len(self.ahead) < self.look and (item := next(self.later, None)) is not None:
+            self.ahead.append(item)
+
+    def oldest(self, room: int) -> int:
+        """The place of the oldest item in sight that fits, -1 for none."""
+        return next((k for k, x in enumerate(self.ahead) if x[2] <= room), -1)
+
+    def largest(self, room: int) -> int:
+        """The place of the largest item in sight that fits, the oldest of equal ones, -1 for none."""
+        best, size = -1, -1
+        for k, x in enumerate(self.ahead):
+            if size < x[2] <= room:
+                best, size = k, x[2]
+        return best
+
+    def take(self, place: int) -> tuple[int, int, int]:
+        """The item at a place."""
+        item = self.ahead.pop(place)
+        self._fill()
         return item
 
 
-def pack(items: list[tuple[int, int, int, str]], shares: dict[str, float], counters: dict[str, float], capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int, int]]:
-    """(doc, piece, size, container, offset) of items (doc, piece, size, source) by deficit round-robin."""
-    queues = {}
-    for source in sorted({x[3] for x in items}):
-        queues[source] = Queue([x[:3] for x in items if x[3] == source])
+def pack(items: list[tuple[int, int, int, str]], shares: dict[str, float], counters: dict[str, float], capacity: int = CAPACITY, look: int = LOOK) -> Iterator[tuple[int, int, int, int, int]]:
+    """(doc, piece, size, container, offset) of items (doc, piece, size, source) by deficit round-robin.
+
+    An item of size 0 takes the room of 1, so that a container holds a bounded number.
+    """
+    queues = {s: Queue([x[:3] for x in items if x[3] == s], look) for s in sorted({x[3] for x in items})}
     deficit = {s: counters.get(s, 0.0) for s in queues}
     container = 0
     while queues:
-        for s in queues:
+        for s in deficit:
             deficit[s] += shares.get(s, 0.0) * capacity
-        room = capacity
+        room, first = capacity, True
         while True:
-            # the queue that lags most among those with something that fits
-            best = max(((deficit[s], size, s) for s, q in queues.items() if (size := q.fitting(room))), default=None)
-            if best is None:
-                break
-            _, size, s = best
-            doc, piece, true_size = queues[s].take(size)
-            yield doc, piece, true_size, container, capacity - room
-            room -= size
-            deficit[s] -= true_size
-            if not queues[s].ordered:
+            lagging = sorted(queues, key=lambda s: (-deficit[s], s))
+            if first:
+                s, place = lagging[0], 0
+            else:
+                # the last gap is closed by what leaves least of it
+                pick = Queue.largest if room * 4 <= capacity else Queue.oldest
+                s, place = next(((s, k) for s in lagging if (k := pick(queues[s], max(room, 0))) >= 0), (None, -1))
+                if s is None:
+                    break
+            doc, piece, size = queues[s].take(place)
+            yield doc, piece, size, container, capacity - room
+            room -= max(1, size)
+            deficit[s] -= size
+            first = False
+            if not queues[s].ahead:
                 del queues[s]
+            if room <= 0:
+                break
         container += 1
 
 
-def pack_texts(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, shares: dict[str, float] | None = None, per_partition: int = PER_PARTITION) -> DataFrame:
+def pack_texts(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, shares: dict[str, float] | None = None, per_partition: int = PER_PARTITION, look: int = LOOK) -> DataFrame:
     """(doc_id, piece_no, start_token, n_tokens, container_id, container_offset) for ``docs(doc_id, text, source)``."""
     sized = scratch.table(sizes(docs, vocabulary), "sizes")
     total, n = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
@@ -141,18 +167,15 @@ def pack_texts(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CA
         part = group.column("part")[0].as_py()
         shares_here, counters, items, out = {}, {}, [], []
         rows = zip(*(group.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "share", "counter")))
-        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
-        whole = 0
+        # a hash of the id is an order without trends; the id settles what the hash does not
+        rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0] is None, r[0] or 0, r[1:]))
         for doc, source, size, share_here, counter in rows:
             shares_here[source], counters[source] = share_here, counter
-            full = size // capacity if size > capacity else 0
-            for piece in range(full):  # pieces that fill a container alone
-                out.append((doc, piece, piece * capacity, capacity, (part << 32) | (1 << 31) | whole, 0))
-                whole += 1
-            rest = size - full * capacity
-            if rest or not full:
-                items.append((doc, full, rest, source))
-        for doc, piece, size, container, offset in pack(items, shares_here, counters, capacity):
+            whole, rest = divmod(size, capacity)
+            items.extend((doc, piece, capacity, source) for piece in range(whole))
+            if rest or not whole:
+                items.append((doc, whole, rest, source))
+        for doc, piece, size, container, offset in pack(items, shares_here, counters, capacity, look):
             out.append((doc, piece, piece * capacity, size, (part << 32) | container, offset))
         names = ["doc_id", "piece_no", "start_token", "n_tokens", "container_id", "container_offset"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
@@ -160,3 +183,25 @@ def pack_texts(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CA
 
     schema = "doc_id bigint, piece_no int, start_token bigint, n_tokens int, container_id bigint, container_offset int"
     return table.groupBy("part").applyInArrow(run, schema)
+
+
+def deviations(packed: DataFrame, docs: DataFrame, thirds: int = 3) -> DataFrame:
+    """(third, containers, filled, deviation) of each third of every partition's run of containers.
+
+    ``filled`` is the mean fill against the fullest container, ``deviation`` the
+    mean, over containers and sources, of how far a source's share of a container's
+    tokens is from its share of all.
+    """
+    sources = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    rows = packed.join(sources, "doc_id").select("container_id", F.shiftright("container_id", 32).alias("part"), "source", "n_tokens")
+    number = F.col("container_id").bitwiseAND((1 << 32) - 1)
+    held = scratch.table(rows.groupBy("part", "container_id", "source").agg(F.sum("n_tokens").alias("n")), "held")
+    total, n_sources, fullest = *held.agg(F.sum("n"), F.count_distinct("source")).first(), held.groupBy("container_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    target = held.groupBy("source").agg((F.sum("n") / F.lit(max(1, total or 0))).alias("target"))
+    last = held.groupBy("part").agg(F.max(number).alias("last"))
+    whole = held.groupBy("part", "container_id").agg(F.sum("n").alias("whole")).where("whole > 0")
+    third = F.least(F.lit(thirds - 1), F.floor(number * thirds / (F.col("last") + 1))).cast("int")
+    # sources that a container lacks are off by their whole target, and all targets add up to 1
+    off = held.join(whole, ["part", "container_id"]).join(target, "source").groupBy("part", "container_id", "whole").agg((F.sum(F.abs(F.col("n") / F.col("whole") - F.col("target")) - F.col("target")) + 1).alias("off"))
+    per = off.join(last, "part").select(third.alias("third"), "whole", "off")
+    return per.groupBy("third").agg(F.count("*").alias("containers"), (F.avg("whole") / F.lit(max(1, fullest or 0))).alias("filled"), (F.avg("off") / F.lit(max(1, n_sources))).alias("deviation"))

@@ -52,6 +52,13 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def p8_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are and how close to the sources' shares, at the beginning, middle and end."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = packing.deviations(packing.pack_texts(docs), docs)
+    return out.select("third", "containers", F.round("filled", 4).alias("filled"), F.round("deviation", 4).alias("deviation"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation items that leaked into each document."""
     items = load(spark, sf_dir, "eval_items")
@@ -66,7 +73,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found,
-    "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found,
+    "p8_packed": p8_packed, "p8_thirds": p8_thirds, "p9_found": p9_found, "p10_found": p10_found,
 }
 
 SQL = {

@@ -159,12 +159,36 @@ def test_packing_by_queues():
     share = {s: sum(x[2] for x in items if x[3] == s) / total for s in "ab"}
     out = list(K.pack(items, share, {}))
     assert sorted(x[0] for x in out) == sorted(x[0] for x in items)
-    room, first = {}, {}
+    room, source, held = {}, {x[0]: x[3] for x in items}, {}
     for doc, _, size, container, offset in out:
         assert room.get(container, 0) == offset
         room[container] = offset + max(1, size)
-        first.setdefault(container, doc)
-    assert max(room.values()) <= 2048 and total / (2048 * len(room)) > 0.98
+        held[container] = held.get(container, 0) + size * (source[doc] == "a")
+    assert max(room.values()) <= 2048 and total / (2048 * len(room)) > 0.97
+    # neither sizes nor shares drift along the run
+    n = len(room)
+    thirds = [[abs(held[k] / room[k] - share["a"]) for k in room if k * 3 // n == t] for t in range(3)]
+    means = [sum(t) / len(t) for t in thirds]
+    assert max(means) - min(means) < 0.05
+    sizes = [[x[2] for x in out if x[3] * 3 // n == t] for t in range(3)]
+    means = [sum(t) / len(t) for t in sizes]
+    assert max(means) < 1.3 * min(means)
+    # a text is at most as far behind the oldest of its source as is in sight
+    for s in "ab":
+        places = {x[0]: k for k, x in enumerate(i for i in items if i[3] == s)}
+        done, oldest = set(), 0
+        for doc, *_ in (x for x in out if source[x[0]] == s):
+            assert places[doc] < oldest + K.LOOK + sum(1 for p in done if p >= oldest)
+            done.add(places[doc])
+            while oldest in done:
+                oldest += 1
+
+
+def test_whole_pieces_are_charged_to_their_source():
+    items = [(1, p, 2048, "a") for p in range(10)] + [(100 + k, 0, 512, "b") for k in range(40)]
+    out = list(K.pack(items, {"a": 0.5, "b": 0.5}, {}))
+    first = [x for x in out if x[3] < 10]
+    assert 4 <= sum(1 for x in first if x[0] == 1) <= 6 and len({x[3] for x in out}) == 20
 
 
 @pytest.mark.skipif(not os.path.exists(K.VOCABULARY), reason="no vocabulary file")
@@ -182,6 +206,9 @@ def test_packing_of_tables(spark):
         long = sorted(((r.piece_no, r.start_token, r.n_tokens) for r in got if r.doc_id == 502))
         assert all(a[1] + a[2] == b[1] for a, b in zip(long, long[1:])) and all(x[2] == 256 for x in long[:-1])
     assert K.pack_texts(df.limit(0)).count() == 0
+    stats = K.deviations(K.pack_texts(df, capacity=256), df).collect()
+    assert {r.third for r in stats} == {0, 1, 2} and all(0.5 < r.filled <= 1 and 0 <= r.deviation < 0.5 for r in stats)
+    assert K.deviations(K.pack_texts(df.limit(0)), df).count() == 0
 
 
 def test_open_brackets_quotes_and_backticks_are_truncated():
