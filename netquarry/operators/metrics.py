@@ -5,10 +5,11 @@ Zero denominators give 0 throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import scalars
+from netquarry.operators import skew
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -39,9 +40,8 @@ def with_scores(counts: DataFrame) -> DataFrame:
 
 
 def ranking(predicted: DataFrame, truth: DataFrame, keys: list[str], cutoffs: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """recall_at_k, ndcg_at_k and mrr per key of ``predicted(*keys, node, risk, hop)``, ranked by risk, hop and id."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("risk"), "hop", "node")
-    ranked = predicted.select(*keys, "node", "risk", "hop").withColumn("rank", F.row_number().over(order))
+    """recall_at_k, ndcg_at_k and mrr per key of ``predicted(*keys, node, risk, hop)``, ranked by risk, hop and id; a key of any size is spread over tasks."""
+    ranked = skew.ranked(predicted.select(*keys, "node", "risk", "hop"), keys, [F.desc("risk"), F.col("hop"), F.col("node")], "rank")
     wanted = truth.select(*keys, "node").distinct()
     sizes = wanted.groupBy(*keys).agg(F.count("*").alias("n_truth"))
     hits = ranked.join(wanted.withColumn("rel", F.lit(1)), [*keys, "node"], "left")

@@ -61,7 +61,7 @@ def parse_questions(questions: DataFrame) -> DataFrame:
             expression = F.when(low.rlike(pattern), value) if expression is None else expression.when(low.rlike(pattern), value)
         pick[name] = expression
     quoted = F.nullif(F.regexp_extract(low, r"[`'\"]([a-z_][a-z0-9_]+)[`'\"]", 1), F.lit(""))
-    joined = F.nullif(F.regexp_extract(low, r"\b([a-z][a-z0-9]*_[a-z0-9_]+)", 1), F.lit(""))
+    joined = F.nullif(F.regexp_extract(low, r"(?<![a-z0-9_])([a-z][a-z0-9]*_[a-z0-9_]+)", 1), F.lit(""))
     plain = F.get(F.filter(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9]{2,}"), 0), lambda w: ~w.isin(*FALLBACK_STOP)), F.lit(0))
     return questions.select(
         "question",

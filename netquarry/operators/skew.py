@@ -33,7 +33,7 @@ def join_one(rows: DataFrame, ones: DataFrame, key: str, n_rows: int, spread: li
     return left.join(right, [key, "__part__"]).drop("__part__")
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, parts: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, parts: int | None = None) -> DataFrame:
     """Rows numbered from 1 within ``keys`` by ``order``, a large key being spread over tasks.
 
     All rows are sorted by range, which cuts a large key into several partitions;
@@ -41,6 +41,7 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, par
     partitions before.  Those counts, one per key and partition, are what a prefix
     sum runs over.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__at__", F.spark_partition_id())
     spread = scratch.table(spread, "ranges")  # the cuts come from samples: they are made once
     inside = spread.withColumn("__k__", F.row_number().over(Window.partitionBy(*keys, "__at__").orderBy(*order)))

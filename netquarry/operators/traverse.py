@@ -54,16 +54,19 @@ def _weights(edges: DataFrame, overrides: dict[str, float]) -> DataFrame:
     return edges.withColumn("weight", F.coalesce(table[F.col("relation")], F.lit(DEFAULT_WEIGHT)))
 
 
-def _level(at: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
+def _level(at: DataFrame, edges: DataFrame, visited: DataFrame, paths: bool) -> DataFrame:
     """The nodes one step beyond ``at(run, node, path, relations)`` that are not visited, each by its smallest predecessor."""
+    if not paths:
+        step = at.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("run", F.col("dst").alias("node")).distinct()
+        return step.join(visited.select("run", "node"), ["run", "node"], "left_anti")
     step = at.join(edges.select(F.col("src").alias("node"), F.col("dst"), "relation"), "node")
     best = step.groupBy("run", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("node").alias("pred"), "relation", "path", "relations")).alias("b"))
     fresh = best.join(visited.select("run", "node"), ["run", "node"], "left_anti")
     return fresh.select("run", "node", F.concat("b.path", F.array("node")).alias("path"), F.concat("b.relations", F.array("b.relation")).alias("relations"))
 
 
-def levels(graph: Graph, seeds: DataFrame, depth: int | None, edges: DataFrame | None = None, allowed: Column | None = None) -> DataFrame:
-    """(run, node, hop, path, relations) by breadth first search, seeds at hop 0.
+def levels(graph: Graph, seeds: DataFrame, depth: int | None, edges: DataFrame | None = None, allowed: Column | None = None, paths: bool = True) -> DataFrame:
+    """(run, node, hop, path, relations) by breadth first search, seeds at hop 0; no path and relations without ``paths``.
 
     ``allowed`` restricts the neighbours by their node columns (a node that is not
     allowed is not passed through either).
@@ -72,13 +75,15 @@ def levels(graph: Graph, seeds: DataFrame, depth: int | None, edges: DataFrame |
     if allowed is not None:
         edges = edges.join(graph.nodes.where(allowed).select(F.col("id").alias("dst")), "dst", "left_semi")
     start = known_seeds(graph, seeds).select("run", "node", F.lit(0).alias("hop"), F.array("node").alias("path"), F.array().cast("array<string>").alias("relations"))
+    columns = ["run", "node", "hop", "path", "relations"] if paths else ["run", "node", "hop"]
+    start = start.select(columns)
     frontier = scratch.table(start, "level")
     done = [frontier]
     hop = 0
     while depth is None or hop < depth:
         hop += 1
         visited = reduce(DataFrame.unionByName, [d.select("run", "node") for d in done])
-        frontier = scratch.table(_level(frontier, edges, visited).withColumn("hop", F.lit(hop)).select("run", "node", "hop", "path", "relations"), "level")
+        frontier = scratch.table(_level(frontier, edges, visited, paths).withColumn("hop", F.lit(hop)).select(columns), "level")
         if not frontier.limit(1).count():
             break
         done.append(frontier)
@@ -88,26 +93,28 @@ def levels(graph: Graph, seeds: DataFrame, depth: int | None, edges: DataFrame |
 def _result(graph: Graph, reached: DataFrame, risk: Column) -> DataFrame:
     nodes = graph.nodes.select(F.col("id").alias("node"), F.col("type").alias("artifact_type"), F.col("name").alias("artifact_name"))
     out = reached.withColumn("risk", risk).join(nodes, "node")
+    if "path" not in reached.columns:
+        return out.select("run", "node", "artifact_type", "artifact_name", "risk", "hop")
     reason = scalars.path_reason(F.col("path"), F.col("relations"))
     return out.select("run", "node", "artifact_type", "artifact_name", "risk", "hop", "path", "relations", reason.alias("reason"))
 
 
-def bfs(graph: Graph, seeds: DataFrame, max_depth: int = 3, exclude_types: tuple[str, ...] = ()) -> DataFrame:
-    """Impact by hops: risk 1 / (hop + 1) along the propagation relations; seeds are left out."""
+def bfs(graph: Graph, seeds: DataFrame, max_depth: int = 3, exclude_types: tuple[str, ...] = (), paths: bool = True) -> DataFrame:
+    """Impact by hops: risk 1 / (hop + 1) along the propagation relations; seeds are left out; ``paths`` tells how each is reached."""
     edges = graph.edges.where(F.col("relation").isin(*PROPAGATION))
     allowed = ~F.col("type").isin(*exclude_types) if exclude_types else None
-    reached = levels(graph, seeds, max_depth, edges, allowed).where("hop > 0")
+    reached = levels(graph, seeds, max_depth, edges, allowed, paths).where("hop > 0")
     return _result(graph, reached, 1 / (F.col("hop") + 1))
 
 
-def structural(graph: Graph, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
+def structural(graph: Graph, seeds: DataFrame, max_depth: int = 5, paths: bool = True) -> DataFrame:
     """Impact along the module hierarchy only."""
     edges = graph.edges.where(F.col("relation").isin("instantiates", "depended_by"))
-    reached = levels(graph, seeds, max_depth, edges, F.col("type") == "Module").where("hop > 0")
+    reached = levels(graph, seeds, max_depth, edges, F.col("type") == "Module", paths).where("hop > 0")
     return _result(graph, reached, 1 / (F.col("hop") + 1))
 
 
-def weighted_bfs(graph: Graph, seeds: DataFrame, alpha: float = 0.7, max_depth: int = 5, min_risk: float = 0.01, change_type: str | None = None, exclude_types: tuple[str, ...] = (), mode: str = "label") -> DataFrame:
+def weighted_bfs(graph: Graph, seeds: DataFrame, alpha: float = 0.7, max_depth: int = 5, min_risk: float = 0.01, change_type: str | None = None, exclude_types: tuple[str, ...] = (), mode: str = "label", paths: bool = True) -> DataFrame:
     """Impact by decaying risk: each edge multiplies the risk by its weight and ``alpha``.
 
     ``mode="label"``: best-first semantics, one label (risk, hop) per node, the best
@@ -124,28 +131,35 @@ def weighted_bfs(graph: Graph, seeds: DataFrame, alpha: float = 0.7, max_depth:
         edges = edges.join(graph.nodes.where(~F.col("type").isin(*exclude_types)).select(F.col("id").alias("dst")), "dst", "left_semi")
     edges = scratch.table(edges, "weighted")
     seeds = scratch.table(known_seeds(graph, seeds), "seeds")
-    start = seeds.select("run", "node", F.lit(1.0).alias("risk"), F.lit(0).alias("hop"), F.array("node").alias("path"), F.array().cast("array<string>").alias("relations"))
+    start = seeds.select("run", "node", F.lit(1.0).alias("risk"), F.lit(0).alias("hop"))
+    if paths:
+        start = start.withColumn("path", F.array("node")).withColumn("relations", F.array().cast("array<string>"))
+    way = [F.col("path"), F.col("relations")] if paths else []
 
     def relax(labels: DataFrame) -> DataFrame:
         step = labels.where(F.col("hop") < max_depth).join(edges.select(F.col("src").alias("node"), "dst", "relation", "weight"), "node")
         step = step.withColumn("new", F.col("risk") * F.col("weight") * alpha).where(F.col("new") >= min_risk)
         # higher risk, then higher risk of the predecessor, then its smaller id
-        key = F.struct(-F.col("new"), -F.col("risk"), F.col("node"), F.col("relation"), F.col("hop"), F.col("path"), F.col("relations"))
+        key = F.struct((-F.col("new")).alias("new"), (-F.col("risk")).alias("risk"), F.col("node"), F.col("relation"), F.col("hop"), *([F.col("path"), F.col("relations")] if paths else []))
         best = step.groupBy("run", F.col("dst").alias("at")).agg(F.min(key).alias("b"))
-        return best.select("run", F.col("at").alias("node"), (-F.col("b.col1")).alias("risk"), (F.col("b.hop") + 1).alias("hop"), F.concat("b.path", F.array("at")).alias("path"), F.concat("b.relations", F.array("b.relation")).alias("relations"))
+        longer = [F.concat("b.path", F.array("at")).alias("path"), F.concat("b.relations", F.array("b.relation")).alias("relations")] if paths else []
+        return best.select("run", F.col("at").alias("node"), (-F.col("b.new")).alias("risk"), (F.col("b.hop") + 1).alias("hop"), *longer)
 
     if mode == "path_max":
         layer, parts = start, []
         for _ in range(max_depth):
             layer = scratch.table(relax(layer), "walk")
             parts.append(layer)
-        best = reduce(DataFrame.unionByName, parts).groupBy("run", "node").agg(F.min(F.struct(-F.col("risk"), F.col("hop"), F.col("path"), F.col("relations"))).alias("b"))
-        labels = best.select("run", "node", (-F.col("b.col1")).alias("risk"), "b.hop", "b.path", "b.relations")
+        best = reduce(DataFrame.unionByName, parts).groupBy("run", "node").agg(F.min(F.struct((-F.col("risk")).alias("risk"), F.col("hop"), *way)).alias("b"))
+        labels = best.select("run", "node", (-F.col("b.risk")).alias("risk"), "b.hop", *(["b.path", "b.relations"] if paths else []))
     else:
-        labels, mark = start, None
+        labels, mark, old = start, None, None
         while True:
             derived = relax(labels).join(seeds, ["run", "node"], "left_anti")
             labels = scratch.table(start.unionByName(derived), "labels")
+            if old is not None:
+                scratch.drop(old)
+            old = labels
             new = labels.agg(F.count("*"), F.sum(F.xxhash64("run", "node", "risk", "hop").cast("decimal(38,0)"))).first()
             if new == mark:
                 break
@@ -234,8 +248,8 @@ def ranked_with_paths(graph: Graph, seeds: DataFrame, ranked: DataFrame, depth:
 def lexical(graph: Graph, seeds: DataFrame, fields: tuple[str, ...] = ("name", "raw_line", "property_text", "summary", "message", "constraint_type")) -> DataFrame:
     """Impact by words: the share of a seed's name parts that occur in a node's texts; hop -1.
 
-    A part has at least three letters.  Parts are matched inside words, by a join
-    on the three-letter pieces of both, so no pair without a common piece is tried.
+    A part has at least three letters.  Parts are matched inside words by their
+    rarest three-letter piece, each distinct part with each distinct text once.
     """
     have = [f for f in fields if f in graph.nodes.columns]
     text = F.lower(F.concat_ws(" ", *have))
@@ -243,10 +257,9 @@ def lexical(graph: Graph, seeds: DataFrame, fields: tuple[str, ...] = ("name", "
     parts = F.array_distinct(F.filter(F.array_append(F.split("name", "_"), F.col("name")), lambda w: F.length(w) >= 3))
     words = names.select("run", F.explode(parts).alias("word")).distinct()
     counts = words.groupBy("run").agg(F.count("*").alias("n_words"))
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-    keyed = words.withColumn("piece", F.substring("word", 1, 3))
-    hay = graph.nodes.select(F.col("id").alias("node"), text.alias("text"))
-    hit = hay.select("node", "text", F.explode(pieces(F.col("text"))).alias("piece")).join(keyed, "piece").where(F.contains("text", "word"))
+    hay = graph.nodes.select(F.col("id").alias("node"), text.alias("line"))
+    met = contained(words.select(F.col("word").alias("text")), hay.select("line"), 3)
+    hit = words.join(met.withColumnRenamed("text", "word"), "word").join(hay, "line").select("run", "node", "word")
     scored = hit.groupBy("run", "node").agg(F.count_distinct("word").alias("n")).join(counts, "run")
     out = scored.join(known_seeds(graph, seeds), ["run", "node"], "left_anti")
     return out.select("run", "node", F.least(F.lit(1.0), F.col("n") / F.col("n_words")).alias("risk"), F.lit(-1).alias("hop"))

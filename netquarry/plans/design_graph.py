@@ -7,8 +7,6 @@ same two nodes replacing an earlier one.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +14,28 @@ from netquarry.operators.graph import Graph, build
 from netquarry.scratch import load
 
 EDGE_ORDER = ("instantiates", "depended_by", "has_instance", "instance_of", "has_port", "drives", "references_clock", "applies_to", "modifies", "modified_by")
-_BUILT: dict[tuple[str, str], Graph] = {}
+TABLES = ("modules", "instances", "sdc_constraints", "commits")
+_BUILT: dict[tuple, Graph] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of a folder from another: names, sizes and times of the tables' files."""
+    out = []
+    for name in TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        out.append(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    return tuple(out)
+
+
+def forget() -> None:
+    """Build graphs anew from now on; also needed after ``scratch.clear``."""
+    _BUILT.clear()
 
 
 def design_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a data folder, built once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph of a data folder, built once per session and state of the folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _BUILT:
         _BUILT[key] = _build(spark, sf_dir)
     return _BUILT[key]
@@ -78,11 +92,6 @@ def _build(spark: SparkSession, sf_dir: str) -> Graph:
     return build(nodes, edges)
 
 
-def runs(graph: Graph) -> DataFrame:
-    """One run per design, seeded with its module of smallest id."""
-    return graph.nodes.where("type = 'Module'").groupBy(F.col("design").alias("run")).agg(F.min("id").alias("node"))
-
-
 def every_module(graph: Graph) -> DataFrame:
     """One run per module, seeded with it."""
     return graph.nodes.where("type = 'Module'").select(F.col("id").alias("run"), F.col("id").alias("node"))
@@ -128,32 +137,5 @@ edge_rows AS (
   UNION ALL SELECT 8, commit_id, module_id, 'modifies' FROM touched
   UNION ALL SELECT 9, module_id, commit_id, 'modified_by' FROM touched),
 edges AS (SELECT src, dst, arg_max(relation, seq) AS relation FROM edge_rows WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst),
-seeds AS (SELECT design AS run, min(id) AS node FROM nodes WHERE type = 'Module' GROUP BY design)
+seeds AS (SELECT id AS run, id AS node FROM nodes WHERE type = 'Module')
 """
-
-# the seeds of ``runs`` in SQL, and those of ``every_module``
-_SEEDS_SQL = "seeds AS (SELECT design AS run, min(id) AS node FROM nodes WHERE type = 'Module' GROUP BY design)"
-_EVERY_SQL = "seeds AS (SELECT id AS run, id AS node FROM nodes WHERE type = 'Module')"
-
-
-def from_every_module(sql: str) -> str:
-    """A query's SQL with every module as a run of its own."""
-    if _SEEDS_SQL not in sql:
-        raise ValueError("the SQL has no seeds")
-    return sql.replace(_SEEDS_SQL, _EVERY_SQL)
-
-
-def every_of(queries: dict, sqls: dict):
-    """A decorator that registers a seeded query again as ``name_all``, from every module."""
-
-    def every(with_sql: bool = True):
-        def add(f):
-            name = f"{f.__name__}_all"
-            queries[name] = partial(f, seeds=every_module)
-            if with_sql:
-                sqls[name] = from_every_module(sqls[f.__name__])
-            return f
-
-        return add
-
-    return every

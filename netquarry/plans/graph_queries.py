@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netquarry.operators import graph as G
 from netquarry.operators import metrics as M
 from netquarry.operators import traverse as T
-from netquarry.plans.design_graph import GRAPH_SQL, design_graph, every_module, every_of, runs
+from netquarry.plans.design_graph import GRAPH_SQL, design_graph, every_module
 from netquarry.schema import PROPAGATION, TRUTH_RELATIONS, WEIGHTS
 from netquarry.scratch import load
 
@@ -27,12 +27,10 @@ def query(sql: str | None = None):
     return add
 
 
-every = every_of(QUERIES, SQL)
-
-
-def _g(spark: SparkSession, sf_dir: str, seeds=runs):
+def _g(spark: SparkSession, sf_dir: str):
+    """The graph, and every module as a run of its own."""
     g = design_graph(spark, sf_dir)
-    return g, seeds(g)
+    return g, every_module(g)
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -100,105 +98,77 @@ def g_by_type(spark, sf_dir):
     return G.by_type(_g(spark, sf_dir)[0], "Clock", {"design": "HUB_SOC"}).select("id", "type", "name", "design")
 
 
-@every()
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {_walk(_ALL, 3)} SELECT run, node, hop, round(1.0 / (hop + 1), 6) AS risk FROM reach WHERE hop > 0")
-def g_bfs(spark, sf_dir, seeds=runs):
-    """Impact within three hops of one module of each design."""
-    return _short(T.bfs(*_g(spark, sf_dir, seeds)))
+def g_bfs(spark, sf_dir):
+    """Impact of every module within three hops."""
+    return _short(T.bfs(*_g(spark, sf_dir), paths=False))
 
 
-@every()
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {_walk(_ALL, 3, "n.type NOT IN ('Net', 'Commit')")} SELECT run, node, hop, round(1.0 / (hop + 1), 6) AS risk FROM reach WHERE hop > 0""")
-def g_bfs_excluding(spark, sf_dir, seeds=runs):
+def g_bfs_excluding(spark, sf_dir):
     """The same without passing nets and commits."""
-    return _short(T.bfs(*_g(spark, sf_dir, seeds), exclude_types=("Net", "Commit")))
+    return _short(T.bfs(*_g(spark, sf_dir), exclude_types=("Net", "Commit"), paths=False))
 
 
-@every()
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {_walk("'instantiates', 'depended_by'", 5, "n.type = 'Module'")} SELECT run, node, hop, round(1.0 / (hop + 1), 6) AS risk FROM reach WHERE hop > 0""")
-def g_structural(spark, sf_dir, seeds=runs):
+def g_structural(spark, sf_dir):
     """Impact along the module hierarchy only."""
-    return _short(T.structural(*_g(spark, sf_dir, seeds)))
+    return _short(T.structural(*_g(spark, sf_dir), paths=False))
 
 
-@every()
 @query(_path_max(5, {}))
-def g_weighted_path_max(spark, sf_dir, seeds=runs):
+def g_weighted_path_max(spark, sf_dir):
     """Impact by the best walk of at most five steps."""
-    return T.weighted_bfs(*_g(spark, sf_dir, seeds), mode="path_max").select("run", "node", F.round("risk", 6).alias("risk"))
+    return T.weighted_bfs(*_g(spark, sf_dir), mode="path_max", paths=False).select("run", "node", F.round("risk", 6).alias("risk"))
 
 
-@every()
 @query(_path_max(3, {"drives": 1.0, "has_port": 1.0, "connected_to": 1.0}))
-def g_weighted_width(spark, sf_dir, seeds=runs):
+def g_weighted_width(spark, sf_dir):
     """Impact of a width change: the weights of its relations replaced."""
-    return T.weighted_bfs(*_g(spark, sf_dir, seeds), mode="path_max", max_depth=3, change_type="width").select("run", "node", F.round("risk", 6).alias("risk"))
-
+    return T.weighted_bfs(*_g(spark, sf_dir), mode="path_max", max_depth=3, change_type="width", paths=False).select("run", "node", F.round("risk", 6).alias("risk"))
 
-@every(with_sql=False)
-@query()
-def g_weighted_label(spark, sf_dir, seeds=runs):
-    """Impact by best-first labels (checked against a heap on random graphs in the tests)."""
-    return _short(T.weighted_bfs(*_g(spark, sf_dir, seeds)))
 
-
-def _rank_sql(iterations: int, alpha: float) -> str:
-    out = ["x0 AS (SELECT run, node, CAST(1.0 AS DOUBLE) AS x FROM seeds)", "fan AS (SELECT src, count(*) AS n FROM edges GROUP BY src)"]
-    for k in range(1, iterations + 1):
-        out.append(f"""m{k} AS (SELECT x.run, e.dst AS node, sum(x.x / f.n) AS a FROM x{k - 1} x JOIN edges e ON e.src = x.node JOIN fan f ON f.src = e.src GROUP BY 1, 2),
-d{k} AS (SELECT run, sum(x) AS d FROM x{k - 1} WHERE node NOT IN (SELECT src FROM fan) GROUP BY run),
-x{k} AS (SELECT run, node, sum(x) AS x FROM (SELECT run, node, {alpha} * a AS x FROM m{k} UNION ALL
-  SELECT s.run, s.node, {alpha} * coalesce(d.d, 0) + (1 - {alpha}) FROM seeds s LEFT JOIN d{k} d ON d.run = s.run) GROUP BY run, node)""")
-    return ",\n".join(out)
+_LABELS = f"""labels AS (SELECT 0 AS k, run, node, CAST(1.0 AS DOUBLE) AS risk, 0 AS hop FROM seeds UNION ALL
+  SELECT k, run, node, risk, hop FROM (
+    SELECT t.k + 1 AS k, s.run, s.node, CAST(1.0 AS DOUBLE) AS risk, 0 AS hop FROM seeds s, (SELECT DISTINCT k FROM labels) t UNION ALL
+    SELECT k + 1, run, dst, max(new), arg_min(hop + 1, (-new, -risk, node, relation, hop)) FROM (
+      SELECT l.k, l.run, e.dst, l.risk * CAST({_weight({})} AS DOUBLE) * CAST(0.7 AS DOUBLE) AS new, l.risk, l.node, e.relation, l.hop FROM labels l JOIN edges e ON e.src = l.node
+      WHERE l.hop < 5 AND e.relation IN ({_ALL}) AND e.dst <> l.run) WHERE new >= 0.01 GROUP BY 1, 2, 3) WHERE k <= 20)"""
 
 
-@query(f"""WITH {GRAPH_SQL}, {_rank_sql(4, 0.85)}, top AS (SELECT run, max(x) AS t FROM x4 GROUP BY run)
-SELECT x.run, x.node, round(x.x / t.t, 6) AS score FROM x4 x JOIN top t ON t.run = x.run WHERE x.x / t.t >= 0.0001 AND (x.run, x.node) NOT IN (SELECT run, node FROM seeds)""")
-def g_pagerank(spark, sf_dir):
-    """Personalised rank after four rounds."""
-    g, s = _g(spark, sf_dir)
-    return T.pagerank(g, s, iterations=4, tolerance=None).select("run", "node", F.round("score", 6).alias("score"))
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {_LABELS} SELECT run, node, CAST(hop AS INTEGER) AS hop, round(risk, 6) AS risk FROM labels WHERE k = 20 AND node <> run")
+def g_weighted_label(spark, sf_dir):
+    """Impact of every module by best-first labels; in SQL, labels are derived from those of the round before, twenty times."""
+    return _short(T.weighted_bfs(*_g(spark, sf_dir), paths=False))
 
 
-@query()
-def g_pagerank_all(spark, sf_dir):
-    """Personalised rank from every module, iterated until it converges (checked against a dense iteration in the tests)."""
-    return T.pagerank(*_g(spark, sf_dir, every_module)).select("run", "node", F.round("score", 6).alias("score"))
+_RANK = """fan AS (SELECT src, count(*) AS n FROM edges GROUP BY src), links AS MATERIALIZED (SELECT e.src, e.dst, f.n FROM edges e JOIN fan f ON f.src = e.src),
+homes AS (SELECT s.run, d.n FROM seeds s JOIN nodes m ON m.id = s.node JOIN (SELECT design, count(*) AS n FROM nodes GROUP BY design) d ON d.design = m.design),
+ranks AS (SELECT 0 AS k, run, node, CAST(1.0 AS DOUBLE) AS x, false AS done FROM seeds UNION ALL
+  SELECT k, run, node, x, max(worst) OVER () < 1e-6 FROM (
+    SELECT k, run, node, x, sum(abs(x - y)) OVER (PARTITION BY run) / n AS worst FROM (
+      SELECT v.k, v.run, v.node, sum(v.x) AS x, sum(v.y) AS y, any_value(h.n) AS n FROM (
+        SELECT r.k + 1 AS k, r.run, l.dst AS node, 0.85 * r.x / l.n AS x, 0 AS y FROM ranks r JOIN links l ON l.src = r.node WHERE NOT r.done UNION ALL
+        SELECT r.k + 1, r.run, r.run, 0.15 * r.x, 0 FROM ranks r WHERE NOT r.done UNION ALL
+        SELECT r.k + 1, r.run, r.run, 0.85 * r.x, 0 FROM ranks r WHERE NOT r.done AND r.node NOT IN (SELECT src FROM fan) UNION ALL
+        SELECT r.k + 1, r.run, r.node, 0, r.x FROM ranks r WHERE NOT r.done) v JOIN homes h ON h.run = v.run WHERE v.k <= 200 GROUP BY 1, 2, 3)))"""
 
 
-@query()
-def g_pagerank_converged(spark, sf_dir):
-    """The rank of g_pagerank with the operator's defaults: until it converges."""
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_RANK}, last AS (SELECT * FROM ranks WHERE k = (SELECT max(k) FROM ranks)), top AS (SELECT run, max(x) AS t FROM last GROUP BY run)
+SELECT x.run, x.node, round(x.x / t.t, 6) AS score FROM last x JOIN top t ON t.run = x.run WHERE x.x / t.t >= 0.0001 AND x.node <> x.run""")
+def g_pagerank(spark, sf_dir):
+    """Personalised rank from every module, iterated until it converges; in SQL, all rank mass of a run adds up to 1, of which 0.15 goes back."""
     return T.pagerank(*_g(spark, sf_dir)).select("run", "node", F.round("score", 6).alias("score"))
 
 
 _BOTH = "(SELECT src, dst, relation FROM edges UNION ALL SELECT dst, src, relation FROM edges)"
 
 
-@every()
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, bi AS {_BOTH}, {_walk("", 2, edges="bi")}
 SELECT run, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY hop, node) AS k FROM reach) WHERE k <= 100""")
-def g_neighborhood(spark, sf_dir, seeds=runs):
-    """The hundred nodes nearest to each seed within two hops, directions ignored."""
-    return T.neighborhood(*_g(spark, sf_dir, seeds), hops=2)
-
-
-_PAIRS = "pairs AS (SELECT run, source, target FROM (SELECT s.run, s.node AS source, e2.dst AS target, row_number() OVER (PARTITION BY s.run ORDER BY e2.dst DESC) AS k FROM seeds s JOIN edges e ON e.src = s.node JOIN edges e2 ON e2.src = e.dst WHERE e2.dst <> s.node) WHERE k = 1)"
-
-
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, {_PAIRS},
-a AS (SELECT run, source AS node, 0 AS hop FROM pairs UNION SELECT a.run, e.dst, a.hop + 1 FROM a JOIN edges e ON e.src = a.node WHERE a.hop < 5),
-b AS (SELECT run, target AS node, 0 AS hop FROM pairs UNION SELECT b.run, e.src, b.hop + 1 FROM b JOIN edges e ON e.dst = b.node WHERE b.hop < 5),
-da AS (SELECT run, node, min(hop) AS h FROM a GROUP BY 1, 2), db AS (SELECT run, node, min(hop) AS h FROM b GROUP BY 1, 2),
-t AS (SELECT p.run, da.h AS total FROM pairs p JOIN da ON da.run = p.run AND da.node = p.target)
-SELECT da.run, da.node, CAST(da.h AS INTEGER) AS distance, CAST(t.total AS INTEGER) AS total FROM da JOIN db ON da.run = db.run AND da.node = db.node JOIN t ON t.run = da.run WHERE da.h + db.h = t.total""")
-def g_paths(spark, sf_dir):
-    """All nodes on shortest paths from each seed to a node two steps away."""
-    g, s = _g(spark, sf_dir)
-    e = g.edges.select("src", "dst")
-    two = s.join(e.select(F.col("src").alias("node"), F.col("dst").alias("mid")), "node").join(e.select(F.col("src").alias("mid"), F.col("dst").alias("target")), "mid").where("target <> node")
-    pairs = two.groupBy("run").agg(F.min("node").alias("source"), F.max("target").alias("target"))
-    return T.shortest_paths(g, pairs)
+def g_neighborhood(spark, sf_dir):
+    """The hundred nodes nearest to each module within two hops, directions ignored."""
+    return T.neighborhood(*_g(spark, sf_dir), hops=2)
 
 
 _EVERY_PAIR = "pairs AS (SELECT DISTINCT e.src || ' ' || e2.dst AS run, e.src AS source, e2.dst AS target FROM nodes n JOIN edges e ON e.src = n.id JOIN edges e2 ON e2.src = e.dst WHERE n.type = 'Module' AND e2.dst <> e.src)"
@@ -208,40 +178,36 @@ _EVERY_PAIR = "pairs AS (SELECT DISTINCT e.src || ' ' || e2.dst AS run, e.src AS
 t AS (SELECT p.*, CASE WHEN e.src IS NULL THEN 2 ELSE 1 END AS total FROM pairs p LEFT JOIN edges e ON e.src = p.source AND e.dst = p.target)
 SELECT run, source AS node, 0 AS distance, total FROM t UNION ALL SELECT run, target, total, total FROM t
 UNION ALL SELECT DISTINCT t.run, e.dst, 1, 2 FROM t JOIN edges e ON e.src = t.source JOIN edges e2 ON e2.src = e.dst AND e2.dst = t.target WHERE t.total = 2""")
-def g_paths_all(spark, sf_dir):
+def g_paths(spark, sf_dir):
     """All nodes on shortest paths from every module to every node two steps away."""
-    g, s = _g(spark, sf_dir, every_module)
+    g, s = _g(spark, sf_dir)
     e = g.edges.select("src", "dst")
     two = s.join(e.select(F.col("src").alias("node"), F.col("dst").alias("mid")), "node").join(e.select(F.col("src").alias("mid"), F.col("dst").alias("target")), "mid").where("target <> node")
     pairs = two.select(F.concat_ws(" ", "node", "target").alias("run"), F.col("node").alias("source"), "target").distinct()
     return T.shortest_paths(g, pairs, most=2)
 
 
-@every()
 @query(f"""WITH {GRAPH_SQL},
 c1 AS (SELECT run, node FROM (SELECT run, node, row_number() OVER (PARTITION BY run ORDER BY node) AS k FROM (SELECT DISTINCT s.run, e.dst AS node FROM seeds s JOIN edges e ON e.src = s.node JOIN nodes n ON n.id = e.dst WHERE e.relation = 'instantiates' AND n.type = 'Module')) WHERE k <= 20),
 c2 AS (SELECT run, node FROM (SELECT run, node, row_number() OVER (PARTITION BY run ORDER BY node) AS k FROM (SELECT DISTINCT s.run, e.dst AS node FROM c1 s JOIN edges e ON e.src = s.node WHERE e.relation = 'modified_by')) WHERE k <= 20)
 SELECT run, node, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT run, node, 0 AS hop FROM seeds UNION ALL SELECT run, node, 1 FROM c1 UNION ALL SELECT run, node, 2 FROM c2) GROUP BY run, node""")
-def g_chain(spark, sf_dir, seeds=runs):
-    """Commits that modified the submodules of each seed."""
-    return T.chain(*_g(spark, sf_dir, seeds), [("instantiates", "Module"), ("modified_by", "")])
+def g_chain(spark, sf_dir):
+    """Commits that modified the submodules of each module."""
+    return T.chain(*_g(spark, sf_dir), [("instantiates", "Module"), ("modified_by", "")])
 
 
-@every()
 @query(f"""WITH {GRAPH_SQL}, bi AS {_BOTH}, one AS (SELECT run, node FROM seeds UNION SELECT s.run, b.dst FROM seeds s JOIN bi b ON b.src = s.node)
 SELECT run, node FROM one UNION SELECT o.run, b.dst FROM one o JOIN nodes n ON n.id = o.node JOIN bi b ON b.src = o.node WHERE n.type IN ('Port', 'Register', 'Clock')""")
-def g_context(spark, sf_dir, seeds=runs):
-    """Everything around each seed, one step further from its ports and clocks."""
-    return T.full_context(*_g(spark, sf_dir, seeds))
+def g_context(spark, sf_dir):
+    """Everything around each module, one step further from its ports and clocks."""
+    return T.full_context(*_g(spark, sf_dir))
 
 
-@query(f"""WITH {GRAPH_SQL}, bi AS {_BOTH}, one AS (SELECT node FROM seeds UNION SELECT b.dst FROM seeds s JOIN bi b ON b.src = s.node)
-SELECT src, dst, relation FROM edges WHERE src IN (SELECT node FROM one) AND dst IN (SELECT node FROM one)""")
+@query(f"""WITH {GRAPH_SQL}, inside AS (SELECT id FROM nodes WHERE type IN ('Module', 'Port')) SELECT src, dst, relation FROM edges WHERE src IN (SELECT id FROM inside) AND dst IN (SELECT id FROM inside)""")
 def g_induced(spark, sf_dir):
-    """The edges among the seeds and their neighbours."""
-    g, s = _g(spark, sf_dir)
-    members = T.neighborhood(g, s, hops=1, max_nodes=1 << 30)
-    return T.context(g, members).edges.select("src", "dst", "relation")
+    """The edges among modules and ports."""
+    g, _ = _g(spark, sf_dir)
+    return T.context(g, g.nodes.where("type in ('Module', 'Port')").select(F.col("id").alias("node"))).edges.select("src", "dst", "relation")
 
 
 def _changes(g, s: DataFrame) -> DataFrame:
@@ -257,11 +223,10 @@ tw AS (SELECT run, node, change_type, 0 AS hop FROM chg UNION
 truth AS (SELECT w.run, w.node, n.type AS artifact_type, CAST(min(w.hop) AS INTEGER) AS hop FROM tw w JOIN nodes n ON n.id = w.node GROUP BY 1, 2, 3 HAVING min(w.hop) > 0)"""
 
 
-@every()
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {_TRUTH} SELECT run, node, artifact_type, hop FROM truth")
-def g_truth(spark, sf_dir, seeds=runs):
-    """What each of seven types of change to each seed truly affects."""
-    g, s = _g(spark, sf_dir, seeds)
+def g_truth(spark, sf_dir):
+    """What each of seven types of change to each module truly affects."""
+    g, s = _g(spark, sf_dir)
     return T.ground_truth(g, _changes(g, s))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import scalars as S
@@ -10,8 +10,9 @@ from netquarry.operators import changes as changes_of
 from netquarry.operators import history as H
 from netquarry.operators import metrics as M
 from netquarry.operators import questions as Q
+from netquarry.operators import skew
 from netquarry.operators import traverse as T
-from netquarry.plans.design_graph import GRAPH_SQL, design_graph, every_of, runs
+from netquarry.plans.design_graph import GRAPH_SQL, design_graph, every_module
 from netquarry.scratch import load
 from netquarry.sources import constraints as C
 from netquarry.streaming import ingest
@@ -31,9 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-every = every_of(QUERIES, SQL)
-
-
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{p}') THEN '{n}'" for n, p in S.COMMIT_CLASSES) + " END"
 
 
@@ -99,12 +97,14 @@ def t_clocks(spark, sf_dir):
 
 
 @query(r"""WITH l AS (SELECT DISTINCT constraint_id, raw_line FROM sdc_constraints WHERE raw_line IS NOT NULL)
-SELECT constraint_id, list_transform(regexp_extract_all(raw_line, '\[get_\w+\s+([^\]]+)\]', 1), lambda g: trim(translate(g, '{}', ''))) AS groups, nullif(regexp_extract(raw_line, '\[get_(\w+)', 1), '') AS kind FROM l""")
+SELECT constraint_id, list_filter(flatten(list_transform(regexp_extract_all(raw_line, '\[get_\w+\s+([^\]]+)\]', 1), lambda g: regexp_split_to_array(translate(g, '{}', ''), '\s+'))), lambda w: w <> '') AS short,
+list_filter(flatten(list_transform(regexp_extract_all(raw_line, '\[get_\w+\s+(\{[^{}]*\}|(?:[^\[\]\s{}]|\[[^\[\]]*\])*)\s*\]', 1), lambda g: regexp_split_to_array(translate(g, '{}', ''), '\s+'))), lambda w: w <> '') AS targets,
+nullif(regexp_extract(raw_line, '\[get_(\w+)', 1), '') AS kind FROM l""")
 def t_get_groups(spark, sf_dir):
-    """The bracketed groups of each command line, as written up to their first closing bracket."""
+    """The targets of each command line, whole and as cut off by the older reading."""
     rows = load(spark, sf_dir, "sdc_constraints").where("raw_line is not null").select("constraint_id", "raw_line").distinct()
-    groups = F.transform(F.regexp_extract_all("raw_line", F.lit(r"\[get_\w+\s+([^\]]+)\]"), 1), lambda g: F.trim(F.translate(g, "{}", "")))
-    return rows.select("constraint_id", groups.alias("groups"), S.get_kind(F.col("raw_line")).alias("kind"))
+    line = F.col("raw_line")
+    return rows.select("constraint_id", S.get_targets_short(line).alias("short"), S.get_targets(line).alias("targets"), S.get_kind(line).alias("kind"))
 
 
 @query("""SELECT design, constraint_id, design || '::sdc::' || lpad(CAST(row_number() OVER (PARTITION BY design ORDER BY file_path NULLS FIRST, line_number NULLS FIRST, constraint_id) AS VARCHAR), 6, '0') AS numbered
@@ -112,9 +112,8 @@ FROM (SELECT DISTINCT constraint_id, design, file_path, line_number FROM sdc_con
 def t_running_ids(spark, sf_dir):
     """Constraints numbered by file and line within their design."""
     rows = load(spark, sf_dir, "sdc_constraints").select("constraint_id", "design", "file_path", "line_number").distinct()
-    order = Window.partitionBy("design").orderBy(F.asc_nulls_first("file_path"), F.asc_nulls_first("line_number"), "constraint_id")
-    number = F.lpad(F.row_number().over(order).cast("string"), 6, "0")
-    return rows.select("design", "constraint_id", F.concat(F.col("design"), F.lit("::sdc::"), number).alias("numbered"))
+    rows = skew.ranked(rows, ["design"], [F.asc_nulls_first("file_path"), F.asc_nulls_first("line_number"), F.col("constraint_id")], "k")
+    return rows.select("design", "constraint_id", F.concat(F.col("design"), F.lit("::sdc::"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("numbered"))
 
 
 @query("""SELECT DISTINCT constraint_id, CASE WHEN length(raw_line) > 60 THEN substr(raw_line, 1, 60) || '...' ELSE raw_line END AS short_line FROM sdc_constraints""")
@@ -162,29 +161,31 @@ def t_key_entities(spark, sf_dir):
     return load(spark, sf_dir, "eval_items").select("item_id", S.key_entities(F.col("gold_answer")).alias("entities")).distinct()
 
 
-@every()
 @query(f"""WITH {GRAPH_SQL}, w AS (SELECT DISTINCT s.run, unnest(list_distinct(list_filter(list_append(string_split(lower(n.name), '_'), lower(n.name)), lambda x: length(x) >= 3))) AS word FROM seeds s JOIN nodes n ON n.id = s.node),
 k AS (SELECT run, count(*) AS n FROM w GROUP BY run),
 h AS (SELECT id, lower(concat_ws(' ', name, raw_line, summary)) AS t FROM nodes),
 m AS (SELECT w.run, h.id AS node, count(*) AS n FROM w JOIN h ON contains(h.t, w.word) GROUP BY 1, 2)
 SELECT m.run, m.node, round(least(1.0, m.n / k.n), 6) AS risk FROM m JOIN k ON k.run = m.run WHERE (m.run, m.node) NOT IN (SELECT run, node FROM seeds)""")
-def g_lexical(spark, sf_dir, seeds=runs):
-    """Impact by the words of each seed's name."""
+def g_lexical(spark, sf_dir):
+    """Impact by the words of each module's name."""
     g = design_graph(spark, sf_dir)
-    return T.lexical(g, seeds(g)).select("run", "node", F.round("risk", 6).alias("risk"))
+    return T.lexical(g, every_module(g)).select("run", "node", F.round("risk", 6).alias("risk"))
 
 
-@query(f"""WITH {GRAPH_SQL}, q AS (SELECT DISTINCT child_module_name AS query, lower(child_module_name) AS q FROM instances WHERE child_module_name IS NOT NULL AND child_module_name <> ''),
+@query(f"""WITH {GRAPH_SQL}, asked AS (SELECT child_module_name AS query FROM instances UNION SELECT regexp_extract(question, '[a-z0-9]+_[a-z0-9_]+') FROM qa_results UNION SELECT module_id FROM modules),
+q AS (SELECT DISTINCT query, lower(query) AS q FROM asked WHERE query <> ''),
 keys AS (SELECT DISTINCT id, type, unnest([lower(name), lower(string_split(id, '::')[-1])]) AS key FROM nodes),
+by_id AS (SELECT query, id AS node, 1 AS rank FROM q JOIN nodes n ON n.id = q.query),
 cand AS (SELECT q.query, k.id AS node, 2 AS rank FROM q JOIN keys k ON k.key = q.q),
-pieces AS (SELECT DISTINCT query, q, substr(w, 1, 3) AS piece FROM (SELECT query, q, unnest(regexp_split_to_array(q, '[^a-z0-9]+')) AS w FROM q WHERE query NOT IN (SELECT query FROM cand)) WHERE length(w) >= 3),
-kp AS (SELECT DISTINCT id, type, key, substr(w, 1, 3) AS piece FROM (SELECT id, type, key, unnest(regexp_split_to_array(key, '[^a-z0-9]+')) AS w FROM keys WHERE key <> '') WHERE length(w) >= 3),
-near AS (SELECT DISTINCT p.query, k.id AS node, CASE WHEN k.type = 'Module' THEN 3 ELSE 4 END AS rank FROM pieces p JOIN kp k ON k.piece = p.piece WHERE contains(k.key, p.q) OR contains(p.q, k.key))
-SELECT query, node, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, node) AS k FROM (SELECT * FROM cand UNION SELECT * FROM near)) WHERE k = 1""")
+near AS (SELECT DISTINCT q.query, k.id AS node, CASE WHEN k.type = 'Module' THEN 3 ELSE 4 END AS rank FROM q JOIN keys k ON contains(k.key, q.q) OR contains(q.q, k.key) WHERE k.key <> '' AND q.query NOT IN (SELECT query FROM cand))
+SELECT query, node, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, rank > 2 AND NOT ends_with(node, '::' || query), node) AS k FROM (SELECT * FROM by_id UNION SELECT * FROM cand UNION SELECT * FROM near)) WHERE k = 1""")
 def g_resolve(spark, sf_dir):
-    """The node that the name of each instance's child means."""
+    """The node that each name means: of instances' children, in questions, and module ids."""
     g = design_graph(spark, sf_dir)
-    return T.resolve_names(g, load(spark, sf_dir, "instances").select(F.col("child_module_name").alias("query")))
+    asked = load(spark, sf_dir, "instances").select(F.col("child_module_name").alias("query"))
+    asked = asked.unionByName(load(spark, sf_dir, "qa_results").select(F.regexp_extract("question", "[a-z0-9]+_[a-z0-9_]+", 0).alias("query")))
+    asked = asked.unionByName(load(spark, sf_dir, "modules").select(F.col("module_id").alias("query")))
+    return T.resolve_names(g, asked.where("query <> ''").distinct())
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
@@ -220,10 +221,31 @@ def q_what_if(spark, sf_dir):
     return Q.what_if_counts(design_graph(spark, sf_dir))
 
 
-@query()
+def _rule(k: int) -> str:
+    """SQL of what the rules, in order, give for column ``k`` of a rule; null without a match."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(low, '{rule[0].replace(chr(39), chr(39) * 2)}') THEN {k(n, rule)}" for n, rule in enumerate(Q.RULES, 1)) + " END"
+
+
+def _entity(group: int):
+    def of(n: int, rule: tuple) -> str:
+        pattern = rule[0].replace("'", "''")
+        return f"regexp_extract(low, '{pattern}', {group})" if rule[0].count(Q._E) >= group else "CAST(NULL AS VARCHAR)"
+
+    return of
+
+
+_STOP = ", ".join(f"'{w}'" for w in Q.FALLBACK_STOP)
+
+
+@query(f"""WITH l AS (SELECT DISTINCT question, lower(question) AS low FROM qa_results WHERE question IS NOT NULL),
+r AS (SELECT *, {_rule(lambda n, rule: str(n))} AS n, {_rule(lambda n, rule: f"'{rule[1]}'")} AS c, {_rule(lambda n, rule: f"'{rule[2]}'")} AS o, {_rule(_entity(1))} AS e, {_rule(_entity(2))} AS e2,
+  nullif(regexp_extract(low, '[`''"]([a-z_][a-z0-9_]+)[`''"]', 1), '') AS quoted, nullif(regexp_extract(low, '\\b([a-z][a-z0-9]*_[a-z0-9_]+)', 1), '') AS joined,
+  list_filter(regexp_extract_all(low, '[a-z][a-z0-9]{{2,}}'), lambda w: w NOT IN ({_STOP}))[1] AS plain FROM l)
+SELECT question, CAST(coalesce(n, 0) AS INTEGER) AS rule_no, coalesce(c, 'structural') AS category, coalesce(o, 'neighborhood') AS operation,
+  coalesce(CASE WHEN n IS NOT NULL THEN rtrim(e, '.:') END, quoted, joined, plain) AS entity, rtrim(e2, '.:') AS entity2 FROM r""")
 def q_parsed(spark, sf_dir):
     """The category, operation and entity that rules read from every question."""
-    return Q.parse_questions(load(spark, sf_dir, "qa_results").select("question").distinct())
+    return Q.parse_questions(load(spark, sf_dir, "qa_results").select("question").where("question is not null").distinct())
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -240,18 +262,23 @@ def s_sessions(spark, sf_dir):
     return ingest.sessions(load(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
 
 
-@query(r"""WITH p AS (SELECT DISTINCT constraint_id, constraint_type, raw_line FROM sdc_constraints WHERE raw_line IS NOT NULL AND constraint_type = 'set_false_path')
-SELECT constraint_id, 'remove' AS variant, '# ' || raw_line AS new_text FROM p""")
-def c_constraint_changes(spark, sf_dir):
-    """The change that removes each false path."""
-    rows = load(spark, sf_dir, "sdc_constraints").where("raw_line is not null").select("constraint_id", "constraint_type", "raw_line", F.lit("").alias("file_path")).distinct()
-    changes = changes_of.constraint_changes(rows, "any", 1 << 30)
-    return changes.where("variant = 'remove'").select(F.col("module").alias("constraint_id"), "variant", "new_text")
+_FLAG = r"(?:^|\s)-{}\s+(\[[^\]]*\]|\{{[^}}]*\}}|[^\s\[\]-][^\s]*|-\d[^\s]*)"
 
 
-@query()
-def c_constraint_changes_all(spark, sf_dir):
+def _times(flag: str, factor: str) -> str:
+    """A line with the first occurrence of a flag's value multiplied; null if it is no number."""
+    value = f"nullif(regexp_extract(raw_line, '{_FLAG.format(flag)}', 1), '')"
+    return f"substr(raw_line, 1, instr(raw_line, {value}) - 1) || CAST(TRY_CAST({value} AS DOUBLE) * {factor} AS VARCHAR) || substr(raw_line, instr(raw_line, {value}) + length({value}))"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT constraint_id, constraint_type, raw_line FROM sdc_constraints WHERE raw_line IS NOT NULL),
+v AS (SELECT constraint_id, 'remove' AS variant, raw_line AS old_text, '# ' || raw_line AS new_text FROM p WHERE constraint_type = 'set_false_path'
+UNION ALL SELECT constraint_id, 'halve_period', raw_line, {_times("period", "0.5")} FROM p WHERE constraint_type = 'create_clock'
+UNION ALL SELECT constraint_id, 'double_period', raw_line, {_times("period", "2.0")} FROM p WHERE constraint_type = 'create_clock'
+UNION ALL SELECT constraint_id, 'double_delay', raw_line, coalesce({_times("max", "2.0")}, {_times("min", "2.0")}) FROM p WHERE constraint_type IN ('set_input_delay', 'set_output_delay'))
+SELECT constraint_id, variant, old_text, new_text FROM v WHERE new_text IS NOT NULL AND new_text <> old_text""")
+def c_constraint_changes(spark, sf_dir):
     """Every change of a constraint: periods halved and doubled, false paths removed, delays doubled."""
     rows = load(spark, sf_dir, "sdc_constraints").where("raw_line is not null").select("constraint_id", "constraint_type", "raw_line", F.lit("").alias("file_path")).distinct()
     changes = changes_of.constraint_changes(rows, "any", 1 << 30)
-    return changes.select(F.col("module").alias("constraint_id"), "variant", "old_text", "new_text")
+    return changes.where("new_text <> old_text").select(F.col("module").alias("constraint_id"), "variant", "old_text", "new_text")
