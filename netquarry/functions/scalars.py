@@ -116,6 +116,29 @@ def strip_comment(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"(^|\s)#.*$", ""))
 
 
+def shell_words(line: Column) -> Column:
+    """The words of a command as a shell reads them; the plain words of a line whose quoting is broken.
+
+    Single quotes keep everything, double quotes all but a backslash before a quote
+    or a backslash, a backslash outside keeps the next character; a number sign
+    outside quotes begins a comment.
+    """
+    single, double, plain = r"'[^']*'", r'"(?:[^"\\]|\\.)*"', r"(?:[^\s'\"\\]|\\.)"
+    word = rf"(?:{single}|{double}|{plain})+"
+    rest = F.regexp_replace(line, rf"^((?:{single}|{double}|\\.|[^'\"\\#])*)#.*$", "$1")
+    well = rest.rlike(rf"^\s*(?:{word}(?:\s+|$))*$")
+
+    def unquoted(w: Column) -> Column:
+        pieces = F.regexp_extract_all(w, F.lit(rf"{single}|{double}|{plain}+"), 0)
+        inner = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)
+        one = lambda p: F.when(p.startswith("'"), inner(p)).when(p.startswith('"'), F.regexp_replace(inner(p), r'\\(["\\])', "$1")).otherwise(F.regexp_replace(p, r"\\(.)", "$1"))
+        return F.array_join(F.transform(pieces, one), "")
+
+    shell = F.transform(F.regexp_extract_all(rest, F.lit(word), 0), unquoted)
+    split = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.when(line.isNotNull(), F.when(well, shell).otherwise(split))
+
+
 def commit_class(message: Column) -> Column:
     """The class of a commit by its message, null if none fits."""
     low, out = F.lower(message), None

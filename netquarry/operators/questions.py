@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -114,28 +115,33 @@ def format_answers(graph: Graph, found: DataFrame, most: int = 20) -> DataFrame:
     return per.select("question", "type", text.alias("text")).groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "text"))), lambda x: x["text"]), "; ").alias("answer"))
 
 
-def answer(prompts: DataFrame, model: Callable[[list[str]], list[str]] | None = None, retries: int = 3) -> DataFrame:
-    """(question, answer) for ``prompts(question, context)`` by a callable over batches; without one, the context is the answer.
+def answer(prompts: DataFrame, model: Callable[[list[str]], list[str]] | None = None, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(question, answer, error) for ``prompts(question, context)`` by a callable over batches; without one, the context is the answer.
 
-    A batch is tried ``retries`` times; if it fails each time, its rows carry the
-    error as ``error`` and no answer.
+    What the model reads is the column ``prompt`` if there is one, else question and
+    context.  A batch is tried ``retries`` times, after pauses of ``wait`` seconds
+    that double; if it fails each time, its rows carry the error and no answer.
     """
     if model is None:
         return prompts.select("question", F.col("context").alias("answer"), F.lit(None).cast("string").alias("error"))
+    own = F.concat(F.lit("Question: "), F.col("question"), F.lit("\nContext:\n"), F.coalesce("context", F.lit("")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = ("Question: " + batch["question"] + "\nContext:\n" + batch["context"].fillna("")).tolist()
+            texts = batch["prompt"].tolist()
             error, answers = None, [None] * len(texts)
-            for _ in range(retries):
+            for k in range(retries):
                 try:
                     answers, error = list(model(texts)), None
                     break
                 except Exception as e:  # noqa: BLE001 - whatever a model raises goes to its rows
                     error = f"{type(e).__name__}: {e}"
+                    if k + 1 < retries:
+                        time.sleep(wait * 2**k)
             yield pd.DataFrame({"question": batch["question"], "answer": answers, "error": error})
 
-    return prompts.select("question", "context").mapInPandas(run, "question string, answer string, error string")
+    text = F.col("prompt") if "prompt" in prompts.columns else own
+    return prompts.select("question", text.alias("prompt")).mapInPandas(run, "question string, answer string, error string")
 
 
 def contexts(graph: Graph, found: DataFrame, most: int = 200) -> DataFrame:

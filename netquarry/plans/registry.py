@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.plans import core_problems, graph_queries, more_queries, text_queries
+from netquarry.plans import core_problems, graph_queries, more_queries, source_queries, text_queries
 
-_MODULES = (core_problems, graph_queries, text_queries, more_queries)
+_MODULES = (core_problems, graph_queries, text_queries, more_queries, source_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,16 +70,17 @@ class GitLog(DataSource):
         return GitLogReader(self.options)
 
 
-def describe(log: DataFrame, design: str, globs: list[str] | None = None, module_files: DataFrame | None = None) -> DataFrame:
-    """Commit rows with ids, summaries, classes and the modules of their files.
+def describe(log: DataFrame, design: str | None = None, globs: list[str] | None = None, module_files: DataFrame | None = None) -> DataFrame:
+    """Commit rows with ids, summaries, classes and the modules of their files, of one design or of those in a column ``design``.
 
     ``globs`` keeps commits that touch a matching file; ``module_files(file, module)``
     names the modules of files, others are named by the stem of a source file.
     """
     if globs:
         log = log.where(F.size(S.keep_matching(F.col("files_changed"), globs)) > 0)
-    rows = log.withColumn("short_sha", F.substring("sha", 1, 8)).withColumn("commit_id", F.concat(F.lit(f"{design}::commit::"), F.substring("sha", 1, 8)))
-    rows = rows.withColumn("summary", F.split("message", "\n")[0]).withColumn("change_type", S.commit_class(F.col("message"))).withColumn("design", F.lit(design))
+    log = log.withColumn("design", F.lit(design)) if design is not None else log
+    rows = log.withColumn("short_sha", F.substring("sha", 1, 8)).withColumn("commit_id", F.concat_ws("::", "design", F.lit("commit"), F.substring("sha", 1, 8)))
+    rows = rows.withColumn("summary", F.split("message", "\n")[0]).withColumn("change_type", S.commit_class(F.col("message")))
     files = rows.select("commit_id", F.explode("files_changed").alias("file"))
     if module_files is not None:
         files = files.join(module_files.select("file", "module"), "file", "left")
@@ -94,10 +95,10 @@ def module_file_map(modules: DataFrame) -> DataFrame:
     return modules.where("src_file is not null").select(F.col("src_file").alias("file"), F.col("module_name").alias("module")).distinct()
 
 
-def to_graph(commits: DataFrame, nodes: DataFrame, design: str) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Node and edge batches: commits and the modules that they modify, both ways."""
-    modules = nodes.where("type = 'Module'").select(F.col("id").alias("module_id"), F.col("name").alias("module"))
-    touched = commits.select("commit_id", F.explode("modules_modified").alias("module")).join(modules, "module")
+def to_graph(commits: DataFrame, nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Node and edge batches: commits and the modules of their design that they modify, both ways."""
+    modules = nodes.where("type = 'Module'").select("design", F.col("id").alias("module_id"), F.col("name").alias("module"))
+    touched = commits.select("commit_id", "design", F.explode("modules_modified").alias("module")).join(modules, ["design", "module"])
     edge = lambda src, dst, rel: touched.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(rel).alias("relation")).distinct()
-    node = commits.select(F.col("commit_id").alias("id"), F.lit("Commit").alias("type"), F.col("summary").alias("name"), F.lit(design).alias("design"), "summary", "message")
+    node = commits.select(F.col("commit_id").alias("id"), F.lit("Commit").alias("type"), F.col("summary").alias("name"), "design", "summary", "message")
     return [node], [edge("commit_id", "module_id", "modifies"), edge("module_id", "commit_id", "modified_by")]

@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import scalars as S
-from netquarry.functions.numbering import numbered
+from netquarry.operators.graph import Graph
+from netquarry.operators.skew import ranked
 from netquarry.sources.quoted_rows import COMMANDS
 
 
-def scan(texts: DataFrame, design: str) -> DataFrame:
-    """Commands of whole files: ``texts(file_path, text)`` to constraint rows.
+def scan(texts: DataFrame, design: str | None = None) -> DataFrame:
+    """Commands of whole files: ``texts(file_path, text)`` to constraint rows, of one design or of those in a column ``design``.
 
     Continued lines are joined, comments and other commands left out;
-    ``line_number`` is that of the joined text, ids run by file and line.
+    ``line_number`` is that of the joined text, ids run by file and line within a
+    design.
     """
-    lines = texts.select("file_path", F.posexplode(F.split(S.join_continuations(F.col("text")), r"\r?\n")).alias("pos", "line"))
-    lines = lines.select("file_path", (F.col("pos") + 1).alias("line_number"), S.strip_comment(F.col("line")).alias("raw_line"))
+    texts = texts.withColumn("design", F.lit(design)) if design is not None else texts
+    lines = texts.select("design", "file_path", F.posexplode(F.split(S.join_continuations(F.col("text")), r"\r?\n")).alias("pos", "line"))
+    lines = lines.select("design", "file_path", (F.col("pos") + 1).alias("line_number"), S.strip_comment(F.col("line")).alias("raw_line"))
     rows = lines.where(S.command(F.col("raw_line")).isin(*COMMANDS))
-    rows = numbered(rows, "file_path", ["line_number"])
+    rows = ranked(rows, ["design"], [F.col("file_path"), F.col("line_number")], "n")
     digits = F.col("n").cast("string")
     number = F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0"))
-    return rows.select(F.concat(F.lit(f"{design}::sdc::"), number).alias("constraint_id"), "raw_line", "line_number", "file_path", F.lit(design).alias("design"))
+    return rows.select(F.concat_ws("::", "design", F.lit("sdc"), number).alias("constraint_id"), "raw_line", "line_number", "file_path", "design")
 
 
 def _pick(kind: Column, of: tuple[str, ...], value: Column) -> Column:
@@ -75,36 +78,49 @@ def clock_table(parsed: DataFrame) -> DataFrame:
 
     A generated clock's source that is the port of a primary clock becomes that clock's name.
     """
+    if "design" not in parsed.columns:
+        return clock_table(parsed.withColumn("design", F.lit(""))).drop("design")
     own = parsed.where(F.col("constraint_type").isin("create_clock", "create_generated_clock"))
-    primary = own.where("constraint_type = 'create_clock'").select(F.col("clock_port").alias("source_clock"), F.col("clock_name").alias("primary_name")).where("source_clock is not null").groupBy("source_clock").agg(F.min("primary_name").alias("primary_name"))
-    out = own.join(primary, "source_clock", "left")
-    return out.select(F.col("clock_name").alias("name"), "period", "frequency_mhz", F.col("clock_port").alias("port"), F.coalesce("primary_name", "source_clock").alias("source"), "divide_by", "multiply_by", (F.col("constraint_type") == "create_generated_clock").alias("generated"))
+    primary = own.where("constraint_type = 'create_clock'").select("design", F.col("clock_port").alias("source_clock"), F.col("clock_name").alias("primary_name")).where("source_clock is not null").groupBy("design", "source_clock").agg(F.min("primary_name").alias("primary_name"))
+    out = own.join(primary, ["design", "source_clock"], "left")
+    return out.select("design", F.col("clock_name").alias("name"), "period", "frequency_mhz", F.col("clock_port").alias("port"), F.coalesce("primary_name", "source_clock").alias("source"), "divide_by", "multiply_by", (F.col("constraint_type") == "create_generated_clock").alias("generated"))
 
 
-def to_graph(parsed: DataFrame, nodes: DataFrame, design: str) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Node and edge batches that a design's constraints add to a graph with ``nodes(id, type, name)``.
+def to_graph(parsed: DataFrame, nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Node and edge batches that the constraints of designs add to a graph with ``nodes(id, type, name, design)``.
 
     Targets name a port of any module, an instance (also as ``instance/pin``), a
-    clock or a module.
+    clock or a module of the constraint's design.
     """
-    clocks = clock_table(parsed).withColumn("id", F.concat(F.lit(f"{design}::clk::"), "name"))
-    node = lambda df, type_, **c: df.select("id", F.lit(type_).alias("type"), *[F.col(v).alias(k) for k, v in c.items()], F.lit(design).alias("design"))
+    clock_id = lambda c: F.concat_ws("::", "design", F.lit("clk"), c)
+    clocks = clock_table(parsed).where("name is not null").withColumn("id", clock_id("name"))
+    node = lambda df, type_, **c: df.select("id", F.lit(type_).alias("type"), *[F.col(v).alias(k) for k, v in c.items()], "design")
     edge = lambda df, src, dst, rel: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(rel).alias("relation"))
     rows = parsed.withColumn("id", F.col("constraint_id"))
     node_batches = [node(clocks, "Clock", name="name"), node(rows, "Constraint", name="constraint_type", raw_line="raw_line")]
-    derived = clocks.where("generated and source is not null").select("id", F.concat(F.lit(f"{design}::clk::"), "source").alias("source_id"))
-    referred = rows.select("id", F.explode(F.array_distinct(F.array_compact(F.array("clock", "source_clock", F.when(F.col("constraint_type").isin("create_generated_clock"), F.col("clock_name")))))).alias("clock"))
+    derived = clocks.where("generated and source is not null").select("id", clock_id("source").alias("source_id"))
+    referred = rows.select("id", "design", F.explode(F.array_distinct(F.array_compact(F.array("clock", "source_clock", F.when(F.col("constraint_type").isin("create_generated_clock"), F.col("clock_name")))))).alias("clock"))
     clock_ids = nodes.where("type = 'Clock'").select("id").unionByName(clocks.select("id")).distinct().withColumnRenamed("id", "clock_id")
-    referred = referred.withColumn("clock_id", F.concat(F.lit(f"{design}::clk::"), "clock")).join(clock_ids, "clock_id", "left_semi")
-    target = rows.select("id", F.explode("targets").alias("target")).distinct()
-    ports = nodes.where("type = 'Port'").select(F.col("id").alias("dst"), F.col("name").alias("target"))
-    on_port = target.join(ports, "target")
+    referred = referred.withColumn("clock_id", clock_id("clock")).join(clock_ids, "clock_id", "left_semi")
+    target = rows.select("id", "design", F.explode("targets").alias("target")).distinct()
+    ports = nodes.where("type = 'Port'").select("design", F.col("id").alias("dst"), F.col("name").alias("target"))
+    on_port = target.join(ports, ["design", "target"])
     split = target.withColumn("inst", F.split("target", "/")[0]).withColumn("pin", F.when(F.contains("target", F.lit("/")), F.element_at(F.split("target", "/"), -1)))
-    instances = nodes.where("type = 'Instance'").select(F.col("id").alias("dst"), F.col("name").alias("inst"))
-    on_instance = split.join(instances, "inst")
-    on_clock = target.withColumn("clock_id", F.concat(F.lit(f"{design}::clk::"), "target")).join(clock_ids, "clock_id", "left_semi")
-    modules = nodes.where("type = 'Module'").select(F.col("id").alias("dst"), F.col("name").alias("target"))
-    on_module = target.join(modules, "target")
+    instances = nodes.where("type = 'Instance'").select("design", F.col("id").alias("dst"), F.col("name").alias("inst"))
+    on_instance = split.join(instances, ["design", "inst"])
+    on_clock = target.withColumn("clock_id", clock_id("target")).join(clock_ids, "clock_id", "left_semi")
+    modules = nodes.where("type = 'Module'").select("design", F.col("id").alias("dst"), F.col("name").alias("target"))
+    on_module = target.join(modules, ["design", "target"])
     applies = edge(on_port, "id", "dst", "applies_to").unionByName(edge(on_instance, "id", "dst", "applies_to")).unionByName(edge(on_clock, "id", "clock_id", "applies_to")).unionByName(edge(on_module, "id", "dst", "applies_to")).distinct()
     edge_batches = [edge(derived, "id", "source_id", "derived_from"), edge(referred, "id", "clock_id", "references_clock").distinct(), applies, edge(on_port, "dst", "id", "constrained_by").distinct()]
     return node_batches, edge_batches
+
+
+def counts_per_module(graph: Graph) -> DataFrame:
+    """(design, module, constraint_type, n): constraints that apply to each module or one of its ports, by type; one that applies to several ports counts for each."""
+    modules = graph.nodes.where("type = 'Module'").select("design", F.col("id").alias("module"))
+    ported = graph.edges.where("relation = 'has_port'").select(F.col("src").alias("module"), F.col("dst").alias("target"))
+    targets = modules.select("module", F.col("module").alias("target")).unionByName(ported)
+    applied = graph.edges.where("relation = 'applies_to'").select(F.col("src").alias("id"), F.col("dst").alias("target"))
+    kinds = graph.nodes.where("type = 'Constraint'").select("id", F.col("name").alias("constraint_type"))
+    return targets.join(applied, "target").join(kinds, "id").join(modules, "module").groupBy("design", "module", "constraint_type").agg(F.count("*").alias("n"))

@@ -164,8 +164,12 @@ endmodule
 
 
 def test_changes_apply_and_revert(spark):
-    src = texts(spark, ("rtl/top.v", SOURCE)).withColumn("module", F.lit("top"))
-    made = C.generate(src, ["child"], {"child": ["q"]}, [], "d", 20).cache()
+    src = texts(spark, ("rtl/top.v", SOURCE)).withColumn("module", F.lit("top")).withColumn("design", F.lit("d"))
+    modules = spark.createDataFrame([("d", "child", False, ["q"]), ("e", "top", True, None)], "design string, name string, is_top boolean, outputs array<string>")
+    made = C.generate(src, modules, 20).cache()
+    assert [r.new_text for r in made.where("variant = 'stub'").collect()] == ["// stub of u_child\nassign q = 0;"]
+    assert made.where("change_type = 'parameter'").count() == 3 and C.generate(src, modules, 2).where("change_type = 'parameter'").count() == 2
+    assert C.generate(src, modules.limit(0), 20).where("change_type in ('dependency', 'hierarchy')").count() == 0
     kinds = {(r.change_type, r.variant) for r in made.collect()}
     assert {("parameter", "double"), ("parameter", "halve"), ("parameter", "boundary"), ("width", "double"), ("width", "halve"), ("clock", "edge_swap"), ("clock", "rename"), ("reset", "polarity"), ("dependency", "remove"), ("hierarchy", "stub")} == kinds
     double = made.where("change_type = 'parameter' and variant = 'double'").first()
@@ -217,7 +221,7 @@ def test_models_and_their_failures(spark):
     def broken(ts):
         raise RuntimeError("down")
 
-    assert {r.error for r in Q.answer(prompts, broken).collect()} == {"RuntimeError: down"}
+    assert {r.error for r in Q.answer(prompts, broken, wait=0.0).collect()} == {"RuntimeError: down"}
 
 
 def test_changed_texts_are_found_anywhere_in_a_line(spark):
