@@ -4,16 +4,19 @@ import heapq
 import json
 import math
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from netquarry.functions.numbering import numbered
 from netquarry.operators import graph as G
 from netquarry.operators import metrics as M
+from netquarry.operators import skew
 from netquarry.operators import traverse as T
 from netquarry.operators.components import connected
 from netquarry.plans import registry
-from netquarry.plans.design_graph import design_graph, every_module, runs
+from netquarry.plans.design_graph import design_graph, every_module
 from netquarry.schema import DEFAULT_WEIGHT, PROPAGATION, TRUTH_RELATIONS, WEIGHTS
 
 RELATIONS = ["instantiates", "depended_by", "has_port", "drives", "covers", "references_clock"]
@@ -125,18 +128,33 @@ def test_pagerank_equals_dense_iteration(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[n], want[n], rel_tol=1e-6) for n in want)
 
 
-def test_seeded_queries_also_run_from_every_module_and_commit(spark):
-    path, sqls, got = "/root/testdata/sf0.001", registry.oracle_sql(), registry.queries()
+def test_seeded_queries_run_from_every_module_and_commit(spark):
+    path, got = "/root/testdata/sf0.001", registry.queries()
     g = design_graph(spark, path)
     edges = {(r.src, r.dst): r.relation for r in g.edges.collect()}
     modules = {r.id for r in g.nodes.where("type = 'Module'").collect()}
     want = {(m, k, v) for m in modules for k, v in hops({e for e, r in edges.items() if r in PROPAGATION}, {m}, 3).items() if v}
-    assert {(r.run, r.node, r.hop) for r in got["g_bfs_all"](spark, path).collect()} == want
+    assert {(r.run, r.node, r.hop) for r in got["g_bfs"](spark, path).collect()} == want
     commits = {a for (a, b), r in edges.items() if r == "modifies"}
     want = {(c, k, v) for c in commits for k, v in hops({e for e, r in edges.items() if r in PROPAGATION}, {b for (a, b), r in edges.items() if a == c and r == "modifies"}, 2).items() if v}
-    assert {(r.run, r.node, r.hop) for r in got["g_from_commit_all"](spark, path).collect()} == want
-    for name in "bfs_excluding structural weighted_path_max weighted_width weighted_label neighborhood chain context truth lexical set_sides paths".split():
-        assert f"g_{name}_all" in got and (f"g_{name}_all" in sqls or name == "weighted_label")
+    assert {(r.run, r.node, r.hop) for r in got["g_from_commit"](spark, path).collect()} == want
+
+
+def test_a_changed_folder_gives_another_graph(spark, tmp_path):
+    for name in ("modules", "instances", "sdc_constraints", "commits"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = design_graph(spark, str(tmp_path))
+    assert design_graph(spark, str(tmp_path)) is first
+    shutil.copy("/root/testdata/sf0.01/commits.parquet", tmp_path / "commits.parquet")
+    assert design_graph(spark, str(tmp_path)).nodes.count() > first.nodes.count()
+
+
+def test_without_paths_nothing_else_changes(spark):
+    g, types, edges = make(spark, 11, m=90)
+    s = seeds(spark, ("a", "n00"), ("b", "n03"))
+    for f, kw in ((T.bfs, {}), (T.structural, {}), (T.weighted_bfs, {"alpha": 0.9}), (T.weighted_bfs, {"mode": "path_max"})):
+        with_paths = {(r.run, r.node): (round(r.risk, 9), r.hop) for r in f(g, s, **kw).collect()}
+        assert {(r.run, r.node): (round(r.risk, 9), r.hop) for r in f(g, s, paths=False, **kw).collect()} == with_paths
 
 
 def test_compare_runs_all_five_methods(spark):
@@ -155,36 +173,31 @@ def test_compare_runs_all_five_methods(spark):
 
 
 def test_registered_pageranks_converge(spark):
-    path, got = "/root/testdata/sf0.001", registry.queries()
+    path = "/root/testdata/sf0.001"
     g = design_graph(spark, path)
     edges = [(r.src, r.dst) for r in g.edges.collect()]
     names = [r.id for r in g.nodes.select("id").collect()]
     out = {}
     for a, b in edges:
         out.setdefault(a, []).append(b)
-    one = {(r.run, r.node) for r in runs(g).collect()}
-    for name, starts in (("g_pagerank_converged", one), ("g_pagerank_all", {(r.run, r.node) for r in every_module(g).collect()})):
-        ranks = {}
-        for r in got[name](spark, path).collect():
-            ranks.setdefault(r.run, {})[r.node] = r.score
-        worst = 0
-        for run, seed in starts:
-            x = {seed: 1.0}
-            for _ in range(200):
-                new = {seed: 0.15 + 0.85 * sum(v for n, v in x.items() if n not in out)}
-                for n, v in x.items():
-                    for b in out.get(n, ()):
-                        new[b] = new.get(b, 0.0) + 0.85 * v / len(out[n])
-                error, x = sum(abs(new.get(n, 0) - x.get(n, 0)) for n in {*new, *x}), new
-                if error < 1e-12:
-                    break
-            top = max(x.values())
-            want = {n: v / top for n, v in x.items() if n != seed}
-            have = ranks.get(run, {})
-            worst = max([worst, *(abs(have.get(n, 0) - want.get(n, 0)) for n in {*have, *want})])
-        assert worst < len(names) * 1e-6 / 0.15 + 1e-4
-    four = {(r.run, r.node) for r in got["g_pagerank"](spark, path).collect()}
-    assert four < {(r.run, r.node) for r in got["g_pagerank_converged"](spark, path).collect()}
+    ranks, worst = {}, 0
+    for r in registry.queries()["g_pagerank"](spark, path).collect():
+        ranks.setdefault(r.run, {})[r.node] = r.score
+    for run, seed in {(r.run, r.node) for r in every_module(g).collect()}:
+        x = {seed: 1.0}
+        for _ in range(200):
+            new = {seed: 0.15 + 0.85 * sum(v for n, v in x.items() if n not in out)}
+            for n, v in x.items():
+                for b in out.get(n, ()):
+                    new[b] = new.get(b, 0.0) + 0.85 * v / len(out[n])
+            error, x = sum(abs(new.get(n, 0) - x.get(n, 0)) for n in {*new, *x}), new
+            if error < 1e-12:
+                break
+        top = max(x.values())
+        want = {n: v / top for n, v in x.items() if n != seed}
+        have = ranks.get(run, {})
+        worst = max([worst, *(abs(have.get(n, 0) - want.get(n, 0)) for n in {*have, *want})])
+    assert worst < len(names) * 1e-6 / 0.15 + 1e-4
 
 
 def test_other_designs_do_not_loosen_the_rank(spark):
@@ -276,3 +289,20 @@ def test_vectors_in_blocks(spark):
     one = {tuple(r) for r in T.vector_top_k(v, q, 3).select("query_id", "vec_id", "rank").collect()}
     assert one == {tuple(r) for r in T.vector_top_k(v, q, 3, block=2).select("query_id", "vec_id", "rank").collect()}
     assert all((k, k, 1) in one for k in range(0, 60, 7)) and len(one) == 9 * 3
+
+
+def test_hot_keys_are_split(spark):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", n) for n in range(400)] + [(None, 500)]
+    df = spark.createDataFrame(rows, "key string, n int")
+    ones = spark.createDataFrame([("hot", 1), ("k0", 2), ("k1", 3), (None, 4)], "key string, v int")
+    want = sorted((k, n, {"hot": 1, "k0": 2, "k1": 3}[k]) for k, n in rows if k in ("hot", "k0", "k1"))
+    for hot in (10_000, 20):
+        assert sorted(tuple(r) for r in skew.join_one(df, ones, "key", 401, ["n"], hot).select("key", "n", "v").collect()) == want
+    ranks = skew.ranked(df, ["key"], [F.desc("n")], "k", parts=7).collect()
+    assert len(ranks) == len(rows)
+    for key in {k for k, _ in rows}:
+        assert {r.n: r.k for r in ranks if r.key == key} == {n: k for k, n in enumerate(sorted((n for x, n in rows if x == key), reverse=True), 1)}
+    numbers = [(r.key, r.n, r.i) for r in numbered(df.where("key is not null"), "key", ["n"], "i", parts=5).collect()]
+    assert sorted(numbers, key=lambda r: r[2]) == [(*r, i) for i, r in enumerate(sorted((k, n) for k, n in rows if k is not None), 1)]
+    assert skew.ranked(df.limit(0), ["key"], [F.col("n")], "k").count() == 0 and numbered(df.limit(0), "key", ["n"]).count() == 0

@@ -1,16 +1,20 @@
 """Sources of one design: netlist, constraints, assertions, commits; changes and streams."""
 
 import json
+import random
+import shlex
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from netquarry.functions import scalars as S
+from netquarry.operators import answering as W
 from netquarry.operators import changes as C
 from netquarry.operators import graph as G
 from netquarry.operators import metrics as M
 from netquarry.operators import questions as Q
+from netquarry.operators import results as R
 from netquarry.operators import traverse as T
 from netquarry.plans import registry
 from netquarry.plans.build import Design, build_design
@@ -234,12 +238,9 @@ def test_changed_texts_are_found_anywhere_in_a_line(spark):
         assert {tuple(r) for r in C.matching_constraints(changes, rows, gram).collect()} == want
 
 
-def test_every_variant_of_constraint_changes_is_registered(spark):
-    path = "/root/testdata/sf0.01"
-    got = registry.queries()["c_constraint_changes_all"](spark, path).collect()
+def test_constraint_changes_multiply_numbers(spark):
+    got = registry.queries()["c_constraint_changes"](spark, "/root/testdata/sf0.01").collect()
     assert {r.variant for r in got} == {"halve_period", "double_period", "remove", "double_delay"}
-    removed = {tuple(r) for r in registry.queries()["c_constraint_changes"](spark, path).collect()}
-    assert {(r.constraint_id, r.variant, r.new_text) for r in got if r.variant == "remove"} == removed
     factor = {"halve_period": 0.5, "double_period": 2.0}
     for r in got:
         if r.variant in factor:
@@ -247,6 +248,77 @@ def test_every_variant_of_constraint_changes_is_registered(spark):
             assert now == was * factor[r.variant]
 
 
+def test_shell_words_equal_the_shells(spark):
+    rng = random.Random(1)
+    lines = ["set_load 1 [get_ports {a b}]", 'a "b c" d', "a 'b \"c' d", "x\\ y z", "# c", "a b # c d", "a#b c", '"un closed', "it's", 'a "b\\"c" d', '""', "", "a\\"]
+    lines += ["".join(rng.choice("ab \"'\\#") for _ in range(rng.randrange(1, 14))) for _ in range(800)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [*lines, None]], "l string").select(S.shell_words(F.col("l"))).collect()]
+    for line, words in zip(lines, got):
+        try:
+            want = shlex.split(line, comments=True)
+        except ValueError:
+            want = line.split()
+        assert words == want, line
+    assert got[-1] is None
+
+
+def test_five_methods_side_by_side(spark):
+    nodes = [("d::uart", "Module", "uart", "d", None), ("d::uart::tx", "Port", "tx", "d", None), ("d::spi", "Module", "spi", "d", "serial bus")]
+    g = G.Graph(spark.createDataFrame(nodes, "id string, type string, name string, design string, summary string"), spark.createDataFrame([("d::uart", "d::uart::tx", "has_port")], "src string, dst string, relation string"))
+    asked = spark.createDataFrame([("What ports does module uart have?",), ("What ports does module uart have?",), (None,)], "question string")
+    seen = {(r.method): r for r in W.answers(g, asked, model=lambda ts: [f"{len(t)}" for t in ts], top_k=2).collect()}
+    assert set(seen) == set(W.METHODS) and all(r.error is None and r.answer for r in seen.values())
+    assert seen["graph_only"].answer == "1 Module: uart; 1 Port: tx" and seen["graph_only"].evidence == ["d::uart", "d::uart::tx"]
+    assert seen["model_only"].evidence == [] and "node Module: 2" in seen["model_only"].context
+    assert len(seen["vectors_and_model"].evidence) == 2 and "similarity" in seen["vectors_and_model"].context
+    assert seen["graph_vectors_and_model"].evidence == ["d::spi", "d::uart", "d::uart::tx"]
+
+    def broken(ts):
+        raise RuntimeError("down")
+
+    failed = {r.method: r for r in W.answers(g, asked, model=broken, wait=0.0).collect()}
+    assert failed["graph_only"].error is None and failed["graph_and_model"].error == "RuntimeError: down" and failed["graph_and_model"].answer is None
+    none = {r.method: r.answer for r in W.answers(g, asked, ("graph_and_model",)).collect()}
+    assert "id=d::uart::tx" in none["graph_and_model"]
+    bad = spark.createDataFrame([("d::uart", None)], "node string, broken string")
+    assert W.answers(g, asked, ("graph_only", "vectors_and_model"), vectors=bad).where("error is not null").count() == 1
+    with pytest.raises(ValueError):
+        W.answers(g, asked, ("no_such_method",))
+    assert "node Module: 2" in W.query_prompts(asked.where("question is not null"), "node Module: 2").first().prompt
+
+
+def test_hashed_vectors_follow_words(spark):
+    df = spark.createDataFrame([("a", "uart tx port"), ("b", "port TX uart"), ("c", "clock"), ("d", None)], "key string, text string")
+    v = {r.key: r.embedding for r in W.hashed_vectors(df, "key", "text", 32).collect()}
+    assert v["a"] == v["b"] != v["c"] and not any(v["d"]) and len(v["a"]) == 32
+
+
+def test_questions_and_results_are_saved(spark, tmp_path):
+    rows = [("q1", "What?", "structural", "easy", 1, "gold", ["n"], [["a", "b", "r"]], "d"), ("q2", "Why?", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, R.QUESTION_SCHEMA)
+    R.save_questions(df, str(tmp_path / "q"))
+    got = {r.question_id: r for r in R.load_questions(spark, str(tmp_path / "q")).collect()}
+    assert got["q1"].evidence_edges == [["a", "b", "r"]] and (got["q2"].evidence_nodes, got["q2"].design_name) == ([], "")
+    (tmp_path / "array.json").write_text(json.dumps([{"question_id": "q3", "question_text": "How?"}]))
+    assert [r.question_id for r in R.load_questions(spark, str(tmp_path / "array.json")).collect()] == ["q3"]
+    R.save_results(df.select("question_id", "category"), str(tmp_path / "r"), "category")
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+    made = spark.createDataFrame([("q1", "m", "gold", ["n", "x"]), ("q9", "m", "x", [])], "question_id string, method string, answer string, retrieved array<string>")
+    asked = df.select("question_id", F.col("gold_answer").alias("gold"), F.col("evidence_nodes").alias("evidence"), "category", "difficulty")
+    scored = R.evaluate(asked, made).collect()
+    assert [(r.question_id, r.token_f1, r.evidence_recall, r.evidence_precision, r.hallucinated) for r in scored] == [("q1", 1.0, 1.0, 0.5, False)]
+
+
+def test_several_designs_at_once_keep_apart(spark):
+    rows = [("a", "f.sdc", "create_clock -period 2 -name c [get_ports p]\n"), ("b", "f.sdc", "# x\ncreate_clock -period 4 -name c [get_ports p]\nset_load 1 [get_ports p]\n")]
+    parsed = K.parse_commands(K.scan(spark.createDataFrame(rows, "design string, file_path string, text string")))
+    assert {(r.constraint_id, r.line_number) for r in parsed.collect()} == {("a::sdc::0001", 1), ("b::sdc::0001", 2), ("b::sdc::0002", 3)}
+    nodes = spark.createDataFrame([("a::m::p", "Port", "p", "a"), ("b::m::p", "Port", "p", "b")], "id string, type string, name string, design string")
+    _, edges = K.to_graph(parsed, nodes)
+    applied = {tuple(r) for r in edges[2].select("src", "dst").collect()}
+    assert applied == {("a::sdc::0001", "a::m::p"), ("b::sdc::0001", "b::m::p"), ("b::sdc::0002", "b::m::p")}
+
+
 def test_constraints_are_attributed_to_modules(spark):
     nodes = [("m", "Module", "m_name", "d", False), ("n", "Module", "n_name", "d", True), ("p", "Port", "p", "d", None), ("r", "Register", "r", "d", None), ("k", "Clock", "k", "d", None), ("idle", "Clock", "idle", "d", None)]
     nodes += [(f"c{i}", "Constraint", "x", "d", None) for i in range(6)] + [("c6", "Constraint", "x", "empty", None), ("c7", "Constraint", "x", "flat", None), ("f", "Module", "f_name", "flat", False)]
