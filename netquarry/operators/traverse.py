@@ -214,24 +214,26 @@ def pagerank(graph: Graph, seeds: DataFrame, alpha: float = 0.85, iterations: in
     homes = seeds.join(graph.nodes.select(F.col("id").alias("node"), design), "node").select("run", "design").distinct()
     sized = homes.join(graph.nodes.groupBy(design).agg(F.count("*").alias("n")), "design").groupBy("run").agg(F.sum("n").alias("n"))
     sized = scratch.table(sized, "sized") if tolerance is not None else sized
-    leaf = links.select(F.col("src").alias("node")).distinct().withColumn("inner", F.lit(True))
+    fan = links.select(F.col("src").alias("node"), "dst", "out")
+    inner = fan.select("node").distinct()
+    always = personal.select("run", "node", (F.col("p") * (1 - alpha)).alias("a"), F.lit(0.0).alias("y"))
     x = scratch.table(personal.select("run", "node", F.col("p").alias("x")), "rank")
     for _ in range(iterations):
-        moved = x.join(links.select(F.col("src").alias("node"), "dst", "out"), "node").groupBy("run", F.col("dst").alias("node")).agg(F.sum(F.col("x") / F.col("out")).alias("a"))
-        loose = x.join(leaf, "node", "left").where("inner is null").groupBy("run").agg(F.sum("x").alias("d"))
-        back = personal.join(loose, "run", "left").select("run", "node", (F.col("p") * (alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha))).alias("b"))
-        new = moved.join(back, ["run", "node"], "full").select("run", "node", (alpha * F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("x"))
+        # one aggregation a round: what moves along edges, what goes back, and the rank before it
+        at = x.where("x > 0")
+        moved = at.join(fan, "node").select("run", F.col("dst").alias("node"), (alpha * F.col("x") / F.col("out")).alias("a"), F.lit(0.0).alias("y"))
+        loose = at.join(inner, "node", "left_anti").groupBy("run").agg(F.sum("x").alias("d"))
+        back = loose.join(personal, "run").select("run", "node", (alpha * F.col("d") * F.col("p")).alias("a"), F.lit(0.0).alias("y"))
+        old = at.select("run", "node", F.lit(0.0).alias("a"), F.col("x").alias("y"))
+        new = moved.unionByName(back).unionByName(always).unionByName(old).groupBy("run", "node").agg(F.sum("a").alias("x"), F.sum("y").alias("y"))
         new = scratch.table(new, "rank")
         if tolerance is not None:
-            both = new.join(x.withColumnRenamed("x", "y"), ["run", "node"], "full")
-            worst = both.groupBy("run").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))).alias("e")).join(sized, "run").agg(F.max(F.col("e") / F.col("n"))).first()[0]
-            scratch.drop(x)
-            x = new
-            if worst is None or worst < tolerance:
-                break
-        else:
-            scratch.drop(x)
-            x = new
+            worst = new.groupBy("run").agg(F.sum(F.abs(F.col("x") - F.col("y"))).alias("e")).join(sized, "run").agg(F.max(F.col("e") / F.col("n"))).first()[0]
+        scratch.drop(x)
+        x = new
+        if tolerance is not None and (worst is None or worst < tolerance):
+            break
+    x = x.where("x > 0").select("run", "node", "x")
     top = x.groupBy("run").agg(F.max("x").alias("top"))
     ranked = x.join(top, "run").select("run", "node", (F.col("x") / F.col("top")).alias("score")).where(F.col("score") >= min_score)
     return ranked.join(seeds, ["run", "node"], "left_anti")
@@ -246,20 +248,21 @@ def ranked_with_paths(graph: Graph, seeds: DataFrame, ranked: DataFrame, depth:
 
 
 def lexical(graph: Graph, seeds: DataFrame, fields: tuple[str, ...] = ("name", "raw_line", "property_text", "summary", "message", "constraint_type")) -> DataFrame:
-    """Impact by words: the share of a seed's name parts that occur in a node's texts; hop -1.
+    """Impact by words: the share of a seed's name parts that occur in the texts of a node of its design; hop -1.
 
     A part has at least three letters.  Parts are matched inside words by their
     rarest three-letter piece, each distinct part with each distinct text once.
     """
     have = [f for f in fields if f in graph.nodes.columns]
     text = F.lower(F.concat_ws(" ", *have))
-    names = known_seeds(graph, seeds).join(graph.nodes.select(F.col("id").alias("node"), F.lower("name").alias("name")), "node")
+    design = F.coalesce("design", F.lit("")).alias("design") if "design" in graph.nodes.columns else F.lit("").alias("design")
+    names = known_seeds(graph, seeds).join(graph.nodes.select(F.col("id").alias("node"), F.lower("name").alias("name"), design), "node")
     parts = F.array_distinct(F.filter(F.array_append(F.split("name", "_"), F.col("name")), lambda w: F.length(w) >= 3))
-    words = names.select("run", F.explode(parts).alias("word")).distinct()
-    counts = words.groupBy("run").agg(F.count("*").alias("n_words"))
-    hay = graph.nodes.select(F.col("id").alias("node"), text.alias("line"))
+    words = names.select("run", "design", F.explode(parts).alias("word")).distinct()
+    counts = words.groupBy("run").agg(F.count_distinct("word").alias("n_words"))
+    hay = graph.nodes.select(F.col("id").alias("node"), text.alias("line"), design)
     met = contained(words.select(F.col("word").alias("text")), hay.select("line"), 3)
-    hit = words.join(met.withColumnRenamed("text", "word"), "word").join(hay, "line").select("run", "node", "word")
+    hit = words.join(met.withColumnRenamed("text", "word"), "word").join(hay, ["line", "design"]).select("run", "node", "word")
     scored = hit.groupBy("run", "node").agg(F.count_distinct("word").alias("n")).join(counts, "run")
     out = scored.join(known_seeds(graph, seeds), ["run", "node"], "left_anti")
     return out.select("run", "node", F.least(F.lit(1.0), F.col("n") / F.col("n_words")).alias("risk"), F.lit(-1).alias("hop"))

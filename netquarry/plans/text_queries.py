@@ -161,10 +161,10 @@ def t_key_entities(spark, sf_dir):
     return load(spark, sf_dir, "eval_items").select("item_id", S.key_entities(F.col("gold_answer")).alias("entities")).distinct()
 
 
-@query(f"""WITH {GRAPH_SQL}, w AS (SELECT DISTINCT s.run, unnest(list_distinct(list_filter(list_append(string_split(lower(n.name), '_'), lower(n.name)), lambda x: length(x) >= 3))) AS word FROM seeds s JOIN nodes n ON n.id = s.node),
+@query(f"""WITH {GRAPH_SQL}, w AS (SELECT DISTINCT s.run, n.design, unnest(list_distinct(list_filter(list_append(string_split(lower(n.name), '_'), lower(n.name)), lambda x: length(x) >= 3))) AS word FROM seeds s JOIN nodes n ON n.id = s.node),
 k AS (SELECT run, count(*) AS n FROM w GROUP BY run),
-h AS (SELECT id, lower(concat_ws(' ', name, raw_line, summary)) AS t FROM nodes),
-m AS (SELECT w.run, h.id AS node, count(*) AS n FROM w JOIN h ON contains(h.t, w.word) GROUP BY 1, 2)
+h AS (SELECT id, design, lower(concat_ws(' ', name, raw_line, summary)) AS t FROM nodes),
+m AS (SELECT w.run, h.id AS node, count(*) AS n FROM w JOIN h ON h.design = w.design AND contains(h.t, w.word) GROUP BY 1, 2)
 SELECT m.run, m.node, round(least(1.0, m.n / k.n), 6) AS risk FROM m JOIN k ON k.run = m.run WHERE (m.run, m.node) NOT IN (SELECT run, node FROM seeds)""")
 def g_lexical(spark, sf_dir):
     """Impact by the words of each module's name."""
