@@ -27,6 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one edge, to a root: then a root is the smallest of its component, as edges have a > b."""
+    roles = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return roles.groupBy("a").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up = 1 and root = 1").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; the component is its smallest node.
 
@@ -34,12 +40,8 @@ def connected(edges: DataFrame) -> DataFrame:
     edges does not occur; an empty table gives none.
     """
     tidy = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    at, mark = scratch.table(tidy, "cc"), None
-    while True:
-        new_mark = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new_mark == mark or not new_mark[0]:
-            break
-        mark = new_mark
+    at = scratch.table(tidy, "cc")
+    while not _is_stars(at):
         new = scratch.table(_small_star(_large_star(at)), "cc")
         scratch.drop(at)
         at = new

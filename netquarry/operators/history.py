@@ -12,6 +12,13 @@ def file_history(commits: DataFrame) -> DataFrame:
     return rows.groupBy("design", "file").agg(F.count_distinct("commit_id").alias("n_commits"), F.max("commit_date").alias("last_modified"), F.count_distinct("author").alias("n_authors"))
 
 
+def file_lists(commits: DataFrame) -> DataFrame:
+    """(design, file, kind, value): the authors and the commits of every changed file, a row each, so that no file's list has to fit anywhere."""
+    rows = commits.select("commit_id", "author", "design", F.explode("files_changed").alias("file"))
+    authors = rows.where("author is not null").select("design", "file", F.lit("author").alias("kind"), F.col("author").alias("value"))
+    return authors.unionByName(rows.select("design", "file", F.lit("commit").alias("kind"), F.col("commit_id").alias("value"))).distinct()
+
+
 def module_history(commits: DataFrame) -> DataFrame:
     """(design, module, change_frequency, last_modified, num_authors) of every modified module."""
     rows = commits.select("commit_id", "commit_date", "author", "design", F.explode("modules_modified").alias("module"))

@@ -189,20 +189,20 @@ def _sdc(spark, sf_dir) -> DataFrame:
     n = F.col("name")
     period = F.concat((F.coalesce("b", F.lit(9)) % 50 + 1).cast("string"), F.lit(".0"))
     lines = F.concat(
-        F.lit("# made for "), n, F.lit("\ncreate_clock -period "), period, F.lit(" -name ck_"), n, F.lit(" \\\n    [get_ports clk_"), n, F.lit("]\n"),
-        F.lit("set_input_delay -clock ck_"), n, F.lit(" -max "), (F.coalesce("a", F.lit(3)) % 9).cast("string"), F.lit(".5 [get_ports {tx_data rx["), (F.coalesce("a", F.lit(3)) % 4).cast("string"), F.lit("]}] # late\n\n"),
+        F.lit("# made for "), n, F.lit("\ncreate_clock -period "), period, F.lit(" -name ck_"), n, F.lit(" -waveform {0 5} \\\n    [get_ports clk_"), n, F.lit("]\n"),
+        F.lit("set_input_delay -clock ck_"), n, F.lit(" -max "), (F.coalesce("a", F.lit(3)) % 9).cast("string"), F.lit(".5 -rise -add_delay [get_ports {tx_data rx["), (F.coalesce("a", F.lit(3)) % 4).cast("string"), F.lit("]}] # late\n\n"),
         F.lit("set_multicycle_path 2 -setup -from [get_cells "), F.coalesce("inst", F.lit("u_none")), F.lit("] -to [get_clocks ck_"), n, F.lit("]\nputs done\n"),
-        F.lit("create_generated_clock -name gen_"), n, F.lit(" -source [get_ports clk_"), n, F.lit("] -divide_by 4 [get_pins u_div/q]\nset_false_path -through [get_cells "), n, F.lit("]\n"),
+        F.lit("create_generated_clock -name gen_"), n, F.lit(" -source [get_ports clk_"), n, F.lit("] -divide_by 4 -duty_cycle 40 -add -master_clock main [get_pins u_div/q]\nset_false_path -through [get_cells "), n, F.lit("]\n"),
     )
     return m.join(inst, "module_id", "left").select("design", F.concat(F.lit("c/"), n, F.lit(".sdc")).alias("file_path"), lines.alias("text"))
 
 
 _C = """inst AS (SELECT parent_module AS module_id, min(inst_name) AS inst FROM i GROUP BY 1),
 cmd AS (SELECT m.*, coalesce(inst, 'u_none') AS inst, k.line, 'c/' || name || '.sdc' AS file_path, CASE k.line
-  WHEN 2 THEN 'create_clock -period ' || (coalesce(b, 9) % 50 + 1) || '.0 -name ck_' || name || '  [get_ports clk_' || name || ']'
-  WHEN 3 THEN 'set_input_delay -clock ck_' || name || ' -max ' || (coalesce(a, 3) % 9) || '.5 [get_ports {tx_data rx[' || (coalesce(a, 3) % 4) || ']}]'
+  WHEN 2 THEN 'create_clock -period ' || (coalesce(b, 9) % 50 + 1) || '.0 -name ck_' || name || ' -waveform {0 5}  [get_ports clk_' || name || ']'
+  WHEN 3 THEN 'set_input_delay -clock ck_' || name || ' -max ' || (coalesce(a, 3) % 9) || '.5 -rise -add_delay [get_ports {tx_data rx[' || (coalesce(a, 3) % 4) || ']}]'
   WHEN 5 THEN 'set_multicycle_path 2 -setup -from [get_cells ' || coalesce(inst, 'u_none') || '] -to [get_clocks ck_' || name || ']'
-  WHEN 7 THEN 'create_generated_clock -name gen_' || name || ' -source [get_ports clk_' || name || '] -divide_by 4 [get_pins u_div/q]'
+  WHEN 7 THEN 'create_generated_clock -name gen_' || name || ' -source [get_ports clk_' || name || '] -divide_by 4 -duty_cycle 40 -add -master_clock main [get_pins u_div/q]'
   ELSE 'set_false_path -through [get_cells ' || name || ']' END AS raw_line FROM m LEFT JOIN inst ON inst.module_id = m.module_id, (VALUES (2), (3), (5), (7), (8)) k(line)),
 sdc2 AS (SELECT *, design || '::sdc::' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS constraint_id FROM (SELECT *, row_number() OVER (PARTITION BY design ORDER BY file_path, line) AS n FROM cmd))"""
 
@@ -217,12 +217,13 @@ def k_scan(spark, sf_dir):
 CASE line WHEN 2 THEN ['clk_' || name] WHEN 3 THEN ['tx_data', 'rx[' || (coalesce(a, 3) % 4) || ']'] WHEN 5 THEN [inst, 'ck_' || name] WHEN 7 THEN ['clk_' || name, 'u_div/q'] ELSE [name] END AS targets,
 CASE WHEN line = 2 THEN CAST(coalesce(b, 9) % 50 + 1 AS DOUBLE) END AS period, CASE line WHEN 2 THEN 'ck_' || name WHEN 7 THEN 'gen_' || name END AS clock_name, CASE line WHEN 2 THEN 'clk_' || name WHEN 7 THEN 'u_div/q' END AS clock_port,
 CASE WHEN line = 7 THEN 'clk_' || name END AS source_clock, CAST(CASE WHEN line = 7 THEN 4 ELSE 0 END AS INTEGER) AS divide_by, CASE WHEN line = 3 THEN 'ck_' || name END AS clock, CASE WHEN line = 3 THEN coalesce(a, 3) % 9 + 0.5 END::DOUBLE AS delay_max, CASE WHEN line = 3 THEN coalesce(a, 3) % 9 + 0.5 END::DOUBLE AS delay,
-CASE WHEN line = 5 THEN inst END AS path_from, CASE WHEN line = 5 THEN 'ck_' || name END AS path_to, CASE WHEN line = 8 THEN name END AS path_through, CASE WHEN line = 5 THEN 'true' WHEN line = 8 THEN 'false' ELSE '' END AS setup, CAST(CASE WHEN line = 5 THEN 2 ELSE 0 END AS INTEGER) AS multiplier FROM sdc2""")
+CASE WHEN line = 2 THEN '0 5' END AS waveform, CASE line WHEN 2 THEN 'false' WHEN 7 THEN 'true' ELSE '' END AS add, CASE WHEN line = 7 THEN 40.0 END::DOUBLE AS duty_cycle, CASE WHEN line = 7 THEN 'main' END AS master_clock, CASE WHEN line = 3 THEN 'true false true' ELSE '' END AS edges, CASE WHEN line = 5 THEN inst END AS path_from, CASE WHEN line = 5 THEN 'ck_' || name END AS path_to, CASE WHEN line = 8 THEN name END AS path_through, CASE WHEN line = 5 THEN 'true' WHEN line = 8 THEN 'false' ELSE '' END AS setup, CAST(CASE WHEN line = 5 THEN 2 ELSE 0 END AS INTEGER) AS multiplier FROM sdc2""")
 def k_parsed(spark, sf_dir):
     """The arguments of their commands."""
     p = constraints.parse_commands(constraints.scan(_sdc(spark, sf_dir))).fillna(0, ["divide_by", "multiplier"])
-    p = p.withColumn("setup", F.coalesce(F.col("setup").cast("string"), F.lit("")))
-    return p.select("constraint_id", "constraint_type", "targets", "period", "clock_name", "clock_port", "source_clock", "divide_by", "clock", "delay_max", "delay", "path_from", "path_to", "path_through", "setup", "multiplier")
+    p = p.withColumn("edges", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("rise", "fall", "add_delay")]))
+    p = p.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("setup", "add")})
+    return p.select("constraint_id", "constraint_type", "targets", "period", "clock_name", "clock_port", "source_clock", "divide_by", "clock", "delay_max", "delay", "waveform", "add", "duty_cycle", "master_clock", "edges", "path_from", "path_to", "path_through", "setup", "multiplier")
 
 
 _WORDS = r"regexp_extract_all(raw_line, '[^\s]+')"

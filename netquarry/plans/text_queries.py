@@ -49,6 +49,12 @@ def t_file_history(spark, sf_dir):
     return H.file_history(load(spark, sf_dir, "commits")).select("design", "file", "n_commits", "last_modified", "n_authors")
 
 
+@query("""WITH f AS (SELECT design, author, commit_id, unnest(files_changed) AS file FROM commits) SELECT DISTINCT design, file, 'author' AS kind, author AS value FROM f WHERE author IS NOT NULL UNION SELECT design, file, 'commit', commit_id FROM f""")
+def t_file_lists(spark, sf_dir):
+    """The authors and commits of each file."""
+    return H.file_lists(load(spark, sf_dir, "commits"))
+
+
 @query("""SELECT design, m AS module, count(DISTINCT commit_id) AS change_frequency, max(commit_date) AS last_modified, count(DISTINCT author) AS num_authors
 FROM (SELECT commit_id, commit_date, author, design, unnest(modules_modified) AS m FROM commits) GROUP BY 1, 2""")
 def t_module_history(spark, sf_dir):

@@ -56,6 +56,13 @@ def parse_commands(rows: DataFrame, short_targets: bool = False) -> DataFrame:
         _pick(kind, ("create_generated_clock",), bracket(S.flag(line, "source"))).alias("source_clock"),
         _pick(kind, ("create_generated_clock",), S.flag(line, "divide_by").try_cast("int")).alias("divide_by"),
         _pick(kind, ("create_generated_clock",), S.flag(line, "multiply_by").try_cast("int")).alias("multiply_by"),
+        _pick(kind, ("create_clock",), F.trim(F.translate(S.flag(line, "waveform"), "{}", "  "))).alias("waveform"),
+        _pick(kind, ("create_clock", "create_generated_clock"), S.has_flag(line, "add")).alias("add"),
+        _pick(kind, ("create_generated_clock",), S.flag(line, "duty_cycle").try_cast("double")).alias("duty_cycle"),
+        _pick(kind, ("create_generated_clock",), bracket(S.flag(line, "master_clock"))).alias("master_clock"),
+        _pick(kind, delays, S.has_flag(line, "rise")).alias("rise"),
+        _pick(kind, delays, S.has_flag(line, "fall")).alias("fall"),
+        _pick(kind, delays, S.has_flag(line, "add_delay")).alias("add_delay"),
         _pick(kind, delays, bracket(S.flag(line, "clock"))).alias("clock"),
         _pick(kind, delays, S.flag(line, "max").try_cast("double")).alias("delay_max"),
         _pick(kind, delays, S.flag(line, "min").try_cast("double")).alias("delay_min"),
