@@ -297,6 +297,9 @@ def explain(words: list[str], names: dict[tuple[str, ...], str], by_rest: dict[t
             yield "short", words[i], w, 1.0 / len(missing)
 
 
+_VOTES = "kind string, what string, meaning string, votes double"
+
+
 def learn(values: DataFrame, references: list[str], share: float = SHARE) -> Learnt:
     """Decoration and abbreviations that at least ``share`` of the distinct values shows.
 
@@ -321,9 +324,43 @@ def learn(values: DataFrame, references: list[str], share: float = SHARE) -> Lea
         cols = list(zip(*votes)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(votes.values()), pa.float64())], names=["kind", "what", "meaning", "votes"])
 
-    total = values.count()
-    found = values.select("value").mapInArrow(run, "kind string, what string, meaning string, votes double")
-    rows = found.groupBy("kind", "what", "meaning").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= max(LEAST_VOTES, share * total)).collect()
+    return _learnt(values.select("value").mapInArrow(run, _VOTES), max(LEAST_VOTES, share * values.count()), lexicon)
+
+
+def learn_joined(values: DataFrame, references: DataFrame, lexicon: set[str], share: float = SHARE) -> Learnt:
+    """The same for a long reference list: what a value's words leave over is found by joins on sorted words."""
+    key = lambda ws: F.array_join(F.array_sort(ws), "_")
+    names = references.select(F.split(F.lower("canonical_name"), "_").alias("ws")).select(key(F.col("ws")).alias("key"), F.array_sort("ws").alias("ws")).dropDuplicates(["key"])
+    spots = names.select("ws", F.posexplode("ws").alias("k", "meaning"))
+    rest = F.filter(F.col("ws"), lambda x, i: i != F.col("k"))
+    rests = spots.select(F.array_join(rest, "_").alias("key"), "meaning").distinct()
+    rests = rests.join(rests.groupBy("key").agg(F.count("*").alias("missing")), "key")
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        for batch in batches:
+            rows = []
+            for value in batch.column("value").to_pylist():
+                words = typed_words(value)
+                n = len(words)
+                spans = [(i, j) for i in range(min(4, n)) for j in range(n, max(i, n - 3), -1) if i or j < n]
+                rows.extend((value, "_".join(sorted(words[i:j])), place, " ".join(words[:i]), " ".join(words[j:]), None) for place, (i, j) in enumerate(spans))
+                rows.extend((value, "_".join(sorted(words[:i] + words[i + 1 :])), -1, None, None, words[i]) for i in range(n) if n > 1)
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["value", "key", "place", "head", "tail", "word"])
+
+    cut = scratch.table(values.select("value").mapInArrow(cuts, "value string, key string, place int, head string, tail string, word string"), "cuts")
+    whole = cut.where("place >= 0").join(names.select("key"), "key", "left_semi").groupBy("value").agg(F.min(F.struct("place", "head", "tail")).alias("b"))
+    whole = scratch.table(whole.select("value", "b.head", "b.tail"), "decorated")
+    one = lambda kind: whole.where(F.col(kind) != "").select(F.lit(kind).alias("kind"), F.col(kind).alias("what"), F.lit("").alias("meaning"), F.lit(1.0).alias("votes"))
+    short = cut.where("place < 0").join(whole.select("value"), "value", "left_anti").join(rests, "key")
+    known = references.select(F.explode(F.split(F.lower("canonical_name"), "_")).alias("word")).distinct()
+    short = short.join(known, "word", "left_anti").select(F.lit("short").alias("kind"), F.col("word").alias("what"), "meaning", (1.0 / F.col("missing")).alias("votes"))
+    return _learnt(one("head").unionByName(one("tail")).unionByName(short), max(LEAST_VOTES, share * values.count()), lexicon)
+
+
+def _learnt(votes: DataFrame, least: float, lexicon: set[str]) -> Learnt:
+    rows = votes.groupBy("kind", "what", "meaning").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= least).collect()
     sums: Counter = Counter()
     for r in rows:
         if r.kind == "short":
@@ -334,7 +371,7 @@ def learn(values: DataFrame, references: list[str], share: float = SHARE) -> Lea
             short[r.what].append(r.meaning)
     # letters in order tell the word, where they are in one of those that the votes leave
     short = {a: [w for w in ws if in_order(a, w)] or ws for a, ws in short.items()}
-    affixes = {kind: frozenset(t for r in rows if r.kind == kind and not (t := tuple(r.what.split(" "))) in names and not all(w in lexicon for w in t)) for kind in ("head", "tail")}
+    affixes = {kind: frozenset(tuple(r.what.split(" ")) for r in rows if r.kind == kind and not all(w in lexicon for w in r.what.split(" "))) for kind in ("head", "tail")}
     return Learnt(affixes["head"], affixes["tail"], {k: tuple(v) for k, v in short.items()})
 
 
@@ -454,7 +491,7 @@ def match_names(values: DataFrame, references: DataFrame, threshold: float = THR
     listed = references.select("ref_id", "canonical_name").where("ref_id is not null and canonical_name is not null")
     head = listed.limit(in_task + 1).collect()  # the check of the size that the index may have in a task
     if len(head) > in_task:
-        return accepted(_joined(distinct, listed, threshold - margin), threshold, margin)
+        return accepted(_joined(distinct, listed, threshold - margin, share), threshold, margin)
     refs = sorted((r[0], r[1]) for r in head)
     learnt = learn(distinct, [r for _, r in refs], share) if refs else Learnt()
 
@@ -469,7 +506,7 @@ def match_names(values: DataFrame, references: DataFrame, threshold: float = THR
     return accepted(distinct.mapInArrow(run, MATCH), threshold, margin)
 
 
-def _joined(values: DataFrame, references: DataFrame, least: float) -> DataFrame:
+def _joined(values: DataFrame, references: DataFrame, least: float, share: float = SHARE) -> DataFrame:
     """The same scores for a long reference list: its gram index is a table, joined by the rarest grams of each value.
 
     The lexicon of single words (not of names) is what the tasks get; its size is checked.
@@ -480,6 +517,7 @@ def _joined(values: DataFrame, references: DataFrame, least: float) -> DataFrame
         raise ValueError(f"the reference list has more than {LEXICON} different words")
     total = references.count()
     rare = 1 + math.log(total or 1)
+    learnt = learn_joined(values, references, words, share) if total else Learnt()
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,7 +526,7 @@ def _joined(values: DataFrame, references: DataFrame, least: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.float64()))], names=["ref_id", "gram", "n"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normaliser = Normaliser(words)
+        normaliser = Normaliser(words, learnt)
         for batch in batches:
             rows = [(v, p, c, g, n) for v in batch.column("value").to_pylist() for p, choices in enumerate(normaliser.tokens(v)) for c, choice in enumerate(choices) for g, n in grams([choice]).items()]
             cols = list(zip(*rows)) or [[]] * 5

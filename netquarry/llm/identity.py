@@ -187,7 +187,7 @@ def aliases(read: DataFrame, pet_names: dict[str, str]) -> DataFrame:
     name = full.where("source = 'name'").select("identity", "surname", F.col("given").alias("word"))
     mail = full.where("source = 'mail'").select("identity", "surname", F.col("given").alias("meant"))
     votes = name.join(mail, ["identity", "surname"]).where("word <> meant").groupBy("word", "meant").agg(F.count_distinct("surname").alias("votes"))
-    votes = scratch.table(votes.where(F.col("votes") >= ALIAS), "votes")
+    votes = votes.where(F.col("votes") >= ALIAS)
     with_surnames = name.groupBy("word").agg(F.count_distinct("surname").alias("surnames"))
     back = votes.select(F.col("word").alias("meant"), F.col("meant").alias("word"), F.col("votes").alias("back"))
     kept = votes.join(with_surnames, "word").where(F.col("votes") >= ALIAS_SHARE * F.col("surnames")).join(back, ["word", "meant"], "left")
@@ -197,7 +197,7 @@ def aliases(read: DataFrame, pet_names: dict[str, str]) -> DataFrame:
     further = best.select(F.col("word").alias("meant"), F.col("meant").alias("further"))
     best = best.join(further, "meant", "left").select("word", F.coalesce("further", "meant").alias("meant")).where("word <> meant")
     fixed = read.sparkSession.createDataFrame(sorted(pet_names.items()), "word string, meant string") if pet_names else best.limit(0)
-    return scratch.table(best.unionByName(fixed.join(best.select("word"), "word", "left_anti")), "aliases")
+    return best.unionByName(fixed.join(best.select("word"), "word", "left_anti"))
 
 
 def _common_names(read: DataFrame) -> tuple[DataFrame, int]:
@@ -206,9 +206,9 @@ def _common_names(read: DataFrame) -> tuple[DataFrame, int]:
     ``partners`` is the number of different words beside it, or beside the common
     name that it is one error away from if that has ``MENDED`` times as many.
     """
-    pairs = scratch.table(read.where("given is not null and initial <> '#'").select(F.col("given").alias("word"), F.col("other")).distinct(), "full")
-    common = max(COMMON, round(COMMON_SHARE * pairs.count()))
+    pairs = read.where("given is not null and initial <> '#'").select(F.col("given").alias("word"), F.col("other")).distinct()
     counts = scratch.table(pairs.groupBy("word").agg(F.count("*").alias("partners")), "partners")
+    common = max(COMMON, round(COMMON_SHARE * (counts.agg(F.sum("partners")).first()[0] or 0)))
     usual = counts.where(F.col("partners") >= common).select(F.col("word").alias("given"), F.col("partners").alias("p2"), F.explode(deletions(F.col("word"))).alias("key"))
     keyed = counts.select("word", "partners", F.explode(deletions(F.col("word"))).alias("key")).join(usual, "key")
     mended = keyed.where(F.col("p2") >= MENDED * F.col("partners")).where(one_error_apart(F.col("word"), F.col("given")))
@@ -224,7 +224,6 @@ def _teams(read: DataFrame, records: DataFrame) -> DataFrame:
     first = F.struct(F.col("known").isNull(), ~F.col("oriented"), F.length("surname") * -1, "surname")
     columns = [F.col(c) for c in read.columns if c not in ("identity", "source")]
     one = named.groupBy("identity", "source").agg(F.min_by(F.struct(*columns), first).alias("r")).select("identity", "source", "r.*").select(read.columns)
-    one = scratch.table(one, "teams")
     functions = one.select("given", "surname").distinct()
     box = read.where("source = 'mail' and initial = '#' and given is not null").join(functions, ["given", "surname"], "left_semi").select(read.columns)
     return one.withColumn("oriented", F.lit(True)).unionByName(box.withColumn("oriented", F.lit(True)))
@@ -272,7 +271,7 @@ def _valid_readings(records: DataFrame, pet_names: dict[str, str]) -> tuple[Data
     same = F.col("own_surname").isNull() | (F.levenshtein("own_surname", "surname") <= 2)
     mail_ok = mail_read.join(own, "identity", "left").where(same).select(read.columns)
     valid = scratch.table(named.unionByName(mail_ok).withColumn("full", F.col("given").isNotNull()).drop("oriented", "source", "other").distinct(), "valid")
-    scratch.drop(read, known_as, words, good, surnames, weak)
+    scratch.drop(read, words, good, surnames, weak)
     return valid, common
 
 

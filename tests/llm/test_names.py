@@ -47,7 +47,9 @@ def test_decoration_and_abbreviations_are_learnt_from_the_table(spark):
     learnt = C.learn(values, refs)
     assert (learnt.heads, learnt.tails) == ({("core", "top")}, {("o",)}) and learnt.abbreviations == {"rdy": ("ready",), "vld": ("valid",)}
     table = spark.createDataFrame(list(enumerate(refs)), "ref_id bigint, canonical_name string")
+    assert C.learn_joined(values, table, {w for r in refs for w in r.split("_")}) == learnt
     got = {r.value: r.ref_id for r in C.match_names(values, table).collect()}
+    assert got == {r.value: r.ref_id for r in C.match_names(values, table, in_task=0).collect()}
     assert all(got[v] == refs.index(v.replace("core_top.", "").replace("_o", "").replace("rdy", "ready").replace("vld", "valid")) for v in typed[:-1])
 
 
