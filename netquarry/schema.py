@@ -40,6 +40,3 @@ TRUTH_FALLBACK = (
     "depended_by", "instantiates", "has_port", "has_instance", "contains_register", "has_parameter", "constrained_by", "drives",
     "clocked_by", "applies_to", "derived_from", "references_clock", "verified_by", "verifies", "covers",
 )
-
-NODE_SCHEMA = "id string, type string, name string, design string, attrs map<string,string>"
-EDGE_SCHEMA = "src string, dst string, relation string, attrs map<string,string>"
