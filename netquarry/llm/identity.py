@@ -16,7 +16,8 @@ only adds what a table is too small to show.
 
 A team is its organisation and what its name has besides, so that teams of one
 organisation stay apart whatever their function is called; the organisation is the
-word that is the domain of a mailbox, or else the longest.
+word that is the domain of a mailbox or close to it, or that stands beside a usual
+function, or else the longest.
 
 What counts as a common name is a share of the table, not a number, so that
 decisions do not change with its size.
@@ -192,6 +193,9 @@ def aliases(read: DataFrame, pet_names: dict[str, str]) -> DataFrame:
     back = votes.select(F.col("word").alias("meant"), F.col("meant").alias("word"), F.col("votes").alias("back"))
     kept = votes.join(with_surnames, "word").where(F.col("votes") >= ALIAS_SHARE * F.col("surnames")).join(back, ["word", "meant"], "left")
     kept = kept.where(F.col("back").isNull() | (F.col("votes") > F.col("back")) | ((F.col("votes") == F.col("back")) & (F.col("word") > F.col("meant"))))
+    # of a letter with dots and the same letter with an e, the plain letter is kept: misspellings are nearer to it
+    plain = F.regexp_replace("meant", "([aou])e", "$1") == F.col("word")
+    kept = kept.select(F.when(plain, F.col("meant")).otherwise(F.col("word")).alias("word"), F.when(plain, F.col("word")).otherwise(F.col("meant")).alias("meant"), "votes")
     best = scratch.table(kept.groupBy("word").agg(F.max(F.struct("votes", "meant")).getField("meant").alias("meant")), "aliases")
     # a form of a form means what that means
     further = best.select(F.col("word").alias("meant"), F.col("meant").alias("further"))
@@ -218,10 +222,19 @@ def _common_names(read: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _teams(read: DataFrame, records: DataFrame) -> DataFrame:
-    """The one reading of each team: its organisation is a mailbox's domain, or else its longest word; mailboxes only of such teams."""
-    domains = records.where("mail like '%@%'").select(F.lower(F.regexp_extract("mail", r"@([^.@]+)[^@]*$", 1)).alias("surname")).distinct()
-    named = read.where("source = 'name' and initial = '#'").join(domains.withColumn("known", F.lit(True)), "surname", "left")
-    first = F.struct(F.col("known").isNull(), ~F.col("oriented"), F.length("surname") * -1, "surname")
+    """The one reading of each team, and of mailboxes of such teams.
+
+    Its organisation is the word that is a mailbox's domain, or else close to that of
+    its own mailbox, or beside a usual function, or the longest.
+    """
+    domain = F.lower(F.regexp_extract("mail", r"@([^.@]+)[^@]*$", 1))
+    boxes = records.where("mail like '%@%'").select("identity", domain.alias("domain"))
+    domains = boxes.select(F.col("domain").alias("surname")).distinct().withColumn("known", F.lit(True))
+    named = read.where("source = 'name' and initial = '#'").join(domains, "surname", "left").join(boxes, "identity", "left")
+    # what stands beside a known organisation is a function
+    usual = named.where("known").select("given").distinct().withColumn("usual", F.lit(True))
+    named = named.join(usual, "given", "left").withColumn("near", F.coalesce(F.levenshtein("surname", "domain") <= 2, F.lit(False)))
+    first = F.struct(F.col("known").isNull(), ~F.col("near"), F.col("usual").isNull(), ~F.col("oriented"), F.length("surname") * -1, "surname")
     columns = [F.col(c) for c in read.columns if c not in ("identity", "source")]
     one = named.groupBy("identity", "source").agg(F.min_by(F.struct(*columns), first).alias("r")).select("identity", "source", "r.*").select(read.columns)
     functions = one.select("given", "surname").distinct()
