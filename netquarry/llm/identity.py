@@ -63,8 +63,8 @@ ALIAS, ALIAS_SHARE = 3, 0.05  # surnames that show a short form, and their share
 
 # Usual English short forms of given names that mean one name
 PET_NAMES = {
-    "tony": "anthony", "danny": "daniel", "dan": "daniel", "eddie": "edward", "beth": "elizabeth", "liz": "elizabeth", "betty": "elizabeth",
-    "jenny": "jennifer", "jen": "jennifer", "kathy": "katherine", "peggy": "margaret", "maggie": "margaret", "meg": "margaret",
+    "tony": "anthony", "danny": "daniel", "dan": "daniel", "ed": "edward", "eddie": "edward", "beth": "elizabeth", "liz": "elizabeth", "betty": "elizabeth",
+    "jenny": "jennifer", "jen": "jennifer", "kate": "katherine", "kathy": "katherine", "peggy": "margaret", "maggie": "margaret", "meg": "margaret",
     "mike": "michael", "mick": "michael", "nick": "nicholas", "bob": "robert", "rob": "robert", "bobby": "robert", "tom": "thomas",
     "tommy": "thomas", "vicky": "victoria", "bill": "william", "will": "william", "billy": "william",
 }
@@ -178,24 +178,26 @@ def one_error_apart(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | swapped
 
 
-def aliases(read: DataFrame, pet_names: dict[str, str]) -> DataFrame:
-    """(word, meant): short forms and other spellings of given names.
+def aliases(read: DataFrame, records: DataFrame, pet_names: dict[str, str]) -> DataFrame:
+    """(word, meant): short forms and other spellings of given names, the rarer form to the more frequent one.
 
-    Learnt from records whose name and mailbox agree in the surname: for at least
-    ``ALIAS`` surnames, and ``ALIAS_SHARE`` of the surnames that the form occurs with.
+    Learnt from names with one surname that stand beside one another: a record's
+    name and its own mailbox, and the names of records with one mailbox (each to
+    the most frequent of them).  A form counts that does so for at least ``ALIAS``
+    surnames, and for ``ALIAS_SHARE`` of the surnames that it occurs with.
     """
     full = read.where("given is not null and initial <> '#'")
     name = full.where("source = 'name'").select("identity", "surname", F.col("given").alias("word"))
-    mail = full.where("source = 'mail'").select("identity", "surname", F.col("given").alias("meant"))
-    votes = name.join(mail, ["identity", "surname"]).where("word <> meant").groupBy("word", "meant").agg(F.count_distinct("surname").alias("votes"))
-    votes = votes.where(F.col("votes") >= ALIAS)
-    with_surnames = name.groupBy("word").agg(F.count_distinct("surname").alias("surnames"))
-    back = votes.select(F.col("word").alias("meant"), F.col("meant").alias("word"), F.col("votes").alias("back"))
-    kept = votes.join(with_surnames, "word").where(F.col("votes") >= ALIAS_SHARE * F.col("surnames")).join(back, ["word", "meant"], "left")
-    kept = kept.where(F.col("back").isNull() | (F.col("votes") > F.col("back")) | ((F.col("votes") == F.col("back")) & (F.col("word") > F.col("meant"))))
-    # of a letter with dots and the same letter with an e, the plain letter is kept: misspellings are nearer to it
-    plain = F.regexp_replace("meant", "([aou])e", "$1") == F.col("word")
-    kept = kept.select(F.when(plain, F.col("meant")).otherwise(F.col("word")).alias("word"), F.when(plain, F.col("word")).otherwise(F.col("meant")).alias("meant"), "votes")
+    own = name.join(full.where("source = 'mail'").select("identity", "surname", F.col("given").alias("other")), ["identity", "surname"]).select("surname", "word", "other")
+    boxed = name.join(records.where("mail like '%@%'").select("identity", F.lower("mail").alias("box")), "identity").groupBy("box", "surname", "word").agg(F.count("*").alias("n"))
+    hub = boxed.groupBy("box", "surname").agg(F.max(F.struct("n", "word")).getField("word").alias("other"))
+    beside = own.unionByName(boxed.join(hub, ["box", "surname"]).select("surname", "word", "other")).where("word <> other")
+    known = name.groupBy("word").agg(F.count_distinct("surname").alias("surnames"))
+    both = beside.join(known, "word", "left").join(known.select(F.col("word").alias("other"), F.col("surnames").alias("others")), "other", "left").fillna(0, ["surnames", "others"])
+    rarer = F.struct("surnames", "word") < F.struct(F.col("others").alias("surnames"), F.col("other").alias("word"))
+    turned = both.select("surname", F.when(rarer, F.col("word")).otherwise(F.col("other")).alias("word"), F.when(rarer, F.col("other")).otherwise(F.col("word")).alias("meant"), F.least("surnames", "others").alias("surnames"))
+    votes = turned.groupBy("word", "meant").agg(F.count_distinct("surname").alias("votes"), F.max("surnames").alias("surnames"))
+    kept = votes.where((F.col("votes") >= ALIAS) & (F.col("votes") >= ALIAS_SHARE * F.col("surnames")))
     best = scratch.table(kept.groupBy("word").agg(F.max(F.struct("votes", "meant")).getField("meant").alias("meant")), "aliases")
     # a form of a form means what that means
     further = best.select(F.col("word").alias("meant"), F.col("meant").alias("further"))
@@ -245,7 +247,7 @@ def _teams(read: DataFrame, records: DataFrame) -> DataFrame:
 def _valid_readings(records: DataFrame, pet_names: dict[str, str]) -> tuple[DataFrame, int]:
     """Readings whose surname is one, each record's name before its mailbox; and from how many partners a name is common."""
     raw = scratch.table(records.mapInArrow(_read_all, _READ), "readings")
-    known_as = aliases(raw, pet_names)
+    known_as = aliases(raw, records, pet_names)
     people = raw.where("not (initial = '#' and given is not null)")
     meant = people.join(known_as.select(F.col("word").alias("given"), F.col("meant").alias("g2")), "given", "left").join(known_as.select(F.col("word").alias("other"), F.col("meant").alias("o2")), "other", "left")
     meant = meant.withColumn("given", F.coalesce("g2", "given")).withColumn("other", F.coalesce("o2", "other")).select(raw.columns)
