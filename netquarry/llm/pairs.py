@@ -7,7 +7,7 @@ Rules, in the order in which a single defect is chosen; every one that holds is
 4. ``other_language``: the answer's letters are of another script than the
    question's, or, within the Latin script, its function words are those of another
    language; where function words do not tell, character trigram profiles do, which
-   are fitted on questions of the table itself (``fit_profiles``);
+   are fitted on all questions of the table itself (``fit_profiles``);
 5. ``truncated``: an open code fence, bracket, quotation or backtick, a list shorter
    than announced, a trailing conjunction or comma, or prose without an end.
 
@@ -161,31 +161,40 @@ def prose(text: str) -> str:
     return _CODE.sub(" ", _FENCE.sub(" ", text)) if "`" in text or "_" in text or any(map(str.isdigit, text)) else text
 
 
-FIT = 20_000  # questions that profiles are fitted on: the bound of the sample
+# The smoothing of profiles, in trigrams, and the number of questions that it is weighed against; all are counted
+SMOOTHING, SCALE = 20_000, 20_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿąćęłńśźżßœ"
+_NO_LETTERS = re.compile(f"[^ {_LETTERS}]+")
 
 
 def _trigrams(plain: str) -> list[str]:
-    folded = " " + " ".join("".join(c for c in w if c in _LETTERS) for w in _PROSE.findall(plain.lower())) + " "
+    folded = f" {_NO_LETTERS.sub('', ' '.join(_PROSE.findall(plain.lower())))} "
     return [folded[i : i + 3] for i in range(len(folded) - 2)]
 
 
+def told(plain: str) -> str | None:
+    """The language of the Latin script that function words tell clearly enough to learn from, if any."""
+    v = votes(plain)
+    second, first = sorted(v.values())[-2:]
+    return max(v, key=v.get) if first >= 4 and first >= 2 * second and script(plain)[0] == "Latin" else None
+
+
 class Profiles:
-    """Character trigrams of languages, with how likely each is; at most the cube of the alphabet a language."""
-
-    def __init__(self, texts: list[str]):
-        counts: dict[str, Counter] = {}
-        for text in texts:
-            plain = prose(text)
-            v = votes(plain)
-            first, second = sorted(v.values())[-1], sorted(v.values())[-2]
-            if script(plain)[0] == "Latin" and first >= 4 and first >= 2 * second:
-                counts.setdefault(max(v, key=v.get), Counter()).update(_trigrams(plain))
+    """Character trigrams of languages, with how likely each is; at most the cube of the alphabet a language.
+
+    ``counts`` has how often each occurs in all of so many ``questions``.  The counts of larger
+    tables are weighed as if of ``SCALE`` questions: else what an unseen trigram costs would grow with
+    the table, until one in a name outweighed a sentence.  A rare language keeps its counts up to the weight of the smoothing.
+    """
+
+    def __init__(self, counts: dict[str, dict[str, int]], questions: int):
         self.model = {}
         for lang, c in counts.items():
             total = sum(c.values())
             if total >= 2_000:
-                self.model[lang] = ({g: math.log((n + 0.5) / (total + 20_000)) for g, n in c.items()}, math.log(0.5 / (total + 20_000)))
+                weight = min(1.0, max(SCALE / questions, SMOOTHING / total))
+                mass = total * weight + SMOOTHING
+                self.model[lang] = ({g: math.log((n * weight + 0.5) / mass) for g, n in c.items()}, math.log(0.5 / mass))
 
     def language(self, plain: str) -> tuple[str | None, float]:
         """The language most like a text, and by how much a trigram it leads the next."""
@@ -196,10 +205,28 @@ class Profiles:
         return scores[0][1], scores[0][0] - scores[1][0]
 
 
-def fit_profiles(pairs: DataFrame, most: int = FIT) -> Profiles:
-    """Profiles of the languages of at most ``most`` questions, chosen by a hash of their text."""
+def fit_profiles(pairs: DataFrame) -> Profiles:
+    """Profiles of the languages of all questions, each distinct one once: counted where they lie, only the sums come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {"": Counter()}  # how many questions are read stands under no language
+        for batch in batches:
+            counts[""][""] += batch.num_rows
+            for question in batch.column("question").to_pylist():
+                plain = prose(question)
+                lang = told(plain)
+                if lang:
+                    counts.setdefault(lang, Counter()).update(_trigrams(plain))
+        for lang, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
+
     questions = pairs.select("question").where("question is not null").distinct()
-    return Profiles([r[0] for r in questions.orderBy(F.xxhash64("question"), "question").limit(most).collect()])
+    sums = questions.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[str, int]] = {}
+    for lang, gram, n in sums.collect():
+        counts.setdefault(lang, {})[gram] = n
+    read = counts.pop("", {"": 0})[""]
+    return Profiles(counts, read)
 
 
 def is_foreign(question: str | None, answer: str, profiles: Profiles | None = None) -> bool:
@@ -311,9 +338,9 @@ def defects(question: str | None, answer: str | None, profiles: Profiles | None
     return out
 
 
-def flag_pairs(pairs: DataFrame, fit: int = FIT) -> DataFrame:
+def flag_pairs(pairs: DataFrame, fit: bool = True) -> DataFrame:
     """(pair_id, defects array<string>) of each row of ``pairs(pair_id bigint, question, answer)``; no defect gives an empty array."""
-    profiles = fit_profiles(pairs, fit) if fit else None
+    profiles = fit_profiles(pairs) if fit else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

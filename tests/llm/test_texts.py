@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -238,6 +239,27 @@ def test_profiles_tell_what_function_words_do_not(spark):
     assert not P.fit_profiles(df.limit(0)).model
 
 
+def test_profiles_count_every_question(spark):
+    common = spark.range(40_000).selectExpr("id AS pair_id", "concat('Which ports does the module m_', id, ' have in the design?') AS question", "'' AS answer")
+    rare = spark.range(60).selectExpr("id", "concat('Quels ports possède le module n_', id, ' et dans la puce?')", "''")
+    profiles = P.fit_profiles(common.union(rare).union(rare).union(spark.range(5).selectExpr("id", "null", "''")))
+    assert set(profiles.model) == {"en", "fr"}
+    counts = {lang: {g: n * of for g, n in Counter(P._trigrams(P.prose(q))).items()} for lang, of, q in (("en", 40_000, "Which ports does the module m_1 have in the design?"), ("fr", 60, "Quels ports possède le module n_1 et dans la puce?"))}
+    assert profiles.model == P.Profiles(counts, 40_060).model
+    q = "Quels ports possède le module x_y ?"
+    assert P.defects(q, "Module x_y has ports: a_b, c_d.", profiles) == ["other_language"]
+    assert P.defects(q, "Le module x_y possède ports : a_b, c_d.", profiles) == []
+
+
+def test_larger_tables_of_the_same_texts_give_the_same_language():
+    texts = {"en": "Which ports does the module have in the design?", "fr": "Quels ports possède le module et dans la puce?"}
+    counts = {lang: Counter({g: n * 1_000 for g, n in Counter(P._trigrams(t)).items()}) for lang, t in texts.items()}
+    few, many = (P.Profiles({lang: {g: n * k for g, n in c.items()} for lang, c in counts.items()}, 20_000 * k) for k in (1, 1_000))
+    for plain in ("Le module possède ports mosi, miso, rdata", "Module has ports mosi, wdata, scl", "qwz xkj vvb zzq"):
+        (a, lead), (b, other) = few.language(plain), many.language(plain)
+        assert a == b and lead == pytest.approx(other), plain
+
+
 def test_every_defect_is_told():
     assert P.defects("Nenne die Ports von x_y", "Nenne die Ports von x_y") == ["copied_question", "truncated"]
     assert P.defects("Why is the module x_y risky?", "Leider darf ich dazu keine Auskunft geben, weil das Modul nicht") == ["refusal", "other_language", "truncated"]
