@@ -139,7 +139,7 @@ _LABELS = f"""labels AS (SELECT 0 AS k, run, node, CAST(1.0 AS DOUBLE) AS risk,
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {_LABELS} SELECT run, node, CAST(hop AS INTEGER) AS hop, round(risk, 6) AS risk FROM labels WHERE k = 20 AND node <> run")
 def g_weighted_label(spark, sf_dir):
     """Impact of every module by best-first labels; in SQL, labels are derived from those of the round before, twenty times."""
-    return _short(T.weighted_bfs(*_g(spark, sf_dir), paths=False))
+    return _short(T.weighted_bfs(*_g(spark, sf_dir), paths=False, columns=("run", "node", "hop", "risk")))
 
 
 _RANK = """fan AS (SELECT src, count(*) AS n FROM edges GROUP BY src), links AS MATERIALIZED (SELECT e.src, e.dst, f.n FROM edges e JOIN fan f ON f.src = e.src),
