@@ -119,7 +119,7 @@ def g_structural(spark, sf_dir):
 @query(_path_max(5, {}))
 def g_weighted_path_max(spark, sf_dir):
     """Impact by the best walk of at most five steps."""
-    return T.weighted_bfs(*_g(spark, sf_dir), mode="path_max", paths=False).select("run", "node", F.round("risk", 6).alias("risk"))
+    return T.weighted_bfs(*_g(spark, sf_dir), mode="path_max", paths=False, columns=("run", "node", "risk")).select("run", "node", F.round("risk", 6).alias("risk"))
 
 
 @query(_path_max(3, {"drives": 1.0, "has_port": 1.0, "connected_to": 1.0}))
