@@ -191,7 +191,7 @@ def _found(graph: Graph, seeds: DataFrame, search: Search, apart: Callable[[Data
 def _told(packed: together.Packed, search: Search, apart: Callable[[DataFrame], DataFrame], columns: tuple[str, ...]) -> DataFrame:
     def work(share: together.Share) -> Iterator[dict]:
         for run, node, risk, hop in search(share):
-            told = share.known[node]
+            told = share.known[node] | ("score" in columns)  # plain ranks are also told of ends that are no nodes
             run, node = run[told], node[told]
             named = {"run": (share.runs, run), "node": (share.ids, node), "artifact_type": (share.type, node), "artifact_name": (share.name, node)}
             numbers = {"risk": risk, "score": risk, "hop": hop}
